@@ -139,8 +139,8 @@ class EditableEncoding:
 
 
 # A run of white space is cut before its last character. Cutting a text at every space therefore gives
-# the pattern's own pieces, unless a space has white space on both sides.
-_ENCLOSED_SPACE = re.compile(r"\s \s")
+# the pattern's own pieces, unless a space has white space on both sides, or before it and the end after it.
+_ENCLOSED_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
 class SpacedText:

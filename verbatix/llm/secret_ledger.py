@@ -105,7 +105,9 @@ def scan(spark: SparkSession, versions: DataFrame, ledger_path: str | None = Non
     ``versions`` with ``blob`` and ``findings``."""
     path = ledger_path or new_path(spark, "secret-ledger")
     old = read_ledger(spark, path)
-    hashed = versions.select("path", F.coalesce("text", F.lit("")).alias("text"), blob(F.col("text")).alias("blob"))
+    # a null path is the empty one here: both name rows of one content, of which any may be scanned
+    name = F.coalesce(F.col("path").cast("string"), F.lit(""))
+    hashed = versions.select(name.alias("path"), F.coalesce("text", F.lit("")).alias("text"), blob(F.col("text")).alias("blob"))
     scan_unseen(hashed, unseen(hashed, old, rules), rules).write.mode("append").parquet(path)
     found = findings_by_blob(read_ledger(spark, path), rules)
     empty = F.array().cast("array<struct<start: int, kind: int, rule: string, end: int>>")
