@@ -41,7 +41,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens, as ``packing.PIECES`` names them."""
-    return packing.pack(packing.tokenise(docs))
+    return packing.pack_texts(docs)
 
 
 STAGES = [("quality rules", keep_quality), ("n-gram Jaccard join", drop_near_duplicates), ("secret scan", mask_secrets), ("packing", pack_sequences)]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where tables go when the cluster names no shared folder (local tests only).
@@ -81,7 +84,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h), starts, ends
 
 
-def blocks_of(texts, most_bytes: int = 1 << 21):
+def blocks_of(texts, most_bytes: int = 1 << 20):
     """Consecutive groups of a batch's texts as (first index, encoded texts), of about ``most_bytes``
     bytes; one longer text is a group of its own."""
     group: list[bytes] = []
@@ -97,23 +100,103 @@ def blocks_of(texts, most_bytes: int = 1 << 21):
         yield first, group
 
 
+def spans_of(texts, most_chars: int = 1 << 21):
+    """(start, stop) of consecutive groups of a batch's texts of about ``most_chars`` characters."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > most_chars:
+            yield start, i
+            start, size = i, 0
+        size += len(text or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 class Memo(dict):
-    """Remembers ``make(key)`` for at most ``most`` keys, then starts anew: bounded memory, same results."""
+    """Remembers ``make(key)`` for at most ``most`` keys; those before go when as many new ones have come,
+    unless they were asked for again. Bounded memory, same results."""
 
     def __init__(self, make, most: int = 400_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
 
 
+class BatchMemo(dict):
+    """Values of many keys at once: ``fill(keys)`` makes those that are not known by one call of
+    ``make_all(list of keys)``. After a fill all of its keys are there; keys of older fills go in turn when
+    there are more than ``most``."""
+
+    def __init__(self, make_all, most: int = 600_000):
+        super().__init__()
+        self.make_all, self.most, self.old = make_all, most, {}
+
+    def fill(self, keys) -> None:
+        """``keys`` are distinct."""
+        missing = [k for k in keys if k not in self]
+        if len(self) + len(missing) > self.most:
+            wanted = set(keys)
+            self.old = {k: v for k, v in self.items() if k not in wanted}
+            for k in self.old:
+                del self[k]
+        old, fresh = self.old, []
+        for k in missing:
+            if (value := old.pop(k, None)) is None:
+                fresh.append(k)
+            else:
+                self[k] = value
+        if fresh:
+            self.update(zip(fresh, self.make_all(fresh), strict=True))
+
+
+def word_ids(words: pa.Array, memo: BatchMemo) -> list[bytes]:
+    """The ids of each list of words laid end to end (packed); a null list has none."""
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    memo.fill(distinct)
+    packed = list(map(memo.__getitem__, distinct))
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+    table, begin = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(sizes) - sizes
+    size = sizes[code]
+    until = np.cumsum(size)
+    flat = table[np.repeat(begin[code] - (until - size), size) + np.arange(until[-1] if len(until) else 0)]
+    ends = np.concatenate(([0], until))[np.cumsum(lengths)].tolist()
+    data = memoryview(flat).cast("B")
+    return [bytes(data[4 * a : 4 * b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def pack_ids(ids) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def is_plain(word: str) -> bool:
+    """Letters only, of the Latin blocks, on whose class all libraries agree."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file, looked up where the code runs."""
     import public_tokenizers
 
     return public_tokenizers.path(name) if not os.path.isabs(name) else name
+
+
+def load_tokenizer(file: str):
+    """A tokenizer that takes the strings of special tokens as ordinary text. Spark's tasks are the
+    parallelism: the library starts no threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(tokenizer_path(file))
+    one.encode_special_tokens = True
+    return one

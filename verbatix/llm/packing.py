@@ -15,18 +15,19 @@ columns are ignored.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, tokenizer_path
+from .common import BatchMemo, is_plain, load_tokenizer, pack_ids, spans_of, word_ids
 
 FILE = "word_bpe_49k.json"
 END_ID = 1
@@ -41,28 +42,35 @@ class Limits:
 
 
 @lru_cache(maxsize=2)
-def word_memo(file: str) -> Memo:
-    """Ids of words. This vocabulary's tokenizer drops white space and never looks across it."""
-    from tokenizers import Tokenizer
+def word_memo(file: str) -> BatchMemo:
+    """Ids of words. This vocabulary's tokenizer drops white space and never looks across it, nor from
+    letters to punctuation."""
+    one = load_tokenizer(file)
 
-    one = Tokenizer.from_file(tokenizer_path(file))
-    one.encode_special_tokens = True
+    def make_all(words: list[str]) -> list[bytes]:
+        cut = [(w[:-1], w[-1]) if w[-1:] in (",", ".") and is_plain(w[:-1]) else (w,) for w in words]
+        pieces = list({p for parts in cut for p in parts})
+        ids = dict(zip(pieces, (pack_ids(e.ids) for e in one.encode_batch_fast(pieces, add_special_tokens=False)), strict=True))
+        return [b"".join(map(ids.__getitem__, parts)) for parts in cut]
 
-    def make(word: bytes) -> bytes:
-        ids = one.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    return BatchMemo(make_all)
 
-    return Memo(make)
+
+def encode_series(texts: pd.Series, file: str, end_id: int) -> list[bytes]:
+    """Ids of a batch of texts (little-endian unsigned 32-bit integers, the end id last)."""
+    memo, out, end = word_memo(file), [], int(end_id).to_bytes(4, "little")
+    for start, stop in spans_of(texts):
+        words = pc.ascii_split_whitespace(pa.array(texts.iloc[start:stop], pa.large_string(), from_pandas=True))
+        out += [ids + end for ids in word_ids(words, memo)]
+    return out
 
 
 def tokenise(docs: DataFrame, file: str = FILE, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers, the end id last)."""
-    end = int(end_id).to_bytes(4, "little")
+    """doc_id and ids of each text."""
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        memo = word_memo(file).__getitem__
-        return pd.Series([b"".join(map(memo, text.encode("utf-8", "surrogatepass").split())) + end if text else end for text in texts], dtype=object)
+        return pd.Series(encode_series(texts, file, end_id), dtype=object)
 
     return docs.select("doc_id", ids("text").alias("ids"))
 
@@ -129,40 +137,67 @@ def padded(length: int, most: int) -> int:
     return min(most, 1 << (length - 1).bit_length())
 
 
+class _Block:
+    """Examples of one task that wait to be packed together."""
+
+    def __init__(self, limits: Limits, most_tokens: int, most_examples: int):
+        self.limits, self.most_tokens, self.most_examples = limits, most_tokens, most_examples
+        self.sequence = TaskContext.get().partitionId() << 33
+        self._empty()
+
+    def _empty(self) -> None:
+        self.docs, self.parts, self.losses, self.size = [], [], [], 0
+
+    def add(self, doc: int | None, data: bytes, loss: int) -> bool:
+        """Whether the block is full."""
+        self.docs.append(doc)
+        self.parts.append(data)
+        self.losses.append(min(loss, len(data) // 4))
+        self.size += len(data) // 4
+        return self.size >= self.most_tokens or len(self.parts) >= self.most_examples
+
+    def packed(self) -> pd.DataFrame:
+        sizes, losses = np.array([len(p) // 4 for p in self.parts], np.int64), np.array(self.losses, np.int64)
+        rows = []
+        for found in plan_bins(sizes, losses, self.limits):
+            total, offset = sum(stop - start for _, start, stop in found), 0
+            for segment, (i, start, stop) in enumerate(found):
+                loss = max(0, stop - max(start, int(sizes[i] - losses[i])))
+                rows.append((self.docs[i], start, stop - start, self.parts[i][4 * start : 4 * stop], int(sizes[i]), loss, self.sequence, offset, segment, total, padded(total, self.limits.tokens)))
+                offset += stop - start
+            self.sequence += 1
+        self._empty()
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+
+
+def _pack(rows: Iterator[tuple[int | None, bytes, int]], block: _Block) -> Iterator[pd.DataFrame]:
+    for row in rows:
+        if block.add(*row):
+            yield block.packed()
+    if block.parts:
+        yield block.packed()
+
+
+def _doc_ids(batch: pd.DataFrame) -> list[int | None]:
+    return [None if d is pd.NA else int(d) for d in batch["doc_id"].astype("Int64")]
+
+
 def pack(examples: DataFrame, limits: Limits = Limits(), block_tokens: int = 1 << 22, block_examples: int = 1 << 13) -> DataFrame:
     """Packs ``examples`` (doc_id, ids and, if there, loss_tokens: so many at the end bear loss, else all)."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sequence = TaskContext.get().partitionId() << 33
-        docs, parts, losses, size = [], [], [], 0
-
-        def flush():
-            nonlocal sequence
-            sizes = np.array([len(p) // 4 for p in parts], np.int64)
-            rows = []
-            for found in plan_bins(sizes, np.minimum(np.array(losses, np.int64), sizes), limits):
-                total = sum(stop - start for _, start, stop in found)
-                offset = 0
-                for segment, (i, start, stop) in enumerate(found):
-                    loss = max(0, stop - max(start, int(sizes[i]) - min(losses[i], int(sizes[i]))))
-                    rows.append((docs[i], start, stop - start, parts[i][4 * start : 4 * stop], int(sizes[i]), loss, sequence, offset, segment, total, padded(total, limits.tokens)))
-                    offset += stop - start
-                sequence += 1
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-            return out.astype({"doc_id": "Int64"})
-
-        for batch in batches:
-            for doc, data, loss in zip(batch["doc_id"].astype("Int64"), batch["ids"], batch["loss_tokens"], strict=True):
-                data = data or b""
-                docs.append(None if doc is pd.NA else int(doc))
-                parts.append(data)
-                losses.append(int(loss))
-                size += len(data) // 4
-                if size >= block_tokens or len(parts) >= block_examples:
-                    yield flush()
-                    docs, parts, losses, size = [], [], [], 0
-        if parts:
-            yield flush()
+        rows = ((doc, data or b"", int(loss)) for batch in batches for doc, data, loss in zip(_doc_ids(batch), batch["ids"], batch["loss_tokens"], strict=True))
+        yield from _pack(rows, _Block(limits, block_tokens, block_examples))
 
     loss = F.coalesce(F.col("loss_tokens"), F.lit(0)) if "loss_tokens" in examples.columns else F.octet_length("ids") / 4
     return examples.select("doc_id", "ids", F.greatest(F.coalesce(loss.cast("long"), F.lit(0)), F.lit(0)).alias("loss_tokens")).mapInPandas(pieces, PIECES)
+
+
+def pack_texts(docs: DataFrame, file: str = FILE, end_id: int = END_ID, limits: Limits = Limits(), block_tokens: int = 1 << 22, block_examples: int = 1 << 13) -> DataFrame:
+    """``pack(tokenise(docs))`` with all tokens bearing loss, in one Python process a task."""
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((doc, ids, len(ids) // 4) for batch in batches for doc, ids in zip(_doc_ids(batch), encode_series(batch["text"], file, end_id), strict=True))
+        yield from _pack(rows, _Block(limits, block_tokens, block_examples))
+
+    return docs.select("doc_id", "text").mapInPandas(pieces, PIECES)
