@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import blocks_of, mix, word_hashes
 
 #: Window length in words, and the most of a text's word characters that its duplicated windows may cover.
-COVERAGE_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+COVERAGE_LIMITS = {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
 #: The most of a text's characters that may stand in lines equal to an earlier line.
 LINE_LIMIT = 0.30
 BASE_WINDOW = 5
