@@ -17,16 +17,19 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
 from functools import lru_cache
+from os.path import commonprefix
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, tokenizer_path
+from .common import BatchMemo, Memo, is_plain, pack_ids, spans_of, tokenizer_path, word_ids
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -37,9 +40,15 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
+        self.size_of = {r: len(b) for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._stable: dict[tuple[int, int], bool] = Memo(lambda pair: self._pair_is_stable(*pair), 1_000_000)
+        self._stable: dict[int, bool] = Memo(lambda pair: self._pair_is_stable(pair >> 32, pair & 0xFFFFFFFF), 1_000_000)
+        self._tokens = ahocorasick.Automaton()
+        for data, rank in ranks.items():
+            if self.halves(rank) is not None:
+                self._tokens.add_word(data.decode("latin-1"), rank)
+        self._tokens.make_automaton()
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the merges join last to make ``token``; (token, token) for a single byte;
@@ -76,31 +85,46 @@ class PrefixEncoder:
                 before, right = right + 1, right_half
 
     def extend(self, data: bytes, last: list[int], until: int) -> None:
-        """Adds to ``last`` the entries of the prefixes up to ``until`` bytes."""
-        ranks, stable = self.ranks, self._stable
-        for end in range(len(last) + 1, until + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and self.halves(token) is not None and (start == 0 or stable[last[start - 1], token]):
+        """Adds to ``last`` the entries of the prefixes up to ``until`` bytes. An automaton names the tokens
+        that end at each byte."""
+        stable, size_of = self._stable, self.size_of
+        base = max(0, len(last) - self.longest)
+        for at, token in self._tokens.iter(data[base:until].decode("latin-1")):
+            end = base + at + 1
+            if end > len(last):
+                start = end - size_of[token]
+                if start == 0 or start > 0 and stable[last[start - 1] << 32 | token]:
                     last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        if len(last) < until:
+            raise ValueError("the vocabulary lacks a byte")
 
     def walk_back(self, last: list[int]) -> list[int]:
-        out, end = [], len(last)
+        out, end, size_of = [], len(last), self.size_of
         while end:
-            out.append(last[end - 1])
-            end -= len(self.bytes_of[out[-1]])
+            token = last[end - 1]
+            out.append(token)
+            end -= size_of[token]
         return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
+        return self.encode_all([data])[0]
+
+    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """In sorted order, a piece keeps the entries of the prefix that it shares with the one before."""
+        out: list[list[int]] = [[]] * len(pieces)
         last: list[int] = []
-        self.extend(data, last, len(data))
-        return self.walk_back(last)
+        before = b""
+        for k in sorted(range(len(pieces)), key=pieces.__getitem__):
+            data = pieces[k]
+            whole = self.ranks.get(data)
+            if whole is not None:
+                out[k] = [whole]
+                continue
+            shared = len(commonprefix((before, data)))
+            del last[shared:]
+            self.extend(data, last, len(data))
+            out[k], before = self.walk_back(last), data
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -141,41 +165,48 @@ class EditableEncoding:
 # A run of white space is cut before its last character. Cutting a text at every space therefore gives
 # the pattern's own pieces, unless a space has white space on both sides, or before it and the end after it.
 _ENCLOSED_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: White space and a space: without any of these pairs nothing is enclosed, and they are found much faster.
+_PAIRS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 
 
 class SpacedText:
-    """Encodes texts piece by piece and remembers the ids of the words between spaces. ``encode`` takes a
-    string that begins and ends where the pattern cuts; ``pieces`` cuts a whole text."""
-
-    def __init__(self, encode, pieces):
-        self.pieces = pieces
-        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-        self.bare = Memo(lambda word: pack(encode(word)), 150_000)
-        self.spaced = _Spaced(lambda word: pack(encode(" " + word)), self.bare, 250_000)
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ENCLOSED_SPACE.search(text):
-            return b"".join(map(self.bare.__getitem__, self.pieces(text)))
-        words = text.split(" ")
-        first = self.bare[words[0]] if words[0] else b""
-        return first + b"".join(map(self.spaced.__getitem__, words[1:]))
-
-
-class _Spaced(Memo):
-    """Words after a space. One with single line feeds inside is made of its lines, which are more common."""
-
-    def __init__(self, make, bare: Memo, most: int):
-        super().__init__(make, most)
-        self.bare = bare
-
-    def __missing__(self, word):
-        if "\n" in word:
-            lines = word.split("\n")
-            if all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):
-                return self.bare["\n"].join([self[lines[0]], *map(self.bare.__getitem__, lines[1:])])
-        return super().__missing__(word)
+    """Encodes texts piece by piece. ``encode_all`` gives the ids of a list of pieces, each encoded by itself;
+    ``cut`` cuts a text into pieces. The ids of the words between spaces are remembered."""
+
+    def __init__(self, encode_all, cut):
+        self.encode_all, self.cut = encode_all, cut
+        self.spaced = BatchMemo(lambda words: self._encode([self._spaced_pieces(w) for w in words]))
+        self.bare = BatchMemo(lambda pieces: self._encode([self.cut(p) for p in pieces]), 100_000)
+
+    def _spaced_pieces(self, word: str) -> list[str]:
+        """The pieces of a space and a word; the most common shapes without the pattern."""
+        if is_plain(word):
+            return [" " + word]
+        if word[-1:] in (",", ".") and is_plain(word[:-1]):
+            return [" " + word[:-1], word[-1]]
+        return self.cut(" " + word)
+
+    def _encode(self, cut: list[list[str]]) -> list[bytes]:
+        pieces = list({p for parts in cut for p in parts})
+        ids = dict(zip(pieces, map(pack_ids, self.encode_all(pieces)), strict=True))
+        return [b"".join(map(ids.__getitem__, parts)) for parts in cut]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """A text is its first word and the others, each after a space, unless it must be cut as a whole.
+        The other words are split and numbered by Arrow; only distinct ones become Python strings."""
+        heads, rests = [], []
+        for text in texts:
+            if text and any(pair in text for pair in _PAIRS) and _ENCLOSED_SPACE.search(text):
+                heads.append(self.cut(text))
+                rests.append(None)
+            else:
+                first, space, rest = (text or "").partition(" ")
+                heads.append([first] if first else [])
+                rests.append(rest if space else None)
+        self.bare.fill(set().union(*heads))
+        bare = self.bare.__getitem__
+        tails = word_ids(pc.split_pattern(pa.array(rests, pa.large_string()), " "), self.spaced)
+        return [b"".join(map(bare, head)) + tail for head, tail in zip(heads, tails, strict=True)]
 
 
 def white_space_pattern(pattern: str) -> regex.Pattern:
@@ -194,8 +225,16 @@ def encoder(file: str = RANKS) -> PrefixEncoder:
 def text_encoder(file: str = RANKS, pattern: str | None = None) -> SpacedText:
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
-    cut, one = white_space_pattern(pattern).findall, encoder(file)
-    return SpacedText(lambda s: [i for piece in cut(s) for i in one.encode(piece.encode())], cut)
+    one = encoder(file)
+    return SpacedText(lambda pieces: one.encode_all([p.encode() for p in pieces]), white_space_pattern(pattern).findall)
+
+
+def encode_series(texts: pd.Series, one: SpacedText) -> pd.Series:
+    """Ids of a batch of texts, a bounded block at a time."""
+    out: list[bytes] = []
+    for start, stop in spans_of(texts):
+        out += one.ids(texts.iloc[start:stop].tolist())
+    return pd.Series(out, dtype=object)
 
 
 def encode(df: DataFrame, file: str = RANKS, text: str = "text", out: str = "ids") -> DataFrame:
@@ -203,8 +242,7 @@ def encode(df: DataFrame, file: str = RANKS, text: str = "text", out: str = "ids
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        one = text_encoder(file)
-        return pd.Series([one.ids(t) for t in texts], dtype=object)
+        return encode_series(texts, text_encoder(file))
 
     return df.withColumn(out, ids(F.col(text)))
 

@@ -24,51 +24,57 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import SpacedText, white_space_pattern
-from .common import tokenizer_path
+from .byte_bpe import SpacedText, encode_series, white_space_pattern
+from .common import load_tokenizer
 
 FILE = "byte_bpe_50k.json"
 END_ID = 2
+LEAST_GAIN = 0.01
 SCHEMA = "shard int, block int, n_docs int, n_ids long, vocabulary int, doc_ids binary, null_docs int, doc_lengths binary, rules binary, rule_lengths binary, width int, symbols binary"
 
 
 @lru_cache(maxsize=2)
 def text_encoder(file: str) -> SpacedText:
     from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
 
-    one = Tokenizer.from_file(tokenizer_path(file))
-    one.encode_special_tokens = True
-    return SpacedText(lambda s: one.encode(s, add_special_tokens=False).ids, white_space_pattern(PATTERN).findall)
+    one = load_tokenizer(file)
+    return SpacedText(lambda pieces: [e.ids for e in one.encode_batch_fast(pieces, add_special_tokens=False)], white_space_pattern(PATTERN).findall)
 
 
 def grammar(ids: np.ndarray, vocabulary: int, rounds: int = 8, rules_a_round: int = 1900, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, their expansion lengths, symbols). Rule k, for symbol ``vocabulary + k``, is a pair of symbols.
 
     A round counts all pairs in a hash table, takes for each of the fullest buckets the pair seen last
-    there, counts that pair exactly, and replaces its occurrences from left to right."""
+    there, counts that pair exactly, and replaces its occurrences from left to right. Rounds end when one
+    saves less than LEAST_GAIN of the symbols: what is left hardly pays for its rules."""
     bits = 18
     seq = ids.astype(np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+        bucket = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int64)
         seen = np.bincount(bucket, minlength=1 << bits)
         top = np.flatnonzero(seen >= least)
         if len(top) > rules_a_round:
             top = top[np.argpartition(-seen[top], rules_a_round - 1)[:rules_a_round]]
-        chosen = np.zeros(1 << bits, np.uint64)
-        chosen[bucket] = pair
         rank = np.full(1 << bits, -1, np.int32)
         rank[top] = np.arange(len(top))
-        at = np.flatnonzero((rank[bucket] >= 0) & (chosen[bucket] == pair))
+        hit = rank.take(bucket)
+        at = np.flatnonzero(hit >= 0)
+        hit = hit[at]
+        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        chosen = np.zeros(len(top), np.uint64)
+        chosen[hit] = pair
+        same = chosen[hit] == pair
+        at, hit = at[same], hit[same]
         # in a run of neighbouring occurrences only every other one can be replaced
-        fresh = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[run % 2 == 0]
-        hit = rank[bucket[at]]
+        late = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
+        fresh = np.concatenate(([True], late[1:] != late[:-1] + 1))[: len(late)]
+        place = np.arange(len(late)) - np.maximum.accumulate(np.where(fresh, np.arange(len(late)), 0))
+        free = np.ones(len(at), bool)
+        free[late[place % 2 == 0]] = False
+        at, hit = at[free], hit[free]
         count = np.bincount(hit, minlength=len(top))
         good = np.flatnonzero(count >= least)
         if not len(good):
@@ -76,7 +82,7 @@ def grammar(ids: np.ndarray, vocabulary: int, rounds: int = 8, rules_a_round: in
         number = np.full(len(top), -1, np.int64)
         number[good] = vocabulary + len(rules) + np.arange(len(good))
         at, hit = at[number[hit] >= 0], hit[number[hit] >= 0]
-        new = chosen[top[good]]
+        new = chosen[good]
         new = np.stack([(new >> np.uint64(32)).astype(np.uint32), new.astype(np.uint32)], axis=1)
         known = np.concatenate([np.ones(vocabulary, np.uint32), lengths])
         lengths = np.concatenate([lengths, known[new].sum(axis=1, dtype=np.uint32)])
@@ -85,6 +91,8 @@ def grammar(ids: np.ndarray, vocabulary: int, rounds: int = 8, rules_a_round: in
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
+        if len(at) < LEAST_GAIN * len(seq):
+            break
     return rules, lengths, seq
 
 
@@ -148,9 +156,9 @@ def write_store(docs: DataFrame, path: str, file: str = FILE, end_id: int = END_
         one, shard, end = text_encoder(file), TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little")
         ids, parts, size, block = [], [], 0, 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+            for doc, coded in zip(batch["doc_id"].astype("Int64"), encode_series(batch["text"], one), strict=True):
                 ids.append(None if doc is pd.NA else int(doc))
-                parts.append(one.ids(text) + end)
+                parts.append(coded + end)
                 size += len(parts[-1]) // 4
                 if size >= block_ids:
                     yield pd.DataFrame([_pack_block(shard, block, ids, parts, vocabulary)])
