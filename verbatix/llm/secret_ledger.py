@@ -86,7 +86,9 @@ def scan_unseen(versions: DataFrame, todo: DataFrame, rules: Sequence[Rule]) ->
     its representative path."""
     one = versions.join(todo.select(F.col("rep").alias("path"), "blob", "todo"), ["path", "blob"])
     found = [F.when(F.array_contains("todo", r.name), F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), spans(F.col("text"), r).alias("spans"))) for r in rules]
-    return one.select("blob", F.explode(F.array_compact(F.array(*found))).alias("x")).select("blob", "x.*")
+    rows = one.select("blob", F.explode(F.array_compact(F.array(*found))).alias("x")).select("blob", "x.*")
+    # rows that repeat path and content have found the same
+    return rows.dropDuplicates(["blob", "rule", "rule_version"])
 
 
 def findings_by_blob(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
