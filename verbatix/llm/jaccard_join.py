@@ -1,16 +1,17 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are alike, and the groups they form.
 
 1. Each text becomes a set of 64-bit n-gram hashes; equal sets become one class.
-2. A sieve loses no link and leaves few classes. In hash order, two linked sets share at least L of their
-   first p + L - 1 n-grams, p being the length of the usual prefix; a class that shares fewer with all
-   others together has no partner.
-3. On the classes left, n-grams are counted, and each set is ordered from the rarest n-gram on. Linked
-   sets share an n-gram of their prefixes; n-grams that only one class has need no posting.
-4. Prefix postings are joined to candidate pairs under a length, a positional and a suffix filter, and
-   each pair is verified once by counting the intersection.
+2. All n-grams of all texts are counted in a fixed table of counters. Every set is ordered by these counts,
+   rarest first (ties by hash): one order for all sets, so prefix filters lose no link, and frequent
+   n-grams stand last.
+3. A sieve finds classes that may have a partner. Two linked sets share at least L of their first p + L - 1
+   n-grams, p being the length of the usual prefix; a class that shares fewer with all others together has
+   none. N-grams met twice in a block of texts are credited there, so a frequent one sends a row a block.
+4. Of the classes left, prefix postings are joined to candidate pairs under a length, a positional and a
+   suffix filter, and each pair is verified once by counting the intersection.
 5. Only groups are asked for, so a pair within one group needs no check. Rounds compare the members of
-   each posting list with one centre and merge what is linked; when few pairs across groups are left, all
-   of these are compared. No candidate is left out, and no list is expanded into all its pairs.
+   each posting list with one centre and merge what is linked; when no more pairs across groups are left
+   than prefixes have n-grams, all of these are compared. No candidate is left out, and no list is expanded into all its pairs.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. A text with fewer words than n is one
 n-gram; one without words has the empty set and no links.
@@ -22,19 +23,23 @@ non-null id, if any; an empty table gives an empty table; other columns are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks_of, materialise, mix, word_hashes
 
 #: Equal ranges of the hash space in which the suffix filter compares counts.
 RANGES = 32
-#: Survivors up to this count are sent to all executors as ids (8 bytes each); more are joined by shuffle.
+#: Counters for n-grams (four bytes each), in slices that are summed apart: a table of 4 MB at any input.
+COUNTERS, SLICES = 1 << 20, 256
+#: Classes up to this count are sent to all executors as ids (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
 
@@ -54,7 +59,7 @@ class Likeness:
 
     def extra(self, n):
         """L of the sieve, growing with n."""
-        return (self.prefix(n) + 1) // 2
+        return (self.prefix(n) + 3) // 4
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -89,61 +94,129 @@ def _set_key(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+def _text_blocks(frames: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows of bounded text with their sets."""
+    for frame in frames:
+        for at, texts in blocks_of(frame["text"]):
+            yield frame.iloc[at : at + len(texts)], shingle_sets(texts, words)
+
+
 def fingerprints(docs: DataFrame, id: str, like: Likeness) -> DataFrame:
-    """id, n, node (the set's name) and sieve (its first n-grams in hash order)."""
+    """id, n and node (the set's name)."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, sets in _text_blocks(frames, like.words):
+            yield pd.DataFrame({"id": rows["id"].astype("Int64").array, "n": np.array([len(s) for s in sets], np.int64), "node": np.array([_set_key(s) for s in sets], np.int64)})
+
+    return docs.select(F.col(id).cast("long").alias("id"), F.col("text")).mapInPandas(batches, "id long, n long, node long")
+
+
+def counter_of(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def ngram_counts(docs: DataFrame, like: Likeness) -> np.ndarray:
+    """The counters over all texts. Every task sends its own counts in slices; these are summed in two
+    steps, so that no group holds more than the square root of all tasks."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at, texts in blocks_of(frame["text"]):
-                sets = shingle_sets(texts, like.words)
-                n = np.array([len(s) for s in sets], np.int64)
-                most = np.minimum(n, like.prefix(n) + like.extra(n) - 1)
-                yield pd.DataFrame({"id": frame["id"].iloc[at : at + len(texts)].astype("Int64").array, "n": n, "node": [_set_key(s) for s in sets], "sieve": [s[:k].view(np.int64) for s, k in zip(sets, most.tolist(), strict=True)]})
+        counts = np.zeros(COUNTERS, np.int64)
+        for _, sets in _text_blocks(frames, like.words):
+            if sets:
+                counts += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
+        if counts.any():
+            task = TaskContext.get().partitionId()
+            yield pd.DataFrame({"slice": np.arange(SLICES), "part": task % 1024, "counts": [c.tobytes() for c in _narrow(counts).reshape(SLICES, -1)]})
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(c, "<u4") for c in group["counts"]], axis=0, dtype=np.int64)
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": group["part"].iloc[:1], "counts": [_narrow(total).tobytes()]})
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col("text")).mapInPandas(batches, "id long, n long, node long, sieve array<long>")
+    schema = "slice int, part int, counts binary"
+    sums = docs.select("text").mapInPandas(batches, schema)
+    sums = sums.groupBy("slice", "part").applyInPandas(summed, schema).groupBy("slice").applyInPandas(summed, schema)
+    out = np.zeros((SLICES, COUNTERS // SLICES), "<u4")
+    for r in sums.select("slice", "counts").collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], "<u4")
+    return out.reshape(-1)
 
 
-def sets_of(docs: DataFrame, id: str, like: Likeness) -> DataFrame:
-    """node, n, items (ascending as signed numbers) and ranges (counts of items in equal ranges of the hash space)."""
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4")
+
+
+def rare_first(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``items`` (ascending) in the common order."""
+    return items[np.argsort(counts[counter_of(items)], kind="stable")]
+
+
+def sets_of(docs: DataFrame, like: Likeness, counts) -> DataFrame:
+    """node, n, items (ascending as signed numbers), ranges (counts of items in equal ranges of the hash
+    space) and prefix (the first items in the common order)."""
     shift = np.uint64(64 - RANGES.bit_length() + 1)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, texts in blocks_of(frame["text"]):
-                sets = [s for s in shingle_sets(texts, like.words) if len(s)]
-                ranges = [np.bincount((s >> shift).astype(np.int64), minlength=RANGES).astype(np.int32) for s in sets]
-                yield pd.DataFrame({"node": np.array([_set_key(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int64), "items": [np.sort(s.view(np.int64)) for s in sets], "ranges": ranges})
+        for _, found in _text_blocks(frames, like.words):
+            sets = [s for s in found if len(s)]
+            ranges = [np.bincount((s >> shift).astype(np.int64), minlength=RANGES).astype(np.int32) for s in sets]
+            prefix = [rare_first(s, counts.value)[: like.prefix(len(s))].view(np.int64) for s in sets]
+            yield pd.DataFrame({"node": np.array([_set_key(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int64), "items": [np.sort(s.view(np.int64)) for s in sets], "ranges": ranges, "prefix": prefix})
 
-    return docs.select(F.col("text")).mapInPandas(batches, "node long, n long, items array<long>, ranges array<int>")
+    return docs.select("text").mapInPandas(batches, "node long, n long, items array<long>, ranges array<int>, prefix array<long>")
 
 
 def overlap_of(n: Column, like: Likeness) -> Column:
     return F.floor((n * like.percent + 99) / 100)
 
 
-def sieve(prints: DataFrame, like: Likeness) -> DataFrame:
-    """ids of the documents that stand for classes which may have a partner."""
-    classes = prints.filter("n > 1").groupBy("node", "n").agg(F.min("id").alias("id"))
-    # one row for each class, by its smallest id: the key has no hot values
-    one = prints.select("id", "node", "sieve").join(classes.select("id", "node", "n"), ["id", "node"]).dropDuplicates(["id", "node"])
-    rows = one.select("id", "n", F.explode("sieve").alias("item"))
-    shared = rows.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1").select("item")
-    n = F.col("n")
-    partner = overlap_of(n, like)
-    least = F.floor((partner - overlap_of(partner, like) + 2) / 2)
-    return rows.join(shared, "item").groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= least).select("id").distinct()
-
+def sieve_rows(docs: DataFrame, like: Likeness, counts) -> DataFrame:
+    """item, node and credit. A class sends the first n-grams of its set with credit 0. An n-gram of two or
+    more classes of one block is credited to them on the spot (in a row of their own) and sent once."""
 
-def rare_first_postings(sets: DataFrame, like: Likeness) -> DataFrame:
-    """item, node, n, pos: the prefixes of the sets, rarest n-gram first, without n-grams that no other
-    set has. pos counts from 0 and counts those too."""
-    rows = sets.select("node", "n", F.explode("items").alias("item"))
-    counts = rows.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = rows.join(counts, "item")
-    # with fewer shared n-grams than the overlap, the prefix has only n-grams of this set alone
-    enough = shared.groupBy("node").agg(F.count("*").alias("n_shared"), F.first("n").alias("m")).filter(F.col("n_shared") >= overlap_of(F.col("m"), like)).select("node", "n_shared")
-    ordered = shared.join(enough, "node").withColumn("pos", F.col("n") - F.col("n_shared") + F.row_number().over(Window.partitionBy("node").orderBy("df", "item")) - 1)
-    return ordered.filter(F.col("pos") < F.col("n") - overlap_of(F.col("n"), like) + 1).select("item", "node", "n", "pos")
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, found in _text_blocks(frames, like.words):
+            sets = {_set_key(s): s for s in found if len(s) > 1}
+            if not sets:
+                continue
+            nodes = np.array(list(sets), np.int64)
+            first = [rare_first(s, counts.value)[: like.prefix(len(s)) + like.extra(len(s)) - 1] for s in sets.values()]
+            items, owner = np.concatenate(first), np.repeat(np.arange(len(nodes)), [len(f) for f in first])
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            fresh = np.concatenate(([True], items[1:] != items[:-1]))
+            shared = ~fresh | np.concatenate((~fresh[1:], [False]))
+            credit = np.bincount(owner[shared], minlength=len(nodes))
+            some = np.flatnonzero(credit)
+            yield pd.DataFrame(
+                {
+                    "item": np.concatenate([items[fresh].view(np.int64), nodes[some]]),
+                    "node": np.concatenate([nodes[owner[fresh]], nodes[some]]),
+                    "credit": np.concatenate([np.zeros(int(fresh.sum()), np.int32), credit[some].astype(np.int32)]),
+                }
+            )
+
+    return docs.select("text").mapInPandas(batches, "item long, node long, credit int")
+
+
+def sieve(docs: DataFrame, classes: DataFrame, like: Likeness, counts) -> DataFrame:
+    """id and node of the classes (node, n, id) that may have a partner; id stands for the class."""
+    item = Window.partitionBy("item")
+    met = sieve_rows(docs, like, counts).withColumns({"low": F.min("node").over(item), "high": F.max("node").over(item)})
+    credit = F.when(F.col("credit") > 0, F.col("credit")).when(F.col("low") != F.col("high"), 1).otherwise(0)
+    credits = met.select("node", credit.alias("credit")).filter("credit > 0").groupBy("node").agg(F.sum("credit").alias("k"))
+    partner = overlap_of(F.col("n"), like)
+    least = F.floor((partner - overlap_of(partner, like) + 1 + 3) / 4)
+    return credits.join(classes, "node").filter(F.col("k") >= least).select("id", "node")
+
+
+def prefix_postings(sets: DataFrame) -> DataFrame:
+    """item, node, n, pos (from 0) of the prefixes, without n-grams that no other prefix has. Of n-grams that
+    the very same classes have, one stands for all: every pair of theirs meets there, and the bounds on
+    length and position hold for any n-gram that a pair shares."""
+    rows = sets.select("node", "n", F.posexplode("prefix").alias("pos", "item"))
+    lists = rows.groupBy("item").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = lists.filter("df > 1").groupBy("df", "x", "y").agg(F.min("item").alias("item")).select("item")
+    return rows.join(kept, "item").select("item", "node", "n", F.col("pos").cast("long").alias("pos"))
 
 
 def _bounds(like: Likeness) -> Column:
@@ -155,56 +228,67 @@ def _bounds(like: Likeness) -> Column:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The linked ones of the pairs (a, b), each verified once: first by the counts in ranges of the rest
-    of the sets (suffix filter), then by the intersection."""
+    """The linked ones of the pairs (a, b, la, lb), each verified once: first by the counts in ranges of the
+    hash space (suffix filter), then by the intersection."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}"), F.col("ranges").alias(f"r{x}"))
-    joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    joined = pairs.select("a", "b", "la", "lb").dropDuplicates(["a", "b"]).join(side("a"), "a").join(side("b"), "b")
     most = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     linked = lambda common: common * 100 >= (F.col("na") + F.col("nb") - common) * like.percent
     common = F.when(linked(most), F.size(F.array_intersect("ia", "ib"))).otherwise(0)
-    return joined.filter(linked(common)).select("a", "b")
+    return joined.filter(linked(common)).select("la", "lb")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) of all nodes in ``links`` (a, b): smallest labels spread to
-    neighbours, then every label is replaced by its own label, until nothing changes."""
-    edges = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
-    labels = materialise(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"), "labels")
+    """node and label (the smallest node reachable) of all nodes in ``links`` (la, lb). A turn spreads the
+    smallest labels to neighbours three times, which is all that stars need, and then replaces every label
+    by its own label, which halves the longest chains; turns end when the last spreading changed nothing."""
+    edges = materialise(links.select(F.col("la").alias("u"), F.col("lb").alias("v")).union(links.select("lb", "la")).distinct(), "edges")
+    labels = edges.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
-        near = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels.node == near.u, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = materialise(spread.join(jump, spread.label == jump.at, "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        done = new.filter("label <> old").limit(1).count() == 0
-        labels = new.select("node", "label")
-        if done:
-            return labels
-
-
-def group_nodes(sets: DataFrame, postings: DataFrame, like: Likeness) -> DataFrame:
-    """node, label of all sets in ``postings`` that are linked with another."""
-    spark: SparkSession = sets.sparkSession
-    labels = spark.createDataFrame([], "node long, label long")
-    links = spark.createDataFrame([], "a long, b long")
-    turn = 0
+        before = labels
+        for _ in range(3):
+            before, sent = labels, edges.join(labels, edges.v == labels.node).select(F.col("u").alias("node"), "label")
+            labels = labels.union(sent).groupBy("node").agg(F.min("label").alias("label"))
+        compared = labels.join(before.withColumnRenamed("label", "old"), "node")
+        compared = materialise(compared, "labels")
+        if compared.filter("label <> old").limit(1).count() == 0:
+            return compared.select("node", "label")
+        now = compared.select("node", "label")
+        further = now.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = materialise(now.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+
+
+def group_nodes(sets: DataFrame, postings: DataFrame, most_pairs: int, like: Likeness) -> DataFrame:
+    """node, label of all sets in ``postings``; sets with one label are linked. A round finds links between
+    different labels only, and merges labels by the components of these links: it compares the members of
+    each list with one centre while the lists have more than ``most_pairs`` pairs across labels and every
+    round halves them, and then all of these pairs."""
+    labels = materialise(postings.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    turn, before = 0, math.inf
     while True:
-        named = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = postings.join(labels, "node")
         kinds = named.groupBy("item", "label").agg(F.count("*").alias("c"))
         across = kinds.groupBy("item").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).filter("m * m > sq")
-        open_lists = materialise(named.join(across.select("item"), "item"), "open-lists")
-        left = across.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("rows")).first()
+        named = materialise(named.join(across, "item"), "open-lists")
+        # a list's pairs across labels, shared out over its rows
+        left = named.agg(F.count("*").alias("rows"), F.sum((F.col("m") - F.col("sq") / F.col("m")) / 2).alias("pairs")).first()
         if not left["rows"]:
             return labels
-        last = turn >= 2 and left["pairs"] <= 4 * left["rows"] or turn >= 12
-        side = lambda x: open_lists.select("item", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("label").alias(f"l{x}"))
+        # groups only grow: a list that is closed stays closed
+        named = named.drop("m", "sq")
+        postings = named.drop("label")
+        last = left["pairs"] <= most_pairs or left["pairs"] > before / 2
+        before = left["pairs"]
+        side = lambda x: named.select("item", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("label").alias(f"l{x}"))  # noqa: B023, E731
         if last:
             pairs = side("a").join(side("b"), "item").filter("a < b")
         else:
-            centre = open_lists.groupBy("item").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))).alias("c")).select("item", "c.*").drop("h")
+            centre = named.groupBy("item").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))).alias("c")).select("item", "c.*").drop("h")
             pairs = side("b").join(centre, "item")
-        pairs = pairs.filter("la <> lb").filter(_bounds(like)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = materialise(links.union(verify(pairs, sets, like)), "links")
-        labels = components(links)
+        pairs = pairs.filter("la <> lb").filter(_bounds(like)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "la", "lb")
+        merged = components(verify(pairs, sets, like))
+        merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        labels = materialise(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
         if last:
             return labels
         turn += 1
@@ -214,14 +298,21 @@ def jaccard_groups(docs: DataFrame, id: str = "doc_id", like: Likeness = Likenes
     """One row for each row of ``docs``: id (named as there), n_shingles, component_id (the smallest id that
     links reach, itself included)."""
     prints = materialise(fingerprints(docs, id, like), "fingerprints")
-    keep = materialise(sieve(prints, like), "sieve")
-    if keep.count() <= BROADCAST_IDS:
-        keep = F.broadcast(keep)
-    left = docs.select(F.col(id).cast("long").alias("id"), "text").join(keep, "id", "left_semi")
-    sets = materialise(sets_of(left, "id", like).dropDuplicates(["node"]), "sets")
-    postings = materialise(rare_first_postings(sets, like), "postings")
-    labels = group_nodes(sets, postings, like)
-    classes = prints.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"))
+    counts = docs.sparkSession.sparkContext.broadcast(ngram_counts(docs, like))
+    classes = prints.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    keep = materialise(sieve(docs, classes, like, counts), "sieve")
+    n_keep = keep.count()
+    ids = keep.select("id").distinct()
+    left = docs.select(F.col(id).cast("long").alias("id"), "text")
+    # a class of null ids alone has no id to be found by: its rows are all taken
+    left = left.join(F.broadcast(ids) if n_keep <= BROADCAST_IDS else ids, left["id"].eqNullSafe(ids["id"]), "left_semi")
+    sets = materialise(sets_of(left, like, counts), "sets")
+    if sets.count() > n_keep:  # ids repeat: rows of one set are brought together
+        sets = materialise(sets.dropDuplicates(["node"]), "sets")
+    postings = materialise(prefix_postings(sets), "postings")
+    # as many pairs as there are n-grams in the prefixes are compared at once: in proportion to the input
+    most_pairs = sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    labels = group_nodes(sets, postings, most_pairs, like)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of_node = named.join(groups, "label").select("node", "component_id")
