@@ -7,10 +7,11 @@
    first, inner nodes push their children, leaves are visited in the order in which they come.
 4. Calibration: for ``calibration_queries`` vectors the true neighbours are found by brute force over all
    rows, and leaf visits are widened until the neighbours found reach ``recall`` of the true ones.
-5. Queries meet the rows of the leaves they visit in blocks (leaf, part of its rows, part of its queries),
-   both parts bounded, so that a leaf with a third of all rows or of all visits is spread over tasks. Each
-   block gives its best rows for each query, rescored in double precision in a fixed order; a window by
-   query keeps the best of all.
+5. Queries meet the rows of the leaves they visit in blocks (bin, part of its rows, part of its queries). A
+   bin is some neighbouring leaves with a bounded number of rows together, or one larger leaf; both parts
+   are bounded, so that a leaf with a third of all rows or of all visits is spread over tasks. Each block
+   gives its best rows for each query, rescored in double precision in a fixed order; a window by query
+   keeps the best of all.
 
 Defined results: vectors that are null, of no or another length than the most common one, zero, or that
 hold null or non-finite components take no part, nor do rows with a null id; rows with equal ids count as
@@ -45,7 +46,7 @@ class Settings:
     branch: int = 8
     calibration_queries: int = 128
     recall: float = 0.97
-    block_rows: int = 2048
+    block_rows: int = 8192
     block_queries: int = 2048
 
 
@@ -152,9 +153,12 @@ def clean(vectors: DataFrame) -> DataFrame:
     return one.filter(F.size("embedding") == (lengths[0]["n"] if lengths else 0))
 
 
-def best_rows(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: the ids and exact scores of its best k rows, nearest first."""
+def best_rows(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: the ids and exact scores of its best k rows, nearest first. ``allowed`` tells which
+    rows a query may take."""
     rough = q @ x.T
+    if allowed is not None:
+        rough[~allowed] = -np.inf
     for i, scores in enumerate(rough):
         scores[x_ids == q_ids[i]] = -np.inf
         slack = CLOSE * (1 + np.abs(scores[np.isfinite(scores)]).max(initial=0.0))
@@ -236,42 +240,62 @@ def calibrate(queries: pd.DataFrame, rows: DataFrame, tree: Tree, sizes: np.ndar
     return visits, float(recall)
 
 
+def bins_of(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The bin of each leaf: leaves next to each other (numbered as the tree was split) while they have at
+    most ``most`` rows together."""
+    out, held, number = np.zeros(len(sizes), np.int64), 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            number, held = number + 1, 0
+        out[leaf] = number
+        held += n
+    return out
+
+
 def search(index: Index, queries: Column) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the neighbours of the index's rows for which ``queries`` holds."""
     s, spark = index.settings, index.rows.sparkSession
-    shared = spark.sparkContext.broadcast((index.tree, index.sizes))
+    bins = bins_of(index.sizes, s.block_rows)
+    shared = spark.sparkContext.broadcast((index.tree, index.sizes, bins))
     visits, least, k = index.visits, 2 * index.settings.k + 1, index.settings.k
     kind = index.rows.schema["embedding"].dataType.simpleString()
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, sizes = shared.value
+        tree, sizes, bins = shared.value
         for frame in frames:
-            if len(frame):
-                met = [tree.visit(q, visits, sizes, least) for q in stack(frame["embedding"])]
-                yield pd.DataFrame({"query_id": frame["vec_id"].to_numpy(), "query": frame["embedding"].to_numpy(), "leaf": [np.array(m, np.int32) for m in met]})
-
-    walked = index.rows.filter(queries).select("vec_id", "embedding").mapInPandas(walk, f"query_id long, query {kind}, leaf array<int>")
+            rows = []
+            for query_id, query, q in zip(frame["vec_id"].tolist(), frame["embedding"], stack(frame["embedding"]) if len(frame) else [], strict=True):
+                met = np.array(tree.visit(q, visits, sizes, least), np.int32)
+                rows += [(query_id, query, int(b), met[bins[met] == b]) for b in np.unique(bins[met])]
+            if rows:
+                yield pd.DataFrame(rows, columns=["query_id", "query", "bin", "leaves"])
+
+    walked = index.rows.filter(queries).select("vec_id", "embedding").mapInPandas(walk, f"query_id long, query {kind}, bin int, leaves array<int>")
     walked = materialise(walked, "visits")
-    # one row for each leaf: of bounded number
-    asked = {r["leaf"]: r["count"] for r in walked.select(F.explode("leaf").alias("leaf")).groupBy("leaf").count().collect()}
-    parts = [(i, -(-int(index.sizes[i]) // s.block_rows), -(-n // s.block_queries)) for i, n in asked.items()]
-    parts = F.broadcast(spark.createDataFrame(parts, "leaf int, row_parts int, query_parts int"))
+    # a row for each bin, and one for each leaf: of bounded number
+    asked = {r["bin"]: r["count"] for r in walked.groupBy("bin").count().collect()}
+    held = np.bincount(bins, weights=index.sizes)
+    parts = {b: (-(-int(held[b]) // s.block_rows), -(-n // s.block_queries)) for b, n in asked.items()}
+    by_leaf = F.broadcast(spark.createDataFrame([(leaf, int(b), *parts[b]) for leaf, b in enumerate(bins.tolist()) if b in parts], "leaf int, bin int, row_parts int, query_parts int"))
+    by_bin = F.broadcast(spark.createDataFrame([(int(b), *n) for b, n in parts.items()], "bin int, row_parts int, query_parts int"))
     part = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
     all_parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.rows.join(parts, "leaf").select("leaf", part("vec_id", F.col("row_parts")).alias("r"), all_parts("query_parts").alias("q"), "vec_id", "embedding")
-    right = walked.select("query_id", "query", F.explode("leaf").alias("leaf")).join(parts, "leaf").select("leaf", part("query_id", F.col("query_parts")).alias("q"), all_parts("row_parts").alias("r"), "query_id", "query")
+    left = index.rows.join(by_leaf, "leaf").select("bin", part("vec_id", F.col("row_parts")).alias("r"), all_parts("query_parts").alias("q"), "vec_id", "embedding", "leaf")
+    right = walked.join(by_bin, "bin").select("bin", part("query_id", F.col("query_parts")).alias("q"), all_parts("row_parts").alias("r"), "query_id", "query", "leaves")
 
     def meet(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asks):
             return _frame([])
         x, x_ids = stack(rows["embedding"]), rows["vec_id"].to_numpy()
+        here, leaf = np.unique(rows["leaf"].to_numpy(), return_inverse=True)
         found = []
-        for at in range(0, len(asks), 256):
-            some = asks.iloc[at : at + 256]
+        for at in range(0, len(asks), 128):
+            some = asks.iloc[at : at + 128]
             ids = some["query_id"].to_numpy()
-            found += [(int(ids[i]), own, scores) for i, own, scores in best_rows(stack(some["query"]), ids, x, x_ids, k)]
+            visited = np.stack([np.isin(here, leaves) for leaves in some["leaves"]])
+            found += [(int(ids[i]), own, scores) for i, own, scores in best_rows(stack(some["query"]), ids, x, x_ids, k, visited[:, leaf])]
         return _frame(found)
 
-    block = ["leaf", "r", "q"]
+    block = ["bin", "r", "q"]
     met = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(meet, RESULT)
     return top(met, k).select("query_id", "rank", "vec_id", "score")
