@@ -3,6 +3,8 @@ extra columns with clashing names."""
 
 import hashlib
 import random
+import textwrap
+from importlib.metadata import distribution
 from zlib import crc32
 
 import numpy as np
@@ -147,6 +149,50 @@ def test_licences_come_down_the_tree(spark):
     assert license_scan.inherit(license_scan.scan(empty, license_scan.corpus_weights(empty))).count() == 0
 
 
+HEADERS = {  # as projects write them, wrapped
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
+}
+PROSE = "The state of the house was such that any person could see it from the road, and in the end we had to sell the whole of it.\n" * 30
+
+
+def test_wrapped_headers_and_licence_texts(spark):
+    """Headers over several lines, behind comment marks and in prose; whole licence texts, by name or by opening."""
+    want, files = {}, []
+    for name, text in HEADERS.items():
+        for width in (40, 72, 80):
+            lines = [line for part in text.split("\n") for line in (textwrap.wrap(part, width) or [""])]
+            for mark in ("", "# ", " * "):
+                path = f"{name}/{width}{mark.strip()}.py"
+                files.append((path, "import os\nimport re\n" + "".join(mark + line + "\n" for line in lines) + "\n" + "def f(x): return x + 1\n" * 40))
+                want[path] = (name, 3)
+    for name, text in license_scan.TEXTS:
+        holder = "Copyright (c) 2019-2024 Ada Example <ada@example.org> and others\n\n"
+        for path, body in ((f"whole/{name}/LICENSE", text), (f"whole/{name}/17", text), (f"whole/{name}/18", holder + text), (f"whole/{name}/19", textwrap.fill(text, 50))):
+            files.append((path, body))
+            want[path] = (name, 0)
+    for path, text in (("prose/LICENSE", PROSE), ("prose/1", "Permission and copyright are words.\n" + PROSE), ("prose/2", PROSE + "the license"), ("prose/3", "license\n" * 50)):
+        files.append((path, text))
+        want[path] = (None, None)
+    rows = spark.createDataFrame(files, "path string, text string").repartition(8)
+    got = {r["path"]: (r["licence"], r["licence_line"]) for r in license_scan.scan(rows, license_scan.corpus_weights(rows)).collect()}
+    assert got == want
+
+
+def test_licence_files_of_packages(spark):
+    """Licence files as published, of packages that these tests use: by name and by opening."""
+    want = {"pytest": "MIT", "duckdb": "MIT", "tiktoken": "MIT", "hypothesis": "MPL-2.0", "psutil": "BSD-3-Clause"}
+    text = {p: next(f for f in distribution(p).files if f.name.startswith("LICENSE") and ".dist-info" in str(f)).locate().read_text() for p in want}
+    rows = spark.createDataFrame([(f"{p}/{name}", t) for p, t in text.items() for name in ("LICENSE", "7")], "path string, text string")
+    got = {r["path"]: r["licence"] for r in license_scan.scan(rows, license_scan.corpus_weights(rows)).collect()}
+    assert got == {f"{p}/{name}": licence for p, licence in want.items() for name in ("LICENSE", "7")}
+
+
 # 5
 
 

@@ -49,7 +49,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree: source, language, then a directory for each digit of doc_id but the
-    last two. A document that opens with its licence speaks for its directory as well."""
+    last two. A document that opens with its licence, or is one as a whole, speaks for its directory as well."""
     docs = table(spark, sf_dir, "documents")
     name = F.col("doc_id").cast("string")
     digits = F.filter(F.split(F.regexp_replace(name, ".{1,2}$", ""), ""), lambda d: d != "")
@@ -57,7 +57,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
     weights = license_scan.corpus_weights(files)
     scanned = materialise(license_scan.scan(files, weights).drop("text"), "licences")
-    return license_scan.inherit(scanned, F.col("licence_line") == 1).select("doc_id", "path", "licence", "licence_via", "licence_from", "licence_line", "licence_score")
+    return license_scan.inherit(scanned, F.col("licence_line") <= 1).select("doc_id", "path", "licence", "licence_via", "licence_from", "licence_line", "licence_score")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
