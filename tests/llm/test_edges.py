@@ -3,6 +3,7 @@ extra columns with clashing names."""
 
 import hashlib
 import random
+import re
 import textwrap
 from importlib.metadata import distribution
 from zlib import crc32
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_queries import brute_groups, brute_sets, brute_shard
+from tests.llm.test_queries import brute_groups, brute_quality, brute_sets, brute_shard
 from verbatix.llm import byte_bpe, chat_format, jaccard_join, kmeans_tree, license_scan, packing, quality_rules, secret_ledger, sharding, token_store
 from verbatix.llm.common import BatchMemo, new_path
 
@@ -241,6 +242,53 @@ def test_quality_of_odd_rows(odd, none):
     assert measured["coverage_10"].tolist()[0] == 1.0 and not measured["kept"][0] and measured["kept"][2]
 
 
+def brute_measures(text):
+    """coverage, top and line_coverage, window by window."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    total, out = max(sum(map(len, words)), 1), {}
+    for n in quality_rules.COVERAGE_LIMITS:
+        at = {}
+        for i in range(len(words) - n + 1):
+            at.setdefault(tuple(words[i : i + n]), []).append(i)
+        again = {w: places for w, places in at.items() if len(places) > 1}
+        out[f"coverage_{n}"] = sum(len(words[i]) for i in {i + j for places in again.values() for i in places for j in range(n)}) / total
+        if n in quality_rules.TOP_LIMITS:
+            out[f"top_{n}"] = min(1.0, max((len(places) * sum(map(len, w)) for w, places in again.items()), default=0) / total)
+    lines, seen = 0, set()
+    for line in text.split("\n"):
+        if line.strip(" \t\n\v\f\r"):
+            lines += len(line) * (line in seen)
+            seen.add(line)
+    return out | {"line_coverage": lines / max(len(text), 1)}
+
+
+def brute_kept(text, m):
+    limits = {f"coverage_{n}": x for n, x in quality_rules.COVERAGE_LIMITS.items()} | {f"top_{n}": x for n, x in quality_rules.TOP_LIMITS.items()} | {"line_coverage": quality_rules.LINE_LIMIT}
+    return not brute_quality(text)[-1] and all(m[k] <= x for k, x in limits.items())
+
+
+def test_quality_measures_against_brute_force(spark, sf_dir):
+    """Every measure and the verdict, on the table and on documents that pass the base rule and no more."""
+    changing = [f"w{i}" for i in range(1000)]
+    one = {n: " ".join(" ".join(["buy", "cheap", "pills", "now"][:n]) + " " + w for w in changing[:60]) for n in (2, 3, 4)}
+    many = {n: " ".join(" ".join(f"phrase{i % 12}part{j}" for j in range(n)) + " " + w for i, w in enumerate(changing[:120])) for n in (2, 3, 4)}
+    lines = "\n".join(x for i, w in enumerate(changing[:60]) for x in (f"menu {'x' * 40}{i % 15}", w))
+    long_words = " ".join([*changing[:160], *["q" * 30 + str(i) for i in range(12)], *changing[160:300], *["q" * 30 + str(i) for i in range(12)]])
+    only = [*one.values(), *many.values(), lines, long_words]
+    plain = [" ".join(changing), "a few words that do not come twice in this small text here"]
+    for text in only:
+        assert not brute_quality(text)[-1] and not brute_kept(text, brute_measures(text))
+    docs = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts = [*only, *plain, "", *docs]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r for r in quality_rules.quality(rows).collect()}
+    for i, text in enumerate(texts):
+        want = brute_measures(text)
+        assert {k: got[i][k] for k in want} == pytest.approx(want, abs=1e-12)
+        assert got[i]["kept"] == brute_kept(text, want)
+    assert [got[i]["kept"] for i in range(len(only) + 3)] == [False] * len(only) + [True, True, False]
+
+
 def test_sharding_of_odd_rows(odd, none):
     got = sharding.shard(odd.withColumns({"shard": F.lit(1), "slot": F.lit(2)})).collect()
     assert len(got) == len(ODD)
