@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: For sessions that name no shared folder (local tests only).
-LOCAL_FALLBACK = "file:///tmp/checkpoints"
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names as ``spark.checkpoint.dir``. Only a session whose executors are threads of the
+    driver's machine may do without one; on a cluster, each machine would write to its own disk."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return _local_folder()
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", "") or LOCAL_FALLBACK
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet and reads it again, which cuts its lineage; the files outlive executors."""
+    """Writes ``df`` as Parquet in the shared folder and reads it again: the lineage ends there, and the table
+    outlives any executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one run in a folder of their own; those that nothing reads any more can be dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, new_path(spark, name), {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path, _ = self.paths[id(table)]
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
