@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_queries import brute_groups, brute_quality, brute_sets, brute_shard
 from verbatix.llm import byte_bpe, chat_format, jaccard_join, kmeans_tree, license_scan, packing, quality_rules, secret_ledger, sharding, token_store
-from verbatix.llm.common import BatchMemo, new_path
+from verbatix.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i}" for i in range(30_000))

@@ -16,20 +16,20 @@ an empty table gives an empty table; other columns are kept as they are. Ids are
 from __future__ import annotations
 
 import base64
-import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from os.path import commonprefix
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BatchMemo, Memo, is_plain, pack_ids, spans_of, tokenizer_path, word_ids
+from .common import Memo, spans, tokenizer_path
+from .words import BLOCK_BYTES, Words, as_text, pack_lists
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -42,6 +42,7 @@ class PrefixEncoder:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.size_of = {r: len(b) for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.texts = pa.array([self.bytes_of.get(i) for i in range(max(ranks.values()) + 1)], pa.large_binary())
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._stable: dict[int, bool] = Memo(lambda pair: self._pair_is_stable(pair >> 32, pair & 0xFFFFFFFF), 1_000_000)
         self._tokens = ahocorasick.Automaton()
@@ -129,6 +130,17 @@ class PrefixEncoder:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_all(self, rows: pa.Array) -> Iterator[bytes]:
+        """The bytes of each row of packed ids."""
+        for start, stop in spans(rows, BLOCK_BYTES):
+            some = rows.slice(start, stop - start).fill_null(b"")
+            sizes = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            flat = self.texts.take(pa.array(np.frombuffer(b"".join(some.to_pylist()), "<u4")))
+            offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset :] if len(flat) else np.zeros(1, np.int64)
+            data, at = memoryview(flat.buffers()[2] or b"").cast("B"), offsets[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                yield bytes(data[a:b])
+
 
 class EditableEncoding:
     """The encoding of one byte string that takes appends and edits."""
@@ -162,51 +174,31 @@ class EditableEncoding:
         return self.encoder.walk_back(self.last)
 
 
-# A run of white space is cut before its last character. Cutting a text at every space therefore gives
-# the pattern's own pieces, unless a space has white space on both sides, or before it and the end after it.
-_ENCLOSED_SPACE = re.compile(r"\s (?:\s|\Z)")
-#: White space and a space: without any of these pairs nothing is enclosed, and they are found much faster.
-_PAIRS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
+# A run of white space is cut before its last character. Cutting a text before every space therefore gives the
+# pattern's own pieces, unless a space has white space on both sides, or before it and the end after it. The
+# same holds for a line feed without white space beside it, which is a piece of its own.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WHOLE = rf"{_SPACE} (?:{_SPACE}|\z)|\x00"
+_WIDE = rf"\n{_SPACE}|{_SPACE}\n"
 
 
 class SpacedText:
-    """Encodes texts piece by piece. ``encode_all`` gives the ids of a list of pieces, each encoded by itself;
-    ``cut`` cuts a text into pieces. The ids of the words between spaces are remembered."""
-
-    def __init__(self, encode_all, cut):
-        self.encode_all, self.cut = encode_all, cut
-        self.spaced = BatchMemo(lambda words: self._encode([self._spaced_pieces(w) for w in words]))
-        self.bare = BatchMemo(lambda pieces: self._encode([self.cut(p) for p in pieces]), 100_000)
-
-    def _spaced_pieces(self, word: str) -> list[str]:
-        """The pieces of a space and a word; the most common shapes without the pattern."""
-        if is_plain(word):
-            return [" " + word]
-        if word[-1:] in (",", ".") and is_plain(word[:-1]):
-            return [" " + word[:-1], word[-1]]
-        return self.cut(" " + word)
-
-    def _encode(self, cut: list[list[str]]) -> list[bytes]:
-        pieces = list({p for parts in cut for p in parts})
-        ids = dict(zip(pieces, map(pack_ids, self.encode_all(pieces)), strict=True))
-        return [b"".join(map(ids.__getitem__, parts)) for parts in cut]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """A text is its first word and the others, each after a space, unless it must be cut as a whole.
-        The other words are split and numbered by Arrow; only distinct ones become Python strings."""
-        heads, rests = [], []
-        for text in texts:
-            if text and any(pair in text for pair in _PAIRS) and _ENCLOSED_SPACE.search(text):
-                heads.append(self.cut(text))
-                rests.append(None)
-            else:
-                first, space, rest = (text or "").partition(" ")
-                heads.append([first] if first else [])
-                rests.append(rest if space else None)
-        self.bare.fill(set().union(*heads))
-        bare = self.bare.__getitem__
-        tails = word_ids(pc.split_pattern(pa.array(rests, pa.large_string()), " "), self.spaced)
-        return [b"".join(map(bare, head)) + tail for head, tail in zip(heads, tails, strict=True)]
+    """Encodes texts cut before spaces and line feeds. ``plain`` gives the packed ids of words of letters, each after
+    a space or line feed, ``whole`` those of a list of any strings."""
+
+    def __init__(self, plain: Callable[[pa.Array], pa.Array], whole: Callable[[list[str]], pa.Array]):
+        self.whole, self.words = whole, Words(plain, whole, after_space=True)
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        for start, stop in spans(texts, BLOCK_BYTES):
+            block = texts.slice(start, stop - start)
+            as_whole = pc.fill_null(pc.match_substring_regex(block, _WHOLE), False)
+            spaced = pc.replace_substring(block, " ", "\x00 ")
+            both = pc.if_else(pc.match_substring_regex(block, _WIDE), spaced, pc.replace_substring(spaced, "\n", "\x00\n"))
+            data, at = self.words.lists(pc.split_pattern(pc.if_else(as_whole, None, both), "\x00"))
+            whole = iter(self.whole(block.filter(as_whole).to_pylist()).to_pylist())
+            for one, a, b in zip(as_whole.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield next(whole) if one else bytes(data[a:b])
 
 
 def white_space_pattern(pattern: str) -> regex.Pattern:
@@ -225,24 +217,30 @@ def encoder(file: str = RANKS) -> PrefixEncoder:
 def text_encoder(file: str = RANKS, pattern: str | None = None) -> SpacedText:
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
-    one = encoder(file)
-    return SpacedText(lambda pieces: one.encode_all([p.encode() for p in pieces]), white_space_pattern(pattern).findall)
+    one, cut = encoder(file), white_space_pattern(pattern).findall
+
+    def whole(texts: list[str]) -> pa.Array:
+        parts = [cut(t) for t in texts]
+        pieces = list({p for ps in parts for p in ps})
+        ids = dict(zip(pieces, one.encode_all([p.encode() for p in pieces]), strict=True))
+        return pack_lists([[i for p in ps for i in ids[p]] for ps in parts])
 
+    def plain(words: pa.Array) -> pa.Array:
+        """A line feed is a piece of its own."""
+        pieces = words.to_pylist()
+        ids = one.encode_all([p.removeprefix("\n").encode() for p in pieces])
+        feed = one.encode(b"\n")
+        return pack_lists([feed + i if p[0] == "\n" else i for p, i in zip(pieces, ids, strict=True)])
 
-def encode_series(texts: pd.Series, one: SpacedText) -> pd.Series:
-    """Ids of a batch of texts, a bounded block at a time."""
-    out: list[bytes] = []
-    for start, stop in spans_of(texts):
-        out += one.ids(texts.iloc[start:stop].tolist())
-    return pd.Series(out, dtype=object)
+    return SpacedText(plain, whole)
 
 
 def encode(df: DataFrame, file: str = RANKS, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the ids of each text in ``out``."""
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return encode_series(texts, text_encoder(file))
+    @F.arrow_udf("binary")
+    def ids(texts: pa.Array) -> pa.Array:
+        return pa.array(list(text_encoder(file).ids(as_text(texts))), pa.binary())
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -250,10 +248,9 @@ def encode(df: DataFrame, file: str = RANKS, text: str = "text", out: str = "ids
 def decode(df: DataFrame, file: str = RANKS, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes of each row's ids in ``out``; null ids have no bytes."""
 
-    @F.pandas_udf("binary")
-    def data(rows: pd.Series) -> pd.Series:
-        one = encoder(file)
-        return pd.Series([one.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in rows], dtype=object)
+    @F.arrow_udf("binary")
+    def data(rows: pa.Array) -> pa.Array:
+        return pa.array(list(encoder(file).decode_all(rows)), pa.binary())
 
     return df.withColumn(out, data(F.col(ids)))
 

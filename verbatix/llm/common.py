@@ -3,34 +3,16 @@
 from __future__ import annotations
 
 import os
-import struct
-import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-#: Where tables go when the cluster names no shared folder (local tests only).
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session's ``spark.checkpoint.dir`` names it."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or f"file://{LOCAL_FALLBACK}").rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again: the lineage ends there,
-    and the table outlives any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..shared import Scratch, materialise, new_path, shared_dir
 
+__all__ = ["Scratch", "materialise", "new_path", "shared_dir"]
 
 # ---------------------------------------------------------------------------------------------
 # Word hashing on whole Arrow batches
@@ -40,17 +22,21 @@ _BYTE_HASH = _SEED.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: list[np.ndarray] = []
+#: Bytes that are hashed at once; a longer word is hashed by tables of its own.
+_PIECE = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse modulo 2**64."""
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        one, two = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (_BASE, inverse))
+    return one, two
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for at least ``n`` positions."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, x, np.uint64))), dtype=np.uint64) for x in (_BASE, inverse)]
-    return _powers[0], _powers[1]
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(2 * _PIECE + 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -64,18 +50,29 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of ``data``, and their byte starts and ends.
-
-    A polynomial rolling hash over the whole buffer: the hash of a word is the difference of two
-    prefix sums, brought back to position 0 by the inverse power of its start."""
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of ``data``, and their byte starts and ends."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    if not len(raw):
-        none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none
+    parts, start = [], 0
+    while start < len(raw) or not parts:
+        stop = len(raw)
+        if stop - start > 2 * _PIECE:  # up to the next white space
+            stop = start + _PIECE
+            while stop < len(raw) and not (gaps := np.flatnonzero(_GAP[raw[stop : stop + _PIECE]])).size:
+                stop += _PIECE
+            stop = min(len(raw), stop + int(gaps[0])) if stop < len(raw) else len(raw)
+        hashes, starts, ends = _piece_hashes(raw[start:stop])
+        parts.append((hashes, starts + start, ends + start))
+        start = stop
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A polynomial rolling hash over all bytes: the hash of a word is the difference of two prefix sums, brought
+    back to position 0 by the inverse power of its start."""
     gap = np.concatenate(([True], _GAP[raw], [True]))
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    power, inverse = _power_tables(len(raw) + 1)
+    power, inverse = _usual_powers() if len(raw) <= 2 * _PIECE else _powers(len(raw) + 1)
     with np.errstate(over="ignore"):
         prefix = np.empty(len(raw) + 1, dtype=np.uint64)
         prefix[0] = 0
@@ -84,32 +81,21 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h), starts, ends
 
 
-def blocks_of(texts, most_bytes: int = 1 << 20):
-    """Consecutive groups of a batch's texts as (first index, encoded texts), of about ``most_bytes``
-    bytes; one longer text is a group of its own."""
-    group: list[bytes] = []
-    first = size = 0
-    for i, text in enumerate(texts):
-        data = text.encode("utf-8", "surrogatepass") if text else b""
-        if group and size + len(data) > most_bytes:
-            yield first, group
-            group, first, size = [], i, 0
-        group.append(data)
-        size += len(data)
-    if group:
-        yield first, group
-
-
-def spans_of(texts, most_chars: int = 1 << 21):
-    """(start, stop) of consecutive groups of a batch's texts of about ``most_chars`` characters."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text or "") > most_chars:
-            yield start, i
-            start, size = i, 0
-        size += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
+def spans(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of consecutive rows of about ``most`` bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, stop
+        start = stop
+
+
+def blocks_of(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive rows as (first row, encoded texts), of about ``most`` bytes; a null text is empty."""
+    for start, stop in spans(texts, most):
+        yield start, pc.fill_null(texts.slice(start, stop - start).cast(pa.binary()), b"").to_pylist()
 
 
 class Memo(dict):
@@ -131,57 +117,10 @@ class Memo(dict):
         return value
 
 
-class BatchMemo(dict):
-    """Values of many keys at once: ``fill(keys)`` makes those that are not known by one call of
-    ``make_all(list of keys)``. After a fill all of its keys are there; keys of older fills go in turn when
-    there are more than ``most``."""
-
-    def __init__(self, make_all, most: int = 600_000):
-        super().__init__()
-        self.make_all, self.most, self.old = make_all, most, {}
-
-    def fill(self, keys) -> None:
-        """``keys`` are distinct."""
-        missing = [k for k in keys if k not in self]
-        if len(self) + len(missing) > self.most:
-            wanted = set(keys)
-            self.old = {k: v for k, v in self.items() if k not in wanted}
-            for k in self.old:
-                del self[k]
-        old, fresh = self.old, []
-        for k in missing:
-            if (value := old.pop(k, None)) is None:
-                fresh.append(k)
-            else:
-                self[k] = value
-        if fresh:
-            self.update(zip(fresh, self.make_all(fresh), strict=True))
-
-
-def word_ids(words: pa.Array, memo: BatchMemo) -> list[bytes]:
-    """The ids of each list of words laid end to end (packed); a null list has none."""
-    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-    coded = words.flatten().dictionary_encode()
-    distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-    memo.fill(distinct)
-    packed = list(map(memo.__getitem__, distinct))
-    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
-    table, begin = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(sizes) - sizes
-    size = sizes[code]
-    until = np.cumsum(size)
-    flat = table[np.repeat(begin[code] - (until - size), size) + np.arange(until[-1] if len(until) else 0)]
-    ends = np.concatenate(([0], until))[np.cumsum(lengths)].tolist()
-    data = memoryview(flat).cast("B")
-    return [bytes(data[4 * a : 4 * b]) for a, b in zip([0, *ends], ends, strict=False)]
-
-
-def pack_ids(ids) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-def is_plain(word: str) -> bool:
-    """Letters only, of the Latin blocks, on whose class all libraries agree."""
-    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of "name type, name type, ..." with plain types."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
 def tokenizer_path(name: str) -> str:

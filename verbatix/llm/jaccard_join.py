@@ -1,47 +1,48 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are alike, and the groups they form.
 
-1. Each text becomes a set of 64-bit n-gram hashes; equal sets become one class.
-2. All n-grams of all texts are counted in a fixed table of counters. Every set is ordered by these counts,
-   rarest first (ties by hash): one order for all sets, so prefix filters lose no link, and frequent
-   n-grams stand last.
-3. A sieve finds classes that may have a partner. Two linked sets share at least L of their first p + L - 1
-   n-grams, p being the length of the usual prefix; a class that shares fewer with all others together has
-   none. N-grams met twice in a block of texts are credited there, so a frequent one sends a row a block.
-4. Of the classes left, prefix postings are joined to candidate pairs under a length, a positional and a
-   suffix filter, and each pair is verified once by counting the intersection.
-5. Only groups are asked for, so a pair within one group needs no check. Rounds compare the members of
-   each posting list with one centre and merge what is linked; when no more pairs across groups are left
-   than prefixes have n-grams, all of these are compared. No candidate is left out, and no list is expanded into all its pairs.
+1. Each text becomes a set of 64-bit n-gram hashes; equal sets become one node. In the same pass all n-grams are
+   counted in a fixed table of counters.
+2. A sieve finds nodes that may have a partner. Sets are ordered by these counts, rarest first (ties by hash): one
+   order for all sets. Two linked sets share at least L of their first p + L - 1 n-grams, p being the length
+   of the usual prefix; a node that shares fewer with all others together has none. N-grams met twice in a
+   block of texts are credited there, so a frequent one sends a row a block.
+3. The n-grams of the nodes left are counted exactly. An n-gram of one node only is in no intersection: what
+   remains of a set is its core, in order of these counts, rarest first. Nodes of equal core and equal size have
+   the same links to all others and form a class; they are linked to each other if the core is large enough.
+4. Prefix postings of the classes' cores are joined to candidate pairs under a length, a positional and a suffix
+   filter, and each pair is verified once by counting the intersection.
+5. Only groups are asked for, so a pair within one group needs no check. A round compares the members of each
+   posting list with some of them, its centres, merges what is linked, and takes the centres out of the list, as all of
+   their pairs there are decided. The number of centres doubles with each round, until no list spans two groups.
+   No candidate is left out.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. A text with fewer words than n is one
 n-gram; one without words has the empty set and no links.
 
-Defined results: a null text has no words; equal texts share a class; rows with equal ids are grouped by
+Defined results: a null text has no words; equal texts share a node; rows with equal ids are grouped by
 their own texts, each row giving a row; a null id is grouped as well, its group named by the smallest
-non-null id, if any; an empty table gives an empty table; other columns are ignored.
+non-null id, if any; an empty table gives an empty table; other columns are ignored. The tables of a run stand
+in one folder below the shared one; those that the result does not read are deleted.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of, materialise, mix, word_hashes
+from .common import Scratch, arrow_schema, blocks_of, mix, word_hashes
 
 #: Equal ranges of the hash space in which the suffix filter compares counts.
-RANGES = 32
+RANGES = 16
 #: Counters for n-grams (four bytes each), in slices that are summed apart: a table of 4 MB at any input.
 COUNTERS, SLICES = 1 << 20, 256
-#: Classes up to this count are sent to all executors as ids (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 500_000
-
 
 @dataclass(frozen=True)
 class Likeness:
@@ -54,8 +55,9 @@ class Likeness:
         """With any partner a set of n has so much in common: ceil(percent * n / 100)."""
         return (n * self.percent + 99) // 100
 
-    def prefix(self, n):
-        return n - self.least_overlap(n) + 1
+    def prefix(self, n, core=None):
+        """A partner shares one of so many first n-grams of a set of n, or of its core."""
+        return (n if core is None else core) - self.least_overlap(n) + 1
 
     def extra(self, n):
         """L of the sieve, growing with n."""
@@ -94,46 +96,56 @@ def _set_key(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _text_blocks(frames: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+def _text_blocks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows of bounded text with their sets."""
-    for frame in frames:
-        for at, texts in blocks_of(frame["text"]):
-            yield frame.iloc[at : at + len(texts)], shingle_sets(texts, words)
+    for batch in batches:
+        for at, texts in blocks_of(batch["text"]):
+            yield batch.slice(at, len(texts)), shingle_sets(texts, words)
 
 
-def fingerprints(docs: DataFrame, id: str, like: Likeness) -> DataFrame:
-    """id, n and node (the set's name)."""
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """An Arrow list array of 64-bit numbers."""
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+PRINTS = "id long, n long, node long, slice int, part int, counts binary"
+
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, sets in _text_blocks(frames, like.words):
-            yield pd.DataFrame({"id": rows["id"].astype("Int64").array, "n": np.array([len(s) for s in sets], np.int64), "node": np.array([_set_key(s) for s in sets], np.int64)})
+def fingerprints(docs: DataFrame, id: str, like: Likeness) -> DataFrame:
+    """A row of id, n and node (the set's name) for each text. Every task adds its counts of all n-grams, in rows of
+    their own (slice, part, counts)."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, schema = np.zeros(COUNTERS, np.int64), arrow_schema(PRINTS)
+        for some, sets in _text_blocks(rows, like.words):
+            items = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            counts += np.bincount(counter_of(items), minlength=COUNTERS)
+            none = [pa.nulls(len(sets), schema.field(c).type) for c in ("slice", "part", "counts")]
+            yield pa.RecordBatch.from_arrays([some["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.int64()), *none], schema=schema)
+        if counts.any():
+            task = TaskContext.get().partitionId()
+            frame = pd.DataFrame({"slice": np.arange(SLICES), "part": task % 1024, "counts": [c.tobytes() for c in _narrow(counts).reshape(SLICES, -1)]})
+            yield pa.RecordBatch.from_pandas(frame.reindex(columns=schema.names), schema, preserve_index=False)
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col("text")).mapInPandas(batches, "id long, n long, node long")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col("text")).mapInArrow(batches, PRINTS)
 
 
 def counter_of(items: np.ndarray) -> np.ndarray:
     return (items >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def ngram_counts(docs: DataFrame, like: Likeness) -> np.ndarray:
-    """The counters over all texts. Every task sends its own counts in slices; these are summed in two
-    steps, so that no group holds more than the square root of all tasks."""
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(COUNTERS, np.int64)
-        for _, sets in _text_blocks(frames, like.words):
-            if sets:
-                counts += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
-        if counts.any():
-            task = TaskContext.get().partitionId()
-            yield pd.DataFrame({"slice": np.arange(SLICES), "part": task % 1024, "counts": [c.tobytes() for c in _narrow(counts).reshape(SLICES, -1)]})
+def summed_counts(prints: DataFrame) -> np.ndarray:
+    """The counters over all texts. Slices are summed in two steps, so that no group holds more than the square
+    root of all tasks; the table that reaches the driver has a fixed size."""
 
     def summed(group: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(c, "<u4") for c in group["counts"]], axis=0, dtype=np.int64)
         return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": group["part"].iloc[:1], "counts": [_narrow(total).tobytes()]})
 
     schema = "slice int, part int, counts binary"
-    sums = docs.select("text").mapInPandas(batches, schema)
+    sums = prints.filter("slice IS NOT NULL").select("slice", "part", "counts")
     sums = sums.groupBy("slice", "part").applyInPandas(summed, schema).groupBy("slice").applyInPandas(summed, schema)
     out = np.zeros((SLICES, COUNTERS // SLICES), "<u4")
     for r in sums.select("slice", "counts").collect():
@@ -150,32 +162,22 @@ def rare_first(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return items[np.argsort(counts[counter_of(items)], kind="stable")]
 
 
-def sets_of(docs: DataFrame, like: Likeness, counts) -> DataFrame:
-    """node, n, items (ascending as signed numbers), ranges (counts of items in equal ranges of the hash
-    space) and prefix (the first items in the common order)."""
-    shift = np.uint64(64 - RANGES.bit_length() + 1)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, found in _text_blocks(frames, like.words):
-            sets = [s for s in found if len(s)]
-            ranges = [np.bincount((s >> shift).astype(np.int64), minlength=RANGES).astype(np.int32) for s in sets]
-            prefix = [rare_first(s, counts.value)[: like.prefix(len(s))].view(np.int64) for s in sets]
-            yield pd.DataFrame({"node": np.array([_set_key(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int64), "items": [np.sort(s.view(np.int64)) for s in sets], "ranges": ranges, "prefix": prefix})
-
-    return docs.select("text").mapInPandas(batches, "node long, n long, items array<long>, ranges array<int>, prefix array<long>")
-
-
 def overlap_of(n: Column, like: Likeness) -> Column:
     return F.floor((n * like.percent + 99) / 100)
 
 
+# ---------------------------------------------------------------------------------------------
+# the sieve
+
+
 def sieve_rows(docs: DataFrame, like: Likeness, counts) -> DataFrame:
-    """item, node and credit. A class sends the first n-grams of its set with credit 0. An n-gram of two or
-    more classes of one block is credited to them on the spot (in a row of their own) and sent once."""
+    """item, node and credit. A node sends the first n-grams of its set with credit 0. An n-gram of two or
+    more nodes of one block is credited to them on the spot (in a row of their own) and sent once."""
+    schema = "item long, node long, credit int"
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, found in _text_blocks(frames, like.words):
-            sets = {_set_key(s): s for s in found if len(s) > 1}
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _text_blocks(rows, like.words):
+            sets = {_set_key(s): s for s in found if len(s)}
             if not sets:
                 continue
             nodes = np.array(list(sets), np.int64)
@@ -187,134 +189,201 @@ def sieve_rows(docs: DataFrame, like: Likeness, counts) -> DataFrame:
             shared = ~fresh | np.concatenate((~fresh[1:], [False]))
             credit = np.bincount(owner[shared], minlength=len(nodes))
             some = np.flatnonzero(credit)
-            yield pd.DataFrame(
-                {
-                    "item": np.concatenate([items[fresh].view(np.int64), nodes[some]]),
-                    "node": np.concatenate([nodes[owner[fresh]], nodes[some]]),
-                    "credit": np.concatenate([np.zeros(int(fresh.sum()), np.int32), credit[some].astype(np.int32)]),
-                }
+            columns = (
+                np.concatenate([items[fresh].view(np.int64), nodes[some]]),
+                np.concatenate([nodes[owner[fresh]], nodes[some]]),
+                np.concatenate([np.zeros(int(fresh.sum()), np.int32), credit[some].astype(np.int32)]),
             )
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=arrow_schema(schema))
 
-    return docs.select("text").mapInPandas(batches, "item long, node long, credit int")
+    return docs.select("text").mapInArrow(batches, schema)
 
 
-def sieve(docs: DataFrame, classes: DataFrame, like: Likeness, counts) -> DataFrame:
-    """id and node of the classes (node, n, id) that may have a partner; id stands for the class."""
+def sieve(docs: DataFrame, nodes: DataFrame, like: Likeness, counts) -> DataFrame:
+    """id and node of the nodes (node, n, id) that may have a partner; id stands for the node."""
     item = Window.partitionBy("item")
     met = sieve_rows(docs, like, counts).withColumns({"low": F.min("node").over(item), "high": F.max("node").over(item)})
     credit = F.when(F.col("credit") > 0, F.col("credit")).when(F.col("low") != F.col("high"), 1).otherwise(0)
     credits = met.select("node", credit.alias("credit")).filter("credit > 0").groupBy("node").agg(F.sum("credit").alias("k"))
     partner = overlap_of(F.col("n"), like)
     least = F.floor((partner - overlap_of(partner, like) + 1 + 3) / 4)
-    return credits.join(classes, "node").filter(F.col("k") >= least).select("id", "node")
+    return credits.join(nodes, "node").filter(F.col("k") >= least).select("id", "node")
+
 
+# ---------------------------------------------------------------------------------------------
+# cores and classes
 
-def prefix_postings(sets: DataFrame) -> DataFrame:
-    """item, node, n, pos (from 0) of the prefixes, without n-grams that no other prefix has. Of n-grams that
-    the very same classes have, one stands for all: every pair of theirs meets there, and the bounds on
-    length and position hold for any n-gram that a pair shares."""
-    rows = sets.select("node", "n", F.posexplode("prefix").alias("pos", "item"))
-    lists = rows.groupBy("item").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+
+def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
+    """node, n and items of each text's set."""
+    schema = "node long, n long, items array<long>"
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _text_blocks(rows, like.words):
+            sets = [s for s in found if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], schema=arrow_schema(schema))
+
+    return docs.select("text").mapInArrow(batches, schema)
+
+
+def cores(sets: DataFrame, like: Likeness) -> DataFrame:
+    """node, n and core (n-grams of two nodes or more, rarest first) of the nodes whose core can be most of a partner.
+    A hot n-gram is counted in parts first, and its rows are split by the skew join."""
+    rows = sets.select("node", "n", F.explode("items").alias("item"))
+    shared = rows.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    of_node = rows.join(shared, "item").groupBy("node", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("core"))
+    return of_node.filter(F.size("core") >= overlap_of(F.col("n"), like))
+
+
+def members(cored: DataFrame) -> DataFrame:
+    """node, n, core and cls: the smallest node of equal core and size."""
+    keyed = cored.select("node", "n", F.xxhash64("core").alias("x"), F.xxhash64(F.lit(1), "core").alias("y"))
+    first = keyed.groupBy("n", "x", "y").agg(F.min("node").alias("cls"))
+    return keyed.join(first, ["n", "x", "y"]).select("node", "n", "cls")
+
+
+POSTINGS = "item long, cls long, n long, m long, pos long, suffix array<int>"
+
+
+def prefix_postings(classes: DataFrame, like: Likeness) -> DataFrame:
+    """item, cls, n, m (size of the core), pos (from 0) and suffix (counts of the n-grams after pos in ranges of the
+    hash space) of the prefixes."""
+    shift = np.uint64(64 - RANGES.bit_length() + 1)
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for cls, n, core in zip(batch["cls"].to_pylist(), batch["n"].to_pylist(), batch["core"], strict=True):
+                items = core.values.to_numpy()
+                p = like.prefix(n, len(items))
+                kind = (items.view(np.uint64) >> shift).astype(np.int64)
+                upto = np.cumsum(kind[:p, None] == np.arange(RANGES), axis=0)
+                suffix = np.bincount(kind, minlength=RANGES) - upto
+                columns = [pa.array(items[:p]), *(pa.array(np.full(p, x, np.int64)) for x in (cls, n, len(items))), pa.array(np.arange(p)), pa.ListArray.from_arrays(pa.array(np.arange(p + 1) * RANGES, pa.int32()), pa.array(suffix.reshape(-1).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema(POSTINGS))
+
+    return classes.select("cls", "n", "core").mapInArrow(batches, POSTINGS)
+
+
+def distinct_lists(postings: DataFrame) -> DataFrame:
+    """Postings without n-grams that no other prefix has. Of n-grams that the very same classes have, one stands
+    for all: every pair of theirs meets there, and the bounds hold for any n-gram that a pair shares."""
+    lists = postings.groupBy("item").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
     kept = lists.filter("df > 1").groupBy("df", "x", "y").agg(F.min("item").alias("item")).select("item")
-    return rows.join(kept, "item").select("item", "node", "n", F.col("pos").cast("long").alias("pos"))
+    return postings.join(kept, "item", "left_semi")
 
 
-def _bounds(like: Likeness) -> Column:
-    """Length and positional filter of a pair (a, b) that share an n-gram at their positions."""
-    na, nb = F.col("na"), F.col("nb")
-    least = F.ceil((na + nb) * like.percent / (100 + like.percent) - 1e-6)
-    upper = F.least("pa", "pb") + 1 + F.least(na - F.col("pa") - 1, nb - F.col("pb") - 1)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * like.percent) & (upper >= least)
+# ---------------------------------------------------------------------------------------------
+# pairs
 
 
-def verify(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The linked ones of the pairs (a, b, la, lb), each verified once: first by the counts in ranges of the
-    hash space (suffix filter), then by the intersection."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}"), F.col("ranges").alias(f"r{x}"))
-    joined = pairs.select("a", "b", "la", "lb").dropDuplicates(["a", "b"]).join(side("a"), "a").join(side("b"), "b")
-    most = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    linked = lambda common: common * 100 >= (F.col("na") + F.col("nb") - common) * like.percent
-    common = F.when(linked(most), F.size(F.array_intersect("ia", "ib"))).otherwise(0)
-    return joined.filter(linked(common)).select("la", "lb")
+def _linked(common: Column, like: Likeness) -> Column:
+    return common * 100 >= (F.col("na") + F.col("nb") - common) * like.percent
 
 
-def components(links: DataFrame) -> DataFrame:
+def _bounds(like: Likeness) -> Column:
+    """Length, positional and suffix filter of a pair (a, b) that share an n-gram at their positions."""
+    after = F.least(F.col("ma") - F.col("pa") - 1, F.col("mb") - F.col("pb") - 1)
+    alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    head = F.least("pa", "pb") + 1
+    length = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * like.percent
+    return length & _linked(head + after, like) & _linked(head + alike, like)
+
+
+def candidates(lists: DataFrame, centres: int, turn: int, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """(pairs, the centres' postings): each list's members against its centres, pairs a < b of two labels."""
+    chosen = F.row_number().over(Window.partitionBy("item").orderBy(F.xxhash64("cls", F.lit(turn)), "cls"))
+    picked = lists.select("item", "cls", "n", "m", "pos", "suffix", "label").withColumn("_k", chosen).filter(F.col("_k") <= centres).drop("_k")
+    side = lambda df, x: df.select("item", F.col("cls").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("n", "m", "pos", "suffix", "label")))
+    met = side(lists, "a").join(side(picked, "b"), "item").filter("la <> lb").filter(_bounds(like))
+    swap = F.col("a") > F.col("b")
+    ordered = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    pairs = met.select(ordered("a", "b", "a"), ordered("b", "a", "b"), ordered("la", "lb", "la"), ordered("lb", "la", "lb"))
+    return pairs.dropDuplicates(["a", "b"]), picked.select("item", "cls")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """``pairs`` (a, b, la, lb) with linked, by their intersection."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("core").alias(f"i{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "la", "lb", _linked(F.size(F.array_intersect("ia", "ib")), like).alias("linked"))
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and label (the smallest node reachable) of all nodes in ``links`` (la, lb). A turn spreads the
     smallest labels to neighbours three times, which is all that stars need, and then replaces every label
     by its own label, which halves the longest chains; turns end when the last spreading changed nothing."""
-    edges = materialise(links.select(F.col("la").alias("u"), F.col("lb").alias("v")).union(links.select("lb", "la")).distinct(), "edges")
+    edges = scratch.table(links.select(F.col("la").alias("u"), F.col("lb").alias("v")).union(links.select("lb", "la")).distinct(), "edges")
     labels = edges.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
         before = labels
         for _ in range(3):
             before, sent = labels, edges.join(labels, edges.v == labels.node).select(F.col("u").alias("node"), "label")
             labels = labels.union(sent).groupBy("node").agg(F.min("label").alias("label"))
-        compared = labels.join(before.withColumnRenamed("label", "old"), "node")
-        compared = materialise(compared, "labels")
+        compared = scratch.table(labels.join(before.withColumnRenamed("label", "old"), "node"), "labels")
         if compared.filter("label <> old").limit(1).count() == 0:
+            scratch.drop(edges)
             return compared.select("node", "label")
         now = compared.select("node", "label")
         further = now.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = materialise(now.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+        labels = scratch.table(now.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
 
 
-def group_nodes(sets: DataFrame, postings: DataFrame, most_pairs: int, like: Likeness) -> DataFrame:
-    """node, label of all sets in ``postings``; sets with one label are linked. A round finds links between
-    different labels only, and merges labels by the components of these links: it compares the members of
-    each list with one centre while the lists have more than ``most_pairs`` pairs across labels and every
-    round halves them, and then all of these pairs."""
-    labels = materialise(postings.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    turn, before = 0, math.inf
+def group_classes(classes: DataFrame, postings: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
+    """cls, label of all classes in ``postings``; classes with one label are linked."""
+    labels = scratch.table(postings.select("cls").distinct().withColumn("label", F.col("cls")), "groups")
+    refused: DataFrame | None = None
+    done: list[DataFrame] = []  # tables of the round before, which the next lists are made of
+    turn = 0
     while True:
-        named = postings.join(labels, "node")
-        kinds = named.groupBy("item", "label").agg(F.count("*").alias("c"))
-        across = kinds.groupBy("item").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).filter("m * m > sq")
-        named = materialise(named.join(across, "item"), "open-lists")
-        # a list's pairs across labels, shared out over its rows
-        left = named.agg(F.count("*").alias("rows"), F.sum((F.col("m") - F.col("sq") / F.col("m")) / 2).alias("pairs")).first()
-        if not left["rows"]:
-            return labels
-        # groups only grow: a list that is closed stays closed
-        named = named.drop("m", "sq")
-        postings = named.drop("label")
-        last = left["pairs"] <= most_pairs or left["pairs"] > before / 2
-        before = left["pairs"]
-        side = lambda x: named.select("item", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("label").alias(f"l{x}"))  # noqa: B023, E731
-        if last:
-            pairs = side("a").join(side("b"), "item").filter("a < b")
-        else:
-            centre = named.groupBy("item").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))).alias("c")).select("item", "c.*").drop("h")
-            pairs = side("b").join(centre, "item")
-        pairs = pairs.filter("la <> lb").filter(_bounds(like)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "la", "lb")
-        merged = components(verify(pairs, sets, like))
-        merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
-        labels = materialise(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
-        if last:
+        # groups only grow: a list within one group is done with
+        named = postings.join(labels, "cls")
+        spanning = named.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("item")
+        lists = scratch.table(named.join(spanning, "item", "left_semi"), "lists")
+        scratch.drop(*done)
+        if not lists.limit(1).count():
             return labels
+        pairs, decided = candidates(lists, 1 << turn, turn, like)
+        if refused is not None:
+            pairs = pairs.join(refused, ["a", "b"], "left_anti")
+        checked = scratch.table(verify(pairs, classes, like), "checked")
+        now = checked.filter("NOT linked").select("a", "b")
+        refused = now if refused is None else refused.union(now)
+        merged = components(checked.filter("linked").select("la", "lb"), scratch).select(F.col("node").alias("label"), F.col("label").alias("new"))
+        labels, old = scratch.table(labels.join(merged, "label", "left").select("cls", F.coalesce("new", "label").alias("label")), "groups"), labels
+        done = [lists, old]
+        postings = lists.drop("label").join(decided, ["item", "cls"], "left_anti")
         turn += 1
 
 
 def jaccard_groups(docs: DataFrame, id: str = "doc_id", like: Likeness = Likeness()) -> DataFrame:
     """One row for each row of ``docs``: id (named as there), n_shingles, component_id (the smallest id that
     links reach, itself included)."""
-    prints = materialise(fingerprints(docs, id, like), "fingerprints")
-    counts = docs.sparkSession.sparkContext.broadcast(ngram_counts(docs, like))
-    classes = prints.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    keep = materialise(sieve(docs, classes, like, counts), "sieve")
-    n_keep = keep.count()
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    written = scratch.table(fingerprints(docs, id, like), "prints")
+    prints = written.filter("slice IS NULL").select("id", "n", "node")
+    counts = docs.sparkSession.sparkContext.broadcast(summed_counts(written))
+    nodes = prints.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    keep = scratch.table(sieve(docs, nodes, like, counts), "sieve")
     ids = keep.select("id").distinct()
     left = docs.select(F.col(id).cast("long").alias("id"), "text")
-    # a class of null ids alone has no id to be found by: its rows are all taken
-    left = left.join(F.broadcast(ids) if n_keep <= BROADCAST_IDS else ids, left["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = materialise(sets_of(left, like, counts), "sets")
-    if sets.count() > n_keep:  # ids repeat: rows of one set are brought together
-        sets = materialise(sets.dropDuplicates(["node"]), "sets")
-    postings = materialise(prefix_postings(sets), "postings")
-    # as many pairs as there are n-grams in the prefixes are compared at once: in proportion to the input
-    most_pairs = sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    labels = group_nodes(sets, postings, most_pairs, like)
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # a node of null ids alone has no id to be found by: its rows are all taken
+    left = left.join(ids, left["id"].eqNullSafe(ids["id"]), "left_semi")
+    sets = scratch.table(sets_of(left, like).dropDuplicates(["node"]), "sets")
+    cored = scratch.table(cores(sets, like), "cores")
+    member = scratch.table(members(cored), "members")
+    classes = scratch.table(cored.join(member.select("cls").distinct(), F.col("node") == F.col("cls")).select("cls", "n", "core"), "classes")
+    postings = scratch.table(prefix_postings(classes, like), "postings")
+    labels = group_classes(classes, distinct_lists(postings), like, scratch)
+    # members of a class that is linked to itself or to another one share its label
+    whole = F.size("core") * 100 >= (2 * F.col("n") - F.size("core")) * like.percent
+    known = classes.select("cls", whole.alias("whole")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    grown = known.groupBy("label").agg(F.count("*").alias("size"))
+    known = known.join(grown, "label").filter(F.col("whole") | (F.col("size") > 1)).select("cls", "label")
+    of_node = scratch.table(member.join(known, "cls").select("node", "label"), "labels")
+    named = nodes.join(of_node, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_node = named.join(groups, "label").select("node", "component_id")
+    found = scratch.table(named.join(groups, "label").select("node", "component_id"), "found")
+    for table in (keep, sets, cored, member, classes, postings, of_node):
+        scratch.drop(table)
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
-    return prints.select("id", "n", "node").join(of_node, "node", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return prints.join(found, "node", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BatchMemo, is_plain, load_tokenizer, pack_ids, spans_of, word_ids
+from .common import arrow_schema, load_tokenizer, spans
+from .words import BLOCK_BYTES, Words, as_text, chunked, pack_lists, packed
 
 FILE = "word_bpe_49k.json"
 END_ID = 1
@@ -42,35 +43,40 @@ class Limits:
 
 
 @lru_cache(maxsize=2)
-def word_memo(file: str) -> BatchMemo:
-    """Ids of words. This vocabulary's tokenizer drops white space and never looks across it, nor from
-    letters to punctuation."""
+def words_of(file: str) -> Words:
+    """This vocabulary's tokenizer drops white space and never looks across it, nor from letters to
+    punctuation. A plain word ends with the one token that ends a word."""
     one = load_tokenizer(file)
+    ends = np.zeros(one.get_vocab_size(), bool)
+    ends[[i for token, i in one.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def make_all(words: list[str]) -> list[bytes]:
-        cut = [(w[:-1], w[-1]) if w[-1:] in (",", ".") and is_plain(w[:-1]) else (w,) for w in words]
-        pieces = list({p for parts in cut for p in parts})
-        ids = dict(zip(pieces, (pack_ids(e.ids) for e in one.encode_batch_fast(pieces, add_special_tokens=False)), strict=True))
-        return [b"".join(map(ids.__getitem__, parts)) for parts in cut]
+    def plain(words: pa.Array) -> pa.Array:
+        ids = [np.array(e.ids, np.uint32) for e in one.encode_batch_fast(chunked(words, " "), add_special_tokens=False)]
+        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        last = np.flatnonzero(ends[flat])
+        return packed(flat, np.diff(last, prepend=-1))
 
-    return BatchMemo(make_all)
+    def other(words: list[str]) -> pa.Array:
+        return pack_lists([e.ids for e in one.encode_batch_fast(words, add_special_tokens=False)])
 
+    return Words(plain, other)
 
-def encode_series(texts: pd.Series, file: str, end_id: int) -> list[bytes]:
-    """Ids of a batch of texts (little-endian unsigned 32-bit integers, the end id last)."""
-    memo, out, end = word_memo(file), [], int(end_id).to_bytes(4, "little")
-    for start, stop in spans_of(texts):
-        words = pc.ascii_split_whitespace(pa.array(texts.iloc[start:stop], pa.large_string(), from_pandas=True))
-        out += [ids + end for ids in word_ids(words, memo)]
-    return out
+
+def encode_texts(texts: pa.Array, file: str, end_id: int) -> Iterator[bytes]:
+    """Ids of each text (little-endian unsigned 32-bit integers, the end id last)."""
+    words, end, texts = words_of(file), int(end_id).to_bytes(4, "little"), as_text(texts)
+    for start, stop in spans(texts, BLOCK_BYTES):
+        data, at = words.lists(pc.ascii_split_whitespace(texts.slice(start, stop - start)))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield bytes(data[a:b]) + end
 
 
 def tokenise(docs: DataFrame, file: str = FILE, end_id: int = END_ID) -> DataFrame:
     """doc_id and ids of each text."""
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode_series(texts, file, end_id), dtype=object)
+    @F.arrow_udf("binary")
+    def ids(texts: pa.Array) -> pa.Array:
+        return pa.array(list(encode_texts(texts, file, end_id)), pa.binary())
 
     return docs.select("doc_id", ids("text").alias("ids"))
 
@@ -156,7 +162,7 @@ class _Block:
         self.size += len(data) // 4
         return self.size >= self.most_tokens or len(self.parts) >= self.most_examples
 
-    def packed(self) -> pd.DataFrame:
+    def sequences(self) -> pd.DataFrame:
         sizes, losses = np.array([len(p) // 4 for p in self.parts], np.int64), np.array(self.losses, np.int64)
         rows = []
         for found in plan_bins(sizes, losses, self.limits):
@@ -173,9 +179,9 @@ class _Block:
 def _pack(rows: Iterator[tuple[int | None, bytes, int]], block: _Block) -> Iterator[pd.DataFrame]:
     for row in rows:
         if block.add(*row):
-            yield block.packed()
+            yield block.sequences()
     if block.parts:
-        yield block.packed()
+        yield block.sequences()
 
 
 def _doc_ids(batch: pd.DataFrame) -> list[int | None]:
@@ -196,8 +202,9 @@ def pack(examples: DataFrame, limits: Limits = Limits(), block_tokens: int = 1 <
 def pack_texts(docs: DataFrame, file: str = FILE, end_id: int = END_ID, limits: Limits = Limits(), block_tokens: int = 1 << 22, block_examples: int = 1 << 13) -> DataFrame:
     """``pack(tokenise(docs))`` with all tokens bearing loss, in one Python process a task."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((doc, ids, len(ids) // 4) for batch in batches for doc, ids in zip(_doc_ids(batch), encode_series(batch["text"], file, end_id), strict=True))
-        yield from _pack(rows, _Block(limits, block_tokens, block_examples))
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((doc, ids, len(ids) // 4) for batch in batches for doc, ids in zip(batch["doc_id"].to_pylist(), encode_texts(batch["text"], file, end_id), strict=True))
+        for frame in _pack(rows, _Block(limits, block_tokens, block_examples)):
+            yield pa.RecordBatch.from_pandas(frame, arrow_schema(PIECES), preserve_index=False)
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)

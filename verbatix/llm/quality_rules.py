@@ -14,11 +14,11 @@ each; an empty table gives an empty table; added columns replace columns of the
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import blocks_of, mix, word_hashes
 
@@ -38,6 +38,9 @@ COLUMNS = {
 }
 
 
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
 def duplicated_words(words: np.ndarray, text_of: np.ndarray, n: int, chars: np.ndarray | None = None, top: np.ndarray | None = None) -> np.ndarray:
     """Which words stand in a window of ``n`` words that their text holds twice or more. Into ``top``, by text,
     goes the largest product of such a window's places and ``chars``."""
@@ -114,15 +117,16 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of COLUMNS."""
-    base = docs.drop(*COLUMNS)
+    """``docs`` with the columns of COLUMNS. Only the texts go to Python, in blocks of bounded size."""
+    kind = ", ".join(f"{c}: {t}" for c, t in COLUMNS.items())
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for first, texts in blocks_of(frame[text]):
-                rows = frame.iloc[first : first + len(texts)].reset_index(drop=True)
-                found = measure(texts)
-                yield pd.concat([rows, pd.DataFrame({c: found[c] for c in COLUMNS})], axis=1)
+    @F.arrow_udf(f"struct<{kind}>")
+    def measures(texts: pa.Array) -> pa.Array:
+        found = [measure(block) for _, block in blocks_of(texts)]
+        columns = [pa.array(np.concatenate([f[c] for f in found]) if found else [], _ARROW[t]) for c, t in COLUMNS.items()]
+        return pa.StructArray.from_arrays(columns, list(COLUMNS))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema]
-    return base.mapInPandas(batches, ", ".join([*fields, *(f"{c} {t}" for c, t in COLUMNS.items())]))
+    # measured once, though the verdict may be asked for before the other columns
+    base = docs.drop(*COLUMNS)
+    measured = base.withColumn("_measures", measures.asNondeterministic()(F.col(text)))
+    return measured.select(*(F.col(f"`{c}`") for c in base.columns), "_measures.*")
