@@ -43,8 +43,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Passages by line: the plain unit that SQL can cut as well."""
-    cut = blocks(docs).join(docs.select("document_id", "group_id", F.col("title").alias("heading")), "document_id")
-    return cut.select(F.concat_ws(":", "document_id", "ord").alias("passage_id"), "document_id", "group_id", "ord", "text", "heading", is_navigation_col(F.col("text")).alias("is_navigation"))
+    cut = blocks(docs, "group_id", "title")
+    return cut.select(F.concat_ws(":", "document_id", "ord").alias("passage_id"), "document_id", "group_id", "ord", "text", F.col("title").alias("heading"), is_navigation_col(F.col("text")).alias("is_navigation"))
 
 
 def whole_documents(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, sums_before
 from ..functions.text import SPACE, normalize_label, normalize_label_col
 
 TARGET_CHARS, MAX_CHARS, MIN_CHARS = 600, 1100, 120
@@ -48,19 +49,18 @@ def _java(pattern: str) -> str:
 # Column forms
 
 
-def blocks(documents: DataFrame) -> DataFrame:
-    """document_id, ord, text (trimmed), start and end (of the untrimmed line) of every non-blank line."""
+def blocks(documents: DataFrame, *carried: str) -> DataFrame:
+    """document_id, ord, text (trimmed), start and end (of the untrimmed line) of every non-blank line, and the
+    ``carried`` columns of its document. No shuffle; the work grows with the number of lines."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    placed = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line: string, start: int>>").alias("out")),
-        lambda acc, line: F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.array_append(acc["out"], F.struct(line.alias("line"), acc["at"].alias("start"))).alias("out")),
-        lambda acc: acc["out"],
-    )
     trimmed = lambda line: F.regexp_replace(line, rf"^{SPACE}+|{SPACE}+\z", "")
-    kept = F.filter(placed, lambda x: trimmed(x["line"]) != "")
-    rows = documents.select("document_id", F.posexplode(kept).alias("ord", "b"))
-    return rows.select("document_id", "ord", trimmed(F.col("b.line")).alias("text"), F.col("b.start").alias("start"), (F.col("b.start") + F.length("b.line")).alias("end"))
+
+    def placed(lines: Column) -> Column:
+        starts = sums_before(F.transform(lines, lambda line: F.length(line) + 1))
+        return F.zip_with(lines, starts, lambda line, at: F.struct(trimmed(line).alias("text"), at.alias("start"), (at + F.length(line)).alias("end")))
+
+    kept = F.filter(let(lines, placed), lambda x: x["text"] != "")
+    return documents.select("document_id", *carried, F.posexplode(kept).alias("ord", "b")).select("document_id", "ord", "b.text", "b.start", "b.end", *carried)
 
 
 def is_heading_col(text: Column, title: Column) -> Column:

@@ -244,8 +244,7 @@ def blocks(spark, sf_dir):
 
 
 def heading_flags(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    found = chunking.blocks(docs).join(docs.select("document_id", "title"), "document_id")
+    found = chunking.blocks(_documents(spark, sf_dir), "title")
     return found.select("document_id", "ord", chunking.is_heading_col(F.col("text"), F.col("title")).alias("is_heading"))
 
 
