@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrays
+from ..functions.arrays import cut, let, sums_before, text_blocks
 from .common import new_path
 
 
@@ -60,17 +62,12 @@ def spans(text: Column, rule: Rule) -> Column:
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     steps = F.zip_with(F.zip_with(F.split(text, rule.pattern, -1), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"))), values, lambda x, v: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), (F.length(v) >= rule.least).alias("ok")))
     steps = F.filter(steps, lambda x: x["len"].isNotNull())
-    span = "array<struct<start: int, end: int>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["len"]
-        found = F.when(x["ok"], F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), found.alias("out"))
+    def placed(steps: Column) -> Column:
+        starts = sums_before(F.transform(steps, lambda x: x["gap"] + x["len"]))
+        return F.array_compact(F.zip_with(steps, starts, lambda x, at: F.when(x["ok"], F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["len"]).alias("end")))))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
-    walked = F.aggregate(steps, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.gate), walked).otherwise(F.array().cast(span))
+    return F.when(text.rlike(rule.gate), let(steps, placed)).otherwise(F.array().cast("array<struct<start: int, end: int>>"))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -128,13 +125,13 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every finding replaced by ``mark``; overlapping findings are replaced as one."""
+    """``text`` with every finding replaced by ``mark``; overlapping findings are replaced as one. ``findings`` are in
+    order of their starts."""
 
-    def step(acc: Column, f: Column) -> Column:
-        fresh = f["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substr(text, acc["at"] + 1, f["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], f["end"]).alias("at"), out.alias("out"))
+    def cleared(blocks: Column) -> Column:
+        ends = arrays.scan(F.transform(findings, lambda f: f["end"]), F.lit(0), F.greatest)
+        parts = F.zip_with(findings, ends, lambda f, at: F.when(f["start"] >= at, F.concat(cut(blocks, at, f["start"]), F.lit(mark))))
+        last = F.array_max(F.transform(findings, lambda f: f["end"]))
+        return F.concat(F.array_join(F.array_compact(parts), ""), cut(blocks, last, F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(findings, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(findings) > 0, cut).otherwise(text)
+    return F.when(F.size(findings) > 0, let(text_blocks(text), cleared)).otherwise(text)
