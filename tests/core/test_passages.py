@@ -1,6 +1,8 @@
 """Chunking, paged text and HTML."""
 
+import hashlib
 import re
+import time
 
 import pandas as pd
 from hypothesis import given, settings
@@ -87,8 +89,8 @@ def test_running_headers(spark):
         return "\f".join((f"Le grand titre courant\nTexte page {i} propre à {i}" if i < k else f"Texte page {i} seule") for i in range(n))
 
     rows = spark.createDataFrame([("two", doc(4, 2)), ("three", doc(4, 3)), ("short", doc(3, 3)), ("none", None)], "document_id string, text string")
-    paged = pages.pages(rows)
-    assert {r["document_id"]: r["furniture"] for r in pages.boilerplate(pages.frequent_ngrams(paged)).collect()} == {"three": ["Le grand titre courant"]}
+    paged = pages.paged_lines(rows)
+    assert {r["document_id"]: r["furniture"] for r in pages.boilerplate(paged).collect()} == {"three": ["Le grand titre courant"]}
     text = {r["document_id"]: r["text"] for r in pages.extract(rows).collect()}
     assert "titre courant" not in text["three"] and "titre courant" in text["two"] and "none" not in text
 
@@ -103,6 +105,77 @@ def test_html():
     assert html.html_to_text("") == ("", "")
 
 
+def brute_ngrams(document, least):
+    """Every sequence of every line, page by page."""
+    pages_of = {}
+    for number, page in enumerate(document):
+        for line in page:
+            words = line.split()
+            for n in range(3, 15):
+                for i in range(len(words) - n + 1):
+                    pages_of.setdefault(" ".join(words[i : i + n]), set()).add(number)
+    return {w: len(p) for w, p in pages_of.items() if len(p) >= least}
+
+
+@settings(max_examples=60, deadline=None)
+@given(document=st.lists(st.lists(st.lists(st.sampled_from("a b c d e f".split()), max_size=24).map(" ".join), max_size=4), max_size=6), least=st.integers(1, 4))
+def test_common_ngrams_against_brute_force(document, least):
+    assert dict(pages.common_ngrams(document, least)) == brute_ngrams(document, least)
+
+
+def test_html_of_odd_pages(spark):
+    cases = {
+        "<p>a &#xD800; b &#55296;</p>": "a \ufffd b \ufffd",
+        "<p>a &#" + "9" * 5000 + ";</p>": "a \ufffd",
+        "<p>a &#" + "0" * 5000 + "65;</p>": "a A",
+        "<p>a</p><![ 1 ]><p>b</p>": "a\nb",
+        "<p>a</p><![CDATA[ x ]]><p>b</p>": "a\nb",
+        "<p>a</p><!": "a",
+        "<": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "page_id int, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(rows).collect()} == dict(enumerate(cases.values()))
+    deep = "<div>" * 3000 + "<p>x</p>" + "</div>" * 3000 + "<nav>y</nav>" * 3000
+    assert html.html_to_text(deep)[1] == "x"
+
+
+def test_long_documents(spark):
+    """A hundred thousand lines are placed within seconds."""
+    lines = [f"ligne é {i}" if i % 7 else "  " for i in range(100_000)]
+    rows = spark.createDataFrame([("d", "\n".join(lines), "t")], "document_id string, text string, title string")
+    began = time.monotonic()
+    got = chunking.blocks(rows, "title").orderBy("ord").select("text", "start", "end").collect()
+    assert time.monotonic() - began < 30
+    at, want = 0, []
+    for line in lines:
+        if line.strip():
+            want.append((line.strip(), at, at + len(line)))
+        at += len(line) + 1
+    assert list(map(tuple, got)) == want
+
+
+def test_manifest_and_corpus_round_trip(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.txt").write_text("un", "utf-8")
+    sources = spark.createDataFrame([("a", "a.txt", "https://x/a"), ("b", "b.txt", "https://x/b")], "id string, file_name string, source_url string")
+    raw = files.read_raw(spark, str(tmp_path / "raw"))
+    files.write_manifest(files.checksum_manifest(raw, sources), str(tmp_path / "manifest"))
+    manifest = files.read_manifest(spark, str(tmp_path / "manifest"))
+    assert [tuple(r) for r in manifest.collect()] == [("a", hashlib.sha256(b"un").hexdigest(), 2, "https://x/a")]
+    assert [r["id"] for r in files.missing_files(raw, sources).collect()] == ["b"]
+    docs = spark.createDataFrame([("a", "g", "texte\n\n"), ("b", "g", None)], "document_id string, group_id string, text string")
+    known = {r["document_id"]: r["checksum"] for r in files.with_checksums(docs, manifest).collect()}
+    assert known == {"a": hashlib.sha256(b"un").hexdigest(), "b": ""}
+    files.write_texts(docs, str(tmp_path / "texts"))
+    assert {r["document_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "texts")).collect()} == {"a": "texte\n", "b": "\n"}
+    tables = {"documents": docs, "chunks": docs}
+    files.write_corpus(tables, str(tmp_path / "corpus"))
+    again = files.read_corpus(spark, str(tmp_path / "corpus"), list(tables))
+    assert all(sorted(map(str, again[t].select(*docs.columns).collect())) == sorted(map(str, docs.collect())) for t in tables)
+    report = {r["table"]: r for r in files.size_report(tables).collect()}
+    assert report["chunks"]["n_rows"] == 2 and report["chunks"]["longest_row"] > 30
+
+
 def test_raw_files(spark, tmp_path):
     (tmp_path / "a?b.txt").write_text("un\ndeux", "utf-8")
     (tmp_path / "c.txt").write_bytes(b"%PDF-1.7 x")

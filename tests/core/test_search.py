@@ -102,6 +102,44 @@ def test_compare_keeps_order_and_duplicates(spark, small):
     assert got[0]["matched_keywords"] == ["immigration", "immigré", "immigrés"] and got[1]["passages"] == [] and got[1]["n_passages"] == 3
 
 
+def test_compare_shows_passages_and_warns(spark):
+    rows = [(f"a{i}", "a", "g1", i, "immigration et asile", "Titre", False) for i in range(7)] + [("b0", "b", "g2", 0, "immigration", None, False)]
+    passages = table(spark, rows)
+    one = index.build(passages)
+    groups = tuple(domain.Group(g, g, g.upper()) for g in ("g1", "g2", "g3"))
+    tags = tagging.tags(one.postings, tagging.keyword_terms(spark, domain.TOPICS))
+    got = search.compare(one, tags, "immigration", groups=groups).orderBy("position").collect()
+    assert [(p["rank"], p["text"], p["heading"]) for p in got[0]["passages"]] == [(1, "immigration et asile", "Titre"), (2, "immigration et asile", "Titre")]
+    assert got[1]["passages"][0]["text"] == "immigration" and got[2]["passages"] == []
+    assert all("G1 y est documenté 7 fois plus que G2." in r["coverage_warning"] for r in got)
+    even = search.compare(one, tags, "immigration", ["g2", "g3"], groups=groups).collect()
+    assert len(even) == 2 and all(r["coverage_warning"] is None for r in even)
+
+
+def test_full_hits(spark):
+    passages = spark.createDataFrame([("d#c0", "d", "d#s1", "g", 0, "le climat", "Énergie", False, 0, 9), ("d#c1", "d", None, "g", 1, "climat seul", None, False, 10, 21)], "passage_id string, document_id string, section_id string, group_id string, ord int, text string, heading string, is_navigation boolean, char_start int, char_end int")
+    documents = spark.createDataFrame([("d", "g", "Titre", "https://x", "tout")], "document_id string, group_id string, title string, source_url string, text string")
+    sections = spark.createDataFrame([("d#s1", "d", "Énergie", 1)], "section_id string, document_id string, heading string, ord int")
+    tags = spark.createDataFrame([("d#c0", "b"), ("d#c0", "a")], "passage_id string, topic string")
+    one = index.build(passages)
+    got = {r["passage_id"]: r for r in search.full_hits(one, search.search(one, "climat"), documents, sections, tags).collect()}
+    assert set(got) == {"d#c0", "d#c1"}
+    first = got["d#c0"]
+    assert (first["section_ord"], first["heading"], first["title"], first["source_url"], first["topic_tags"], first["char_end"]) == (1, "Énergie", "Titre", "https://x", "a,b", 9)
+    assert got["d#c1"]["section_ord"] == 0 and got["d#c1"]["topic_tags"] is None
+
+
+def test_terms_reach_the_scan(spark, small, tmp_path):
+    """A search of a saved index reads the postings of its terms, and lengths and passages not at all."""
+    path = str(tmp_path / "index")
+    small[1].save(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = search.search(index.Index.load(spark, path), "nucléaire climat ric")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert scans and all("/postings]" in line or "/stats]" in line for line in scans)
+    assert all("StringStartsWith(term,nucleair)" in line and "EqualTo(term,ric)" in line for line in scans if "/postings]" in line)
+
+
 def test_context_is_clipped(spark, small):
     got = search.passage_with_context(small[0], small[0].filter("passage_id = 'a0'"), 3).orderBy("ord").collect()
     assert [(r["passage_id"], r["position"]) for r in got] == [("a0", "self"), ("a1", "after"), ("a2", "after")]
@@ -141,8 +179,10 @@ def test_catalog_and_citations(spark, small):
     row = citations.payload(hit, groups).first()
     assert row["citation"] == "LFI (Jean-Luc Mélenchon) — Programme — « Un titre » — présidentielle 2022 — https://x" and row["score"] == 1.235
     assert '"quote":"Texte."' in citations.to_json(citations.payload(hit, groups)).first()["json"]
-    assert prompts.compare_topic("santé").startswith("Compare") and "LFI" in prompts.find_direct_quote("x", "LFI")
-    assert prompts.summarize_group_position("LFI", "x")
+    assert prompts.compare_topic("santé").startswith("Compare") and "prêtée à : LFI." in prompts.find_direct_quote("x", "LFI") and "prêtée" not in prompts.find_direct_quote("x")
+    assert all("\n4. " in p and p.count("\n- ") == 5 for p in (prompts.compare_topic("x"), prompts.summarize_group_position("LFI", "x"), prompts.find_direct_quote("x")))
+    sources = catalog.group_sources("g1", small[0].select("document_id", "group_id").distinct())
+    assert [r["document_id"] for r in sources.collect()] == ["a"]
     tags = tagging.tags(small[1].postings, tagging.keyword_terms(spark, domain.TOPICS))
     assert {r["topic"]: r["n_passages"] for r in catalog.topic_catalog(tags).collect()}["immigration"] == 1
     assert catalog.group_profile("nobody", groups, small[0].select("document_id", "group_id").distinct(), small[0], tags).count() == 0

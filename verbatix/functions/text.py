@@ -119,7 +119,9 @@ def stem_col(word: Column) -> Column:
     for pattern, to in SUFFIXES:
         shorter = F.regexp_replace(word, pattern, to)
         rules.append(F.when((shorter != word) & (F.length(shorter) >= LEAST_STEM), shorter))
-    cut = F.coalesce(*rules, word)
+    # most words end in none of the suffixes
+    any_suffix = "|".join(pattern for pattern, _ in SUFFIXES)
+    cut = F.when(word.rlike(any_suffix), F.coalesce(*rules, word)).otherwise(word)
     no_e = F.regexp_replace(cut, "^(.{4,})e$", "$1")
     single = F.regexp_replace(no_e, r"^(.{3,})(.)\2$", "$1$2")
     return F.when(F.length(word) < 5, word).otherwise(single)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..domain import GROUPS, Group
 from ..functions.text import collapse_space_col
 
+# Fixed value: the notice that goes with every result.
 NOTICE = (
     "Ces extraits proviennent des programmes officiels de la présidentielle française de 2022. "
     "Ne citer que le champ `quote`, mot à mot, en joignant `citation`. "

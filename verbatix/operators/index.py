@@ -1,8 +1,12 @@
 """Inverted index over passages: postings, lengths and statistics, and matching of query terms.
 
 A passage is a row of (passage_id, document_id, group_id, ord, text, heading, is_navigation). Passages are
-exploded into words; the distinct words are stemmed once and joined back; postings are counts by passage
-and term. Spark broadcasts the vocabulary only where its measured size allows.
+exploded into words, which are stemmed in place and counted by passage and term: one shuffle, with counts
+combined before it, and no key that grows with the corpus.
+
+A saved index keeps with each posting what a search needs of its passage (length, document, group, navigation),
+sorted by term. The terms of one query are literals of its plan, so a search reads the row groups of these terms
+and joins nothing. A table of queries is joined to the terms.
 
 Null texts and headings have no words. A repeated passage_id counts as one passage with all the words.
 """
@@ -10,11 +14,13 @@ Null texts and headings have no words. A repeated passage_id counts as one passa
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import LEAST_PREFIX, is_term_col, query_stems_col, stem_col, words_col
+from ..functions.text import LEAST_PREFIX, is_term_col, query_stems, query_stems_col, stem_col, words_col
 from ..shared import materialise
 
 
@@ -32,9 +38,8 @@ def vocabulary(words: DataFrame) -> DataFrame:
 
 def postings(passages: DataFrame) -> DataFrame:
     """passage_id, term, in_text and in_heading (counts)."""
-    words = words_of(passages)
     count = lambda field: F.sum((F.col("in_heading") == field).cast("long"))
-    return words.join(vocabulary(words), "word").groupBy("passage_id", "term").agg(count(0).alias("in_text"), count(1).alias("in_heading"))
+    return words_of(passages).groupBy("passage_id", stem_col(F.col("word")).alias("term")).agg(count(0).alias("in_text"), count(1).alias("in_heading"))
 
 
 def passage_lengths(posted: DataFrame) -> DataFrame:
@@ -54,9 +59,12 @@ def corpus_stats(passages: DataFrame, lengths: DataFrame) -> DataFrame:
     return n.crossJoin(total).withColumn("avgdl", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_passages")))
 
 
+LOCATED = ("dl", "document_id", "group_id", "is_navigation")
+
+
 @dataclass
 class Index:
-    """The tables of an index. ``save`` and ``load`` keep them as Parquet, postings sorted by term."""
+    """The tables of an index. ``save`` and ``load`` keep them as Parquet. ``postings`` may have the columns LOCATED."""
 
     passages: DataFrame
     postings: DataFrame
@@ -66,11 +74,20 @@ class Index:
 
     TABLES = ("passages", "postings", "lengths", "terms", "stats")
 
+    def located(self) -> DataFrame:
+        """The postings with LOCATED."""
+        if set(LOCATED) <= set(self.postings.columns):
+            return self.postings
+        places = self.passages.select("passage_id", "document_id", "group_id", "is_navigation").dropDuplicates(["passage_id"])
+        return self.postings.join(self.lengths, "passage_id").join(places, "passage_id")
+
     def save(self, path: str) -> None:
         for name in self.TABLES:
-            table = getattr(self, name)
+            table = self.located() if name == "postings" else getattr(self, name)
             if name in ("postings", "terms"):  # row groups of a narrow range of terms: scans skip the others
                 table = table.repartitionByRange("term").sortWithinPartitions("term")
+            elif name == "passages":  # so that the passages of a result are found by their ids
+                table = table.repartitionByRange("passage_id").sortWithinPartitions("passage_id")
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
@@ -101,17 +118,34 @@ def expand(terms: DataFrame, asked: DataFrame) -> DataFrame:
     return exact.unionByName(prefix.select("query_id", "q", "n_terms", "term"))
 
 
-def match(index: Index, queries: DataFrame, heading_weight: float = 2.0) -> DataFrame:
+def literal_hits(located: DataFrame, query_id: int, query: str) -> DataFrame:
+    """The postings of one query: its terms are literals that reach the scan."""
+    asked = query_stems(query)
+    meets = [F.col("term").startswith(stem) if len(stem) >= LEAST_PREFIX else F.col("term") == stem for stem in asked]
+    places = F.array_compact(F.array(*(F.when(m, F.lit(q)) for q, m in enumerate(meets)))) if meets else F.array().cast("array<int>")
+    found = located.filter(reduce(or_, meets, F.lit(False)))
+    return found.select(F.lit(query_id).alias("query_id"), F.lit(len(asked)).alias("n_terms"), "passage_id", "in_text", "in_heading", *LOCATED, F.explode(places).alias("q"))
+
+
+def joined_hits(located: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
+    return located.join(expand(terms, query_terms(queries)), "term")
+
+
+def match(index: Index, queries: DataFrame | tuple[int, str], heading_weight: float = 2.0) -> DataFrame:
     """query_id, passage_id, score (BM25, k1 1.2, b 0.75, two weighted fields), coverage (query terms
-    found in the text itself) and n_terms, for every passage that holds a query term in any field.
+    found in the text itself), n_terms and LOCATED without dl, for every passage that holds a query term in any
+    field. ``queries`` is a table (query_id, query) or one such pair.
 
     A query term's document frequency counts passages that hold any of its expansions; one held by half of
     the passages or more weighs 1e-6."""
-    hits = index.postings.join(expand(index.terms, query_terms(queries)), "term")
+    located = index.located()
+    hits = literal_hits(located, *queries) if isinstance(queries, tuple) else joined_hits(located, index.terms, queries)
+    place = [F.first(c).alias(c) for c in LOCATED]
     found = hits.groupBy("query_id", "passage_id", "q").agg(
         F.sum(F.col("in_text") + heading_weight * F.col("in_heading")).alias("tf"),
         F.max((F.col("in_text") > 0).cast("int")).alias("covers"),
         F.first("n_terms").alias("n_terms"),
+        *place,
     )
     n = found.groupBy("query_id", "q").agg(F.count("*").alias("n"))
     # one row of statistics; the query side has a row for each query term
@@ -120,5 +154,5 @@ def match(index: Index, queries: DataFrame, heading_weight: float = 2.0) -> Data
     weights = weights.select("query_id", "q", F.greatest(raw, F.lit(1e-6)).alias("idf"), "avgdl")
     tf, k1 = F.col("tf"), 1.2
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    scored = found.join(weights, ["query_id", "q"]).join(index.lengths, "passage_id").withColumn("part", part)
-    return scored.groupBy("query_id", "passage_id").agg(F.sum("part").alias("score"), F.sum("covers").cast("int").alias("coverage"), F.first("n_terms").alias("n_terms"))
+    scored = found.join(weights, ["query_id", "q"]).withColumn("part", part)
+    return scored.groupBy("query_id", "passage_id").agg(F.sum("part").alias("score"), F.sum("covers").cast("int").alias("coverage"), F.first("n_terms").alias("n_terms"), *place[1:])

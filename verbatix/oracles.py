@@ -197,12 +197,13 @@ SQL: dict[str, str] = {
     "group_profile": _with([*_TAGS, "g"], """SELECT group_id, group_name, (SELECT count(*) FROM p WHERE group_id = 'de') AS n_passages,
       coalesce((SELECT string_agg(topic || '=' || n, ',' ORDER BY topic) FROM (SELECT topic, count(*) AS n FROM tags JOIN p USING (passage_id) WHERE group_id = 'de' GROUP BY topic)), '') AS topic_coverage,
       (SELECT count(*) FROM d WHERE group_id = 'de') AS n_sources FROM g WHERE group_id = 'de'"""),
+    "group_sources": _with(["d"], "SELECT document_id, title, source_type, source_url, checksum FROM d WHERE group_id = 'de'"),
     "topic_catalog": _with(_TAGS, f"SELECT topic, ordinal, label, description, keywords, coalesce(n, 0) AS n_passages FROM ({_values((t.id, n, t.label, t.description, ','.join(t.keywords)) for n, t in enumerate(corpus.TOPICS))}) AS x(topic, ordinal, label, description, keywords) LEFT JOIN (SELECT topic, count(*) AS n FROM tags GROUP BY topic) USING (topic)"),
     "blocks": _with("d cut".split(), "SELECT document_id, ord::INTEGER AS ord, trim(line, ' ' || chr(9) || chr(13)) AS text, start::INTEGER AS start, (start + length(line))::INTEGER AS \"end\" FROM cut"),
     "heading_flags": _with("d cut".split(), f"SELECT document_id, ord::INTEGER AS ord, {_HEADING} AS is_heading FROM (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM cut)"),
     "navigation_flags": f"SELECT no, len(regexp_extract_all(text, '[0-9]{{1,3}}\\s*_\\s*[A-ZÀ-Ý]')) >= 2 AS is_navigation FROM ({_values(enumerate(queries.NAVIGATION))}) AS x(no, text)",
     "passage_context": _with("d cut p".split(), """SELECT c.passage_id AS wanted_id, p.passage_id, p.document_id, p.ord, CASE WHEN p.ord = c.ord THEN 'self' WHEN p.ord < c.ord THEN 'before' ELSE 'after' END AS position, p.text
-      FROM p JOIN (SELECT passage_id, document_id, ord FROM p WHERE ord = 2 AND group_id = 'fr') c ON p.document_id = c.document_id AND p.ord BETWEEN c.ord - 1 AND c.ord + 1"""),
+      FROM p JOIN (SELECT passage_id, document_id, ord FROM p) c ON p.document_id = c.document_id AND p.ord BETWEEN c.ord - 1 AND c.ord + 1"""),
     "neighbour_window": _with("d cut p".split(), "SELECT passage_id, ord, string_agg(passage_id, ',') OVER (PARTITION BY document_id ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM p"),
     "empty_groups": "SELECT 'it' AS group_id, 'IT' AS short_name",
     "document_problems": _with(["d"], "SELECT document_id, 'no checksum' AS problem FROM d WHERE collection = 'src1' UNION ALL SELECT document_id, 'insecure address' FROM d WHERE collection = 'src2'"),

@@ -27,15 +27,22 @@ def list_sources(documents: DataFrame, passages: DataFrame, group_id: str | None
 
 
 def group_profile(group_id: str, groups: DataFrame, documents: DataFrame, passages: DataFrame, tags: DataFrame) -> DataFrame:
-    """One row: the group, n_passages, topic_coverage (a map) and sources; none for an unknown group."""
+    """One row: the group, n_passages, n_sources and topic_coverage (a map with an entry for each topic); none for an
+    unknown group. The sources themselves are rows of ``group_sources``."""
     own = passages.filter(F.col("group_id") == group_id)
     topics = statistics.topic_counts(tags.join(own.select("passage_id"), "passage_id", "left_semi")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("topic", "n")))).alias("topic_coverage"))
-    shown = F.struct(*(c for c in ("document_id", "title", "source_type", "source_url", "checksum") if c in documents.columns))
-    sources = documents.filter(F.col("group_id") == group_id).agg(F.sort_array(F.collect_list(shown)).alias("sources"))
+    sources = documents.filter(F.col("group_id") == group_id).agg(F.count("*").alias("n_sources"))
     counted = own.agg(F.count("*").alias("n_passages"))
+    # one row each
     return groups.filter(F.col("group_id") == group_id).crossJoin(counted).crossJoin(topics).crossJoin(sources)
 
 
+def group_sources(group_id: str, documents: DataFrame) -> DataFrame:
+    """The documents of a group, a row each."""
+    shown = [c for c in ("document_id", "title", "source_type", "source_url", "checksum") if c in documents.columns]
+    return documents.filter(F.col("group_id") == group_id).select(*shown)
+
+
 def topic_catalog(tags: DataFrame, topics: Sequence[Topic] = TOPICS) -> DataFrame:
     """topic, ordinal, label, description, keywords and n_passages of every topic."""
     rows = [(t.id, n, t.label, t.description, list(t.keywords)) for n, t in enumerate(topics)]

@@ -19,14 +19,10 @@ from ..operators.index import Index, match
 HIT = ("query_id", "rank", "passage_id", "document_id", "group_id", "score", "coverage")
 
 
-def _located(index: Index, hits: DataFrame) -> DataFrame:
-    return hits.join(index.passages.select("passage_id", "document_id", "group_id", "is_navigation"), "passage_id")
-
-
-def candidates(index: Index, queries: DataFrame, limit: int, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
+def candidates(index: Index, queries: DataFrame | tuple[int, str], limit: int, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """The best ``4 * limit`` passages of each query after the filters on group and topic. Term statistics
     are those of the whole index."""
-    hits = _located(index, match(index, queries))
+    hits = match(index, queries)
     if group_id is not None:
         hits = hits.filter(F.col("group_id") == group_id)
     if tagged is not None:
@@ -34,7 +30,7 @@ def candidates(index: Index, queries: DataFrame, limit: int, group_id: str | Non
     return ranking.top(ranking.penalise_navigation(hits), limit * ranking.CANDIDATES, name="candidate")
 
 
-def search_batch(index: Index, queries: DataFrame, limit: int = 10, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
+def search_batch(index: Index, queries: DataFrame | tuple[int, str], limit: int = 10, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """HIT columns for each query of ``queries`` (query_id, query): candidates, coverage, floor, then the
     cap by group (unless one group is asked for) and the limit."""
     require_int("limit", limit, 1, 25)
@@ -52,8 +48,27 @@ def search(index: Index, query: str, limit: int = 10, group: str | None = None,
     if topic:
         topic_id = require_topic(topic, topics).id
         tagged = tags.filter(F.col("topic") == topic_id)
-    queries = index.postings.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-    return search_batch(index, queries, limit, group_id, tagged)
+    return search_batch(index, (0, query), limit, group_id, tagged)
+
+
+def full_hits(index: Index, hits: DataFrame, documents: DataFrame, sections: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
+    """``hits`` with all that is known of them: the passage (text, place and offsets), its section (heading, and
+    ``section_ord``, 0 where there is none), its document's columns and its topic tags, joined by commas, null without any.
+    Hits are at most a limit for each query, and are sent to the tables that they are looked up in."""
+    found = hits.select("query_id", "rank", "passage_id", "score", "coverage")
+    out = index.passages.join(F.broadcast(found), "passage_id")
+    if sections is not None and "section_id" in out.columns:
+        of_section = sections.select("section_id", F.col("ord").alias("section_ord"))
+        out = out.join(of_section.join(F.broadcast(out.select("section_id").distinct()), "section_id", "left_semi"), "section_id", "left")
+    else:
+        out = out.withColumn("section_ord", F.lit(None).cast("int"))
+    known = [c for c in documents.columns if c not in ("text", "group_id") and (c == "document_id" or c not in out.columns)]
+    wanted = F.broadcast(out.select("document_id").distinct())
+    out = out.join(documents.select(*known).join(wanted, "document_id", "left_semi"), "document_id")
+    if tags is not None:
+        own = tags.join(F.broadcast(found.select("passage_id").distinct()), "passage_id", "left_semi")
+        out = out.join(own.groupBy("passage_id").agg(F.concat_ws(",", F.sort_array(F.collect_set("topic"))).alias("topic_tags")), "passage_id", "left")
+    return out.withColumn("section_ord", F.coalesce("section_ord", F.lit(0)))
 
 
 def topic_search(index: Index, topics: Sequence[Topic], per_group: int, group_ids: Sequence[str] | None = None) -> DataFrame:
@@ -62,7 +77,7 @@ def topic_search(index: Index, topics: Sequence[Topic], per_group: int, group_id
     rule here, and the floor is each group's own."""
     spark = index.postings.sparkSession
     queries = spark.createDataFrame([(t.id, " ".join(t.keywords)) for t in topics], "query_id string, query string")
-    hits = _located(index, match(index, queries))
+    hits = match(index, queries)
     if group_ids is not None:
         hits = hits.filter(F.col("group_id").isin(list(group_ids)))
     by = ("query_id", "group_id")
@@ -75,41 +90,68 @@ def topic_search(index: Index, topics: Sequence[Topic], per_group: int, group_id
 
 def compare(index: Index, tags: DataFrame, topic: str, groups_asked: list[str] | None = None, passages_per_group: int = 2, groups: tuple[Group, ...] = GROUPS, topics: tuple[Topic, ...] = TOPICS) -> DataFrame:
     """One row for each group asked for, in that order (``position``; duplicates stay): evidence_level, its
-    explanation, matched_keywords of the best passage, passage_ids with scores, and the group's coverage."""
+    explanation, matched_keywords of the best passage, passages (rank, id, text, heading and score), the group's
+    n_passages and n_documents, and coverage_warning, the same text for all, null where groups are about alike."""
     require_int("passages_per_group", passages_per_group, 1, 5)
     wanted = require_topic(topic, topics)
     ids = require_groups(groups_asked, groups)
     spark = index.postings.sparkSession
     asked = spark.createDataFrame([(n, g) for n, g in enumerate(ids)], "position int, group_id string")
     hits = topic_search(index, [wanted], passages_per_group, sorted(set(ids)))
-    best = hits.groupBy("group_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "passage_id", F.round("score", 3).alias("score")))).alias("passages"),
+    # at most so many passages for each group asked for
+    shown = index.passages.select("passage_id", "text", "heading").join(F.broadcast(hits.drop("text")), "passage_id")
+    best = shown.groupBy("group_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "passage_id", "text", "heading", F.round("score", 3).alias("score")))).alias("passages"),
         F.min_by("matched_keywords", "rank").alias("matched_keywords"),
     )
     stats = statistics.group_stats(index.passages, tags).select("group_id", "n_passages", "n_documents")
     joined = asked.join(best, "group_id", "left").join(stats, "group_id", "left")
     level = ranking.evidence_level(F.when(F.col("passages").isNotNull(), F.size("matched_keywords")))
     none = F.array().cast("array<string>")
-    return joined.select(
+    named = spark.createDataFrame([(g.id, n, g.short_name) for n, g in enumerate(groups) if g.id in ids], "group_id string, ordinal int, short_name string")
+    # one row, or none
+    warned = coverage_warning(statistics.coverage_imbalance(stats, named), named)
+    return joined.join(F.broadcast(warned), F.lit(True), "left").select(
         "position",
         "group_id",
         level.alias("evidence_level"),
         ranking.evidence_explanation(level).alias("evidence_explanation"),
         F.coalesce("matched_keywords", none).alias("matched_keywords"),
-        F.coalesce("passages", F.array().cast("array<struct<rank: int, passage_id: string, score: double>>")).alias("passages"),
+        F.coalesce("passages", F.array().cast("array<struct<rank: int, passage_id: string, text: string, heading: string, score: double>>")).alias("passages"),
         F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"),
         F.coalesce("n_documents", F.lit(0).cast("long")).alias("n_documents"),
+        "coverage_warning",
     )
 
 
+# The text around the names and the ratio.
+WARNING = (
+    "Le corpus est inégalement fourni selon les partis : ",
+    " y est documenté ",
+    " fois plus que ",
+    ". Les partis n'ont pas publié le même volume en 2022. Un parti peu couvert peut donc paraître plus vague ou ressortir en `not_found` sans que cela "
+    "signifie qu'il n'avait pas de position : le signaler dans la réponse plutôt que de conclure à un silence politique.",
+)
+
+
+def coverage_warning(imbalance: DataFrame, groups: DataFrame) -> DataFrame:
+    """The text of an imbalance (no row without one); ``groups`` has group_id and short_name."""
+    name = lambda c: groups.select(F.col("group_id").alias(c), F.col("short_name").alias(f"{c}_name"))
+    both = imbalance.join(name("best_covered"), "best_covered").join(name("least_covered"), "least_covered")
+    ratio = F.regexp_replace(F.col("ratio").cast("string"), r"\.0$", "")
+    return both.select(F.concat(F.lit(WARNING[0]), "best_covered_name", F.lit(WARNING[1]), ratio, F.lit(WARNING[2]), "least_covered_name", F.lit(WARNING[3])).alias("coverage_warning"))
+
+
 def passage_with_context(passages: DataFrame, wanted: DataFrame, radius: int = 1) -> DataFrame:
     """For each passage_id of ``wanted``: the passages of its document at most ``radius`` places away,
-    itself included, with their position. Section borders do not count."""
+    itself included, with their position. Section borders do not count. Places are joined by equality, one
+    row for each offset, so no two passages of a document meet that are not neighbours."""
     require_int("radius", radius, 0, 3)
-    centre = passages.join(wanted.select("passage_id").distinct(), "passage_id", "left_semi").select(F.col("passage_id").alias("wanted_id"), "document_id", F.col("ord").alias("_at"))
-    near = passages.join(centre, "document_id").filter(F.col("ord").between(F.col("_at") - radius, F.col("_at") + radius))
-    position = F.when(F.col("ord") == F.col("_at"), "self").when(F.col("ord") < F.col("_at"), "before").otherwise("after")
-    return near.select("wanted_id", "passage_id", "document_id", "ord", position.alias("position"), "text")
+    centre = passages.join(wanted.select("passage_id").distinct(), "passage_id", "left_semi").select(F.col("passage_id").alias("wanted_id"), "document_id", "ord")
+    offsets = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    places = centre.withColumn("offset", offsets).select("wanted_id", "document_id", (F.col("ord") + F.col("offset")).alias("ord"), "offset")
+    position = F.when(F.col("offset") == 0, "self").when(F.col("offset") < 0, "before").otherwise("after")
+    return passages.join(places, ["document_id", "ord"]).select("wanted_id", "passage_id", "document_id", "ord", position.alias("position"), "text")
 
 
 def neighbour_windows(passages: DataFrame, radius: int = 1) -> DataFrame:

@@ -59,11 +59,11 @@ def stem_vocabulary(spark, sf_dir):
 
 
 VARIANTS = (  # fixed values: inflections that should share a stem, accent-free
-    "retraite retraites", "immigration immigre immigres", "hopital hopitaux", "policier policiers", "travailleur travailleurs",
+    "retraite retraites", "immigration immigre immigres", "ecologie ecologiste ecologistes", "hopital hopitaux", "policier policiers", "travailleur travailleurs",
     "salaire salaires", "impot impots", "cotisation cotisations", "europeen europeenne europeens europeennes",
     "national nationaux nationale nationales", "enseignant enseignants enseignante", "fiscalite fiscalites", "logement logements",
     "pension pensions", "nucleaire nucleaires", "chomeur chomeurs", "gouvernement gouvernements", "republique republiques",
-    "etranger etrangers etrangere", "renouvelable renouvelables", "magistrat magistrats", "ecologie ecologiste ecologistes",
+    "etranger etrangers etrangere", "renouvelable renouvelables", "magistrat magistrats",
 )
 
 
@@ -100,7 +100,7 @@ def corpus_stats(spark, sf_dir):
 
 def bm25_scores(spark, sf_dir):
     """Scores and coverage of every passage that matches, before any rule."""
-    return _shown(index.match(_index(spark, sf_dir), _searches(spark)))
+    return _shown(index.match(_index(spark, sf_dir), _searches(spark))).select("query_id", "passage_id", "score", "coverage", "n_terms")
 
 
 def bm25_search(spark, sf_dir):
@@ -229,7 +229,11 @@ def group_profile(spark, sf_dir):
     tags = _tags(spark, index.postings(passages))
     one = catalog.group_profile("de", citations.group_table(spark, corpus.GROUPS), docs, passages, tags)
     coverage = F.concat_ws(",", F.transform(F.map_entries("topic_coverage"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
-    return one.select("group_id", "group_name", "n_passages", coverage.alias("topic_coverage"), F.size("sources").cast("long").alias("n_sources"))
+    return one.select("group_id", "group_name", "n_passages", coverage.alias("topic_coverage"), "n_sources")
+
+
+def group_sources(spark, sf_dir):
+    return catalog.group_sources("de", _documents(spark, sf_dir)).select("document_id", "title", "source_type", "source_url", "checksum")
 
 
 def topic_catalog(spark, sf_dir):
@@ -258,8 +262,7 @@ def navigation_flags(spark, sf_dir):
 
 def passage_context(spark, sf_dir):
     passages = _passages(spark, sf_dir)
-    wanted = passages.filter((F.col("ord") == 2) & (F.col("group_id") == "fr"))
-    return search.passage_with_context(passages, wanted, 1)
+    return search.passage_with_context(passages, passages, 1)
 
 
 def neighbour_window(spark, sf_dir):
@@ -338,11 +341,11 @@ def normalize_lines(spark, sf_dir):
 
 def page_ngrams(spark, sf_dir):
     """Sequences on two pages or more of the paged documents."""
-    return pages.page_ngrams(pages.pages(corpus.paged(_documents(spark, sf_dir)))).filter("n_pages > 1")
+    return pages.page_ngrams(pages.paged_lines(corpus.paged(_documents(spark, sf_dir))), F.lit(2))
 
 
 def boilerplate(spark, sf_dir):
-    found = pages.boilerplate(pages.frequent_ngrams(pages.pages(corpus.paged(_documents(spark, sf_dir)))))
+    found = pages.boilerplate(pages.paged_lines(corpus.paged(_documents(spark, sf_dir))))
     return found.select("document_id", F.concat_ws("|", "furniture").alias("furniture"))
 
 
@@ -373,7 +376,7 @@ tokenize_counts stem_vocabulary stem_convergence match_terms postings term_stats
 bm25_scores bm25_search bm25_search_documents bm25_search_group bm25_search_topic bm25_batch search_not_found
 coverage_filter score_floor group_cap topic_search compare_groups evidence_levels
 tag_topics passage_tags topic_counts topic_counts_group topic_group_crosstab untagged_count group_stats
-coverage_imbalance corpus_meta list_documents list_groups list_sources group_profile topic_catalog
+coverage_imbalance corpus_meta list_documents list_groups list_sources group_profile group_sources topic_catalog
 blocks heading_flags navigation_flags passage_context neighbour_window chunks sections chunk_coverage
 chunk_summary slice_check referential_check chunk_search empty_groups document_problems
 checksums html_text normalize_lines page_ngrams boilerplate paged_text alias_resolution

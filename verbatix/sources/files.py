@@ -7,6 +7,7 @@ collection). Nothing is downloaded: a folder of files that are there is the inpu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +67,47 @@ def has_format(content: Column, kind: Column) -> Column:
     return F.when(kind == "pdf", pdf).otherwise(F.octet_length(data) >= LEAST_HTML_BYTES)
 
 
+def checksum_manifest(raw: DataFrame, sources: DataFrame) -> DataFrame:
+    """id, sha256, bytes and source_url of every source of a catalog whose file is there. ``raw`` is ``read_raw``."""
+    return sources.select("id", "source_url", "file_name").join(raw.select("file_name", "sha256", "bytes"), "file_name").select("id", "sha256", "bytes", "source_url")
+
+
+def missing_files(raw: DataFrame, sources: DataFrame) -> DataFrame:
+    """Catalog rows whose file is not there."""
+    return sources.join(raw.select("file_name"), "file_name", "left_anti")
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """One JSON object a line, in files that Spark commits together."""
+    manifest.write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, sha256 string, bytes long, source_url string").json(path)
+
+
 def with_checksums(documents: DataFrame, checksums: DataFrame) -> DataFrame:
     """``documents`` with the checksum recorded for their id; empty where none is."""
     known = checksums.select(F.col("id").alias("document_id"), F.col("sha256").alias("checksum"))
     return documents.drop("checksum").join(known, "document_id", "left").withColumn("checksum", F.coalesce("checksum", F.lit("")))
 
 
+def write_texts(documents: DataFrame, path: str) -> None:
+    """document_id and text as a table; every text ends with one line feed."""
+    text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n+\z", ""), F.lit("\n"))
+    documents.select("document_id", text.alias("text")).write.mode("overwrite").parquet(path)
+
+
+def size_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, n_rows, kilobytes and longest_row (bytes) of the tables' rows as JSON."""
+    parts = []
+    for name, table in tables.items():
+        size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in table.columns))))
+        report = table.select(size.cast("long").alias("size")).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.max("size"), F.lit(0)).alias("longest_row"))
+        parts.append(report.select(F.lit(name).alias("table"), "n_rows", F.round(F.col("bytes") / 1024).cast("long").alias("kilobytes"), "longest_row"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def write_corpus(tables: dict[str, DataFrame], path: str) -> None:
     """Replaces the tables of a corpus; chunks are parted by group, so that a group filter prunes files."""
     for name, table in tables.items():

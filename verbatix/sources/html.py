@@ -3,7 +3,8 @@
 Template elements (navigation, headers, forms, embeds) are dropped. The content is the first of a list of
 containers whose first instance holds more than 400 characters, else the body. A block that contains other
 blocks is descended into; a blank line follows headings. Pages are parsed in Arrow batches, one at a time;
-a null page has an empty title and text.
+a null page has an empty title and text. References to surrogates or beyond Unicode become U+FFFD; a broken
+declaration is a comment.
 """
 
 from __future__ import annotations
@@ -46,9 +47,15 @@ CLOSED_BY = {"li": {"li"}, "p": {"p", "div"}, "td": {"td", "th"}, "th": {"td", "
 def decode_entities(text: str) -> str:
     for pattern, to in ENTITIES:
         text = re.sub(pattern, to, text)
-    point = lambda digits, base: chr(min(int(digits, base), 0x10FFFF))
-    text = re.sub("&#([0-9]+);", lambda m: point(m[1], 10), text)
-    return re.sub("(?i)&#x([0-9a-f]+);", lambda m: point(m[1], 16), text)
+    text = re.sub("&#([0-9]+);", lambda m: _code_point(m[1], 10), text)
+    return re.sub("(?i)&#x([0-9a-f]+);", lambda m: _code_point(m[1], 16), text)
+
+
+def _code_point(digits: str, base: int) -> str:
+    """U+FFFD for a surrogate and for what lies beyond Unicode."""
+    digits = digits.lstrip("0") or "0"
+    point = int(digits, base) if len(digits) <= 7 else 0x110000
+    return chr(point) if point < 0xD800 or 0xE000 <= point <= 0x10FFFF else "\ufffd"
 
 
 class Element:
@@ -87,6 +94,9 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.root = self.at = Element("", {}, None)
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         if self.at.tag in CLOSED_BY and tag in CLOSED_BY[self.at.tag]:
             self.at = self.at.parent
@@ -152,10 +162,13 @@ def html_to_text(html: str) -> tuple[str, str]:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    for one in list(tree.root.elements()):
-        if one.is_dropped():
-            one.parent.children.remove(one)
+    for one in [tree.root, *tree.root.elements()]:
+        one.children = [c for c in one.children if not isinstance(c, Element) or not c.is_dropped()]
     everything = list(tree.root.elements())
+    with_blocks = set()  # elements that have a block below
+    for one in reversed(everything):
+        if one.tag in BLOCKS or one in with_blocks:
+            with_blocks.add(one.parent)
     first = lambda test: next(filter(test, everything), None)
     title = first(lambda e: e.tag == "title")
     found = [f for f in map(first, _CONTAINERS) if f is not None and len(f.text().strip()) > LEAST_CONTENT]
@@ -164,7 +177,7 @@ def html_to_text(html: str) -> tuple[str, str]:
     stack = [c for c in reversed(content.children) if isinstance(c, Element)]
     while stack:
         one = stack.pop()
-        if one.tag in BLOCKS and not any(e.tag in BLOCKS for e in one.elements()):
+        if one.tag in BLOCKS and one not in with_blocks:
             text = _tidy(one.text())
             if text and not any(p.search(text) for p in _NOISE):
                 lines += [text, ""] if one.tag[0] == "h" and len(one.tag) == 2 else [text]

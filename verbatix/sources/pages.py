@@ -1,8 +1,9 @@
 """Text of paged documents: cleaning of lines, removal of running headers, and reflow into paragraphs.
 
-Line rewrites are Column expressions. Running headers are word sequences that stand on 40 % of a document's
-pages: they are counted by joins and aggregates over all documents at once. Folds whose next step depends
-on the last (letter-spaced capitals, doubled words, reflow) are Arrow functions over arrays of lines.
+A document is a row, its pages an array of arrays of lines, so nothing is shuffled. Line rewrites are Column
+expressions. Running headers are word sequences that stand on 40 % of a document's pages; they are counted
+level by level. Folds whose next step depends on the last (letter-spaced capitals, doubled words, reflow) are
+Arrow functions over these arrays.
 
 A null text has no pages; a document of fewer than four pages has no running headers.
 """
@@ -10,6 +11,7 @@ A null text has no pages; a document of fewer than four pages has no running hea
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,27 +69,21 @@ def _capital_share(line: str) -> tuple[int, float]:
 
 def join_spaced_capitals(line: str) -> str:
     """Fragments of one or two capitals that are no words join the next token, or the one before where the
-    next is a word of its own."""
-    tokens = line.split(" ")
-    tokens = [t for t in tokens if t]
+    next is a word of its own. Tokens are marked first: a fragment opens a joint with a follower that is no
+    short word, unless an earlier fragment has taken it; what is marked alike is then put together."""
+    tokens = [t for t in line.split(" ") if t]
     letters, share = _capital_share(line)
     if len(tokens) < 3 or letters < 4 or share < 0.8:
         return line
-    out, tokens = [], iter([*tokens, None])
-    token = next(tokens)
-    while token is not None:
-        following = next(tokens)
-        if len(token) > 2 or token in SHORT_CAPITALS or not re.fullmatch("[A-ZÀ-Ý]+", token):
-            out.append(token)
-        elif following is not None and following not in SHORT_CAPITALS:
-            out.append(token + following)
-            following = next(tokens)
-        elif out:
-            out[-1] += token
-        else:
-            out.append(token)
-        token = following
-    return " ".join(out)
+    fragment = [len(t) <= 2 and t not in SHORT_CAPITALS and re.fullmatch("[A-ZÀ-Ý]+", t) is not None for t in tokens]
+    joins_next = [False] * len(tokens)
+    for i, follower in enumerate(tokens[1:]):
+        joins_next[i] = fragment[i] and follower not in SHORT_CAPITALS and not (i and joins_next[i - 1])
+    taken = [False, *joins_next[:-1]]
+    joins_last = [f and not j and not t for f, j, t in zip(fragment, joins_next, taken, strict=True)]
+    joins_last[0] = False
+    glue = ["" if t or j else " " for t, j in zip(taken, joins_last, strict=True)]
+    return "".join(g + t for g, t in zip(glue, tokens, strict=True)).lstrip(" ")
 
 
 def collapse_doubled_capitals(line: str) -> str:
@@ -132,63 +128,82 @@ def _per_array(function, returns: str):
     return applied
 
 
-def doubled_capitals_col(lines: Column) -> Column:
-    return _per_array(lambda page: [collapse_doubled_capitals(x) for x in page], "array<string>")(lines)
+def doubled_capitals_col(pages: Column) -> Column:
+    return _per_array(lambda doc: [[collapse_doubled_capitals(x) for x in page] for page in doc], "array<array<string>>")(pages)
 
 
-def straightened_col(lines: Column) -> Column:
-    return _per_array(lambda page: [collapse_doubled_capitals(join_spaced_capitals(x)) for x in page], "array<string>")(lines)
+def straightened_col(pages: Column) -> Column:
+    return _per_array(lambda doc: [[collapse_doubled_capitals(join_spaced_capitals(x)) for x in page] for page in doc], "array<array<string>>")(pages)
 
 
 def reflow_col(lines: Column) -> Column:
     return _per_array(lambda doc: "\n".join(collapse_doubled_capitals(p) for p in reflow(list(doc))) + "\n", "string")(lines)
 
 
-def pages(documents: DataFrame) -> DataFrame:
-    """document_id, page (from 0) and lines: form feeds part pages. Lines are cleaned, letter-spaced ones
-    dropped, blank ones kept."""
-    split = documents.select("document_id", F.posexplode(F.split("text", "\f", -1)).alias("page", "t"))
-    cleaned = F.transform(F.split("t", "\n", -1), normalize_line_col)
-    return split.select("document_id", "page", doubled_capitals_col(cleaned).alias("lines")).withColumn("lines", F.filter("lines", lambda x: ~is_letter_spaced_col(x)))
+def paged_lines(documents: DataFrame) -> DataFrame:
+    """document_id and pages, an array of arrays of lines: form feeds part pages. Lines are cleaned,
+    letter-spaced ones dropped, blank ones kept. A null text has no pages."""
+    cleaned = F.transform(F.split("text", "\f", -1), lambda page: F.transform(F.split(page, "\n", -1), normalize_line_col))
+    straight = documents.filter(F.col("text").isNotNull()).select("document_id", doubled_capitals_col(cleaned).alias("pages"))
+    return straight.withColumn("pages", F.transform("pages", lambda page: F.filter(page, lambda x: ~is_letter_spaced_col(x))))
+
 
+def common_ngrams(pages: list[list[str]], least: int) -> list[tuple[str, int]]:
+    """(words, pages) of the sequences of 3 to 14 words within lines that stand on ``least`` pages or more. A
+    longer sequence is looked at only where the two that it consists of are common."""
+    lines = [(number, [t for t in line.split(" ") if t]) for number, page in enumerate(pages) for line in page]
+    starts = [range(len(tokens) - NGRAM_WORDS[0] + 1) for _, tokens in lines]
+    out: list[tuple[str, int]] = []
+    for n in range(NGRAM_WORDS[0], NGRAM_WORDS[1] + 1):
+        found: dict[str, list[int]] = {}  # pages, and the last one
+        here = [[(i, " ".join(tokens[i : i + n])) for i in own] for (_, tokens), own in zip(lines, starts, strict=True)]
+        for (number, _), own in zip(lines, here, strict=True):
+            for _, words in own:
+                seen = found.setdefault(words, [0, -1])
+                if seen[1] != number:
+                    seen[0], seen[1] = seen[0] + 1, number
+        common = {words: seen[0] for words, seen in found.items() if seen[0] >= least}
+        if not common:
+            break
+        out += common.items()
+        starts = [[i for (i, w), (j, x) in pairwise(own) if j == i + 1 and w in common and x in common] for own in here]
+    return out
 
-def page_ngrams(paged: DataFrame) -> DataFrame:
-    """document_id, ngram and n_pages of word sequences of 3 to 14 words within lines, each page counted once."""
-    least, most = NGRAM_WORDS
 
-    def of_tokens(tokens: Column) -> Column:
-        sizes = F.sequence(F.lit(least), F.least(F.size(tokens), F.lit(most)))
-        of_size = lambda n: F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        return F.when(F.size(tokens) >= least, F.flatten(F.transform(sizes, of_size))).otherwise(F.array().cast("array<string>"))
+def page_ngrams(paged: DataFrame, least: Column) -> DataFrame:
+    """document_id, ngram and n_pages of the word sequences on ``least`` pages or more of their document. A
+    document is a row: nothing is shuffled."""
 
-    # the inner transform names the tokens, so that they are made once a line
-    of_line = lambda line: F.flatten(F.transform(F.array(F.filter(F.split(line, " "), lambda t: t != "")), of_tokens))
-    distinct = F.array_distinct(F.flatten(F.transform("lines", of_line)))
-    return paged.select("document_id", F.explode(distinct).alias("ngram")).groupBy("document_id", "ngram").agg(F.count("*").alias("n_pages"))
+    @F.pandas_udf("array<struct<ngram: string, n_pages: long>>")
+    def common(pages: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([common_ngrams(p, n) for p, n in zip(pages, least, strict=True)])
 
+    return paged.select("document_id", F.explode(common("pages", least.cast("int"))).alias("x")).select("document_id", "x.ngram", "x.n_pages")
 
-def frequent_ngrams(paged: DataFrame) -> DataFrame:
-    """document_id and ngram of the sequences on enough pages. Only documents of four pages or more are
-    expanded."""
-    counts = paged.groupBy("document_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    least = F.greatest(F.lit(LEAST_COUNT), F.ceil(F.col("n") * PAGE_SHARE))
-    found = page_ngrams(paged.join(counts.select("document_id"), "document_id", "left_semi"))
-    return found.join(counts, "document_id").filter(F.col("n_pages") >= least).select("document_id", "ngram", "n_pages")
 
+def maximal(ngrams: list[str]) -> list[str]:
+    """Those that no longer one contains, longest first."""
+    kept: list[str] = []
+    for ngram in sorted(ngrams, key=lambda x: (-len(x), x)):
+        if not any(ngram in longer for longer in kept):
+            kept.append(ngram)
+    return kept
 
-def boilerplate(frequent: DataFrame) -> DataFrame:
-    """document_id and furniture: its frequent sequences that no longer one contains, longest first. Those
-    of one document meet in one task; sequences of 40 % of its pages are few."""
 
-    def maximal(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        for ngram in sorted(frame["ngram"], key=lambda x: (-len(x), x)):
-            if not any(ngram in longer for longer in kept):
-                kept.append(ngram)
-        return pd.DataFrame({"document_id": [frame["document_id"].iloc[0]], "furniture": [kept]})
+def furniture_col(pages: Column) -> Column:
+    """The running headers of a document: its maximal sequences on 40 % of four pages or more."""
 
-    kind = frequent.schema["document_id"].dataType.simpleString()
-    return frequent.groupBy("document_id").applyInPandas(maximal, f"document_id {kind}, furniture array<string>")
+    @F.pandas_udf("array<string>")
+    def found(documents: pd.Series) -> pd.Series:
+        least = lambda pages: max(LEAST_COUNT, -(-len(pages) * 2 // 5))
+        return pd.Series([maximal([w for w, _ in common_ngrams(p, least(p))]) if len(p) >= LEAST_PAGES else [] for p in documents])
+
+    return found(pages)
+
+
+def boilerplate(paged: DataFrame) -> DataFrame:
+    """document_id and furniture (longest first) of the documents that have running headers."""
+    return paged.select("document_id", furniture_col(F.col("pages")).alias("furniture")).filter(F.size("furniture") > 0)
 
 
 def strip_furniture_col(line: Column, furniture: Column) -> Column:
@@ -197,11 +212,13 @@ def strip_furniture_col(line: Column, furniture: Column) -> Column:
 
 def extract(documents: DataFrame) -> DataFrame:
     """document_id and text (a paragraph a line) of paged documents."""
-    paged = pages(documents)
-    found = boilerplate(frequent_ngrams(paged))
-    joined = paged.join(found, "document_id", "left").withColumn("furniture", F.coalesce("furniture", F.array().cast("array<string>")))
-    stripped = joined.withColumn("clean", straightened_col(F.transform("lines", lambda x: strip_furniture_col(x, F.col("furniture")))))
-    kept = F.filter(F.arrays_zip("lines", "clean"), lambda x: (x["lines"] == "") | ((x["clean"] != "") & ~is_page_number_col(x["clean"])))
-    lines = F.array_append(F.transform(kept, lambda x: x["clean"]), F.lit(""))
-    gathered = stripped.select("document_id", "page", lines.alias("out")).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("page", "out"))).alias("all"))
-    return gathered.select("document_id", reflow_col(F.flatten(F.transform("all", lambda x: x["out"]))).alias("text"))
+    paged = paged_lines(documents).withColumn("furniture", furniture_col(F.col("pages")))
+    stripped = F.transform("pages", lambda page: F.transform(page, lambda x: strip_furniture_col(x, F.col("furniture"))))
+    cleaned = paged.withColumn("clean", straightened_col(stripped))
+
+    def kept(page: Column, clean: Column) -> Column:
+        pairs = F.zip_with(page, clean, lambda x, y: F.struct(x.alias("line"), y.alias("clean")))
+        pairs = F.filter(pairs, lambda x: (x["line"] == "") | ((x["clean"] != "") & ~is_page_number_col(x["clean"])))
+        return F.array_append(F.transform(pairs, lambda x: x["clean"]), F.lit(""))
+
+    return cleaned.select("document_id", reflow_col(F.flatten(F.zip_with("pages", "clean", kept))).alias("text"))
