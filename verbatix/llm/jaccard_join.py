@@ -7,13 +7,13 @@
    of the usual prefix; a node that shares fewer with all others together has none. N-grams met twice in a
    block of texts are credited there, so a frequent one sends a row a block.
 3. The n-grams of the nodes left are counted exactly. An n-gram of one node only is in no intersection: what
-   remains of a set is its core, in order of these counts, rarest first. Nodes of equal core and equal size have
+   remains of a set is its core, in order of the magnitudes of these counts, rarest first. Nodes of equal core and equal size have
    the same links to all others and form a class; they are linked to each other if the core is large enough.
 4. Prefix postings of the classes' cores are joined to candidate pairs under a length, a positional and a suffix
    filter, and each pair is verified once by counting the intersection.
 5. Only groups are asked for, so a pair within one group needs no check. A round compares the members of each
    posting list with some of them, its centres, merges what is linked, and takes the centres out of the list, as all of
-   their pairs there are decided. The number of centres doubles with each round, until no list spans two groups.
+   their pairs there are decided. The number of centres grows eightfold with each round, until no list spans two groups.
    No candidate is left out.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. A text with fewer words than n is one
@@ -27,6 +27,7 @@ in one folder below the shared one; those that the result does not read are dele
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,9 @@ from .common import Scratch, arrow_schema, blocks_of, mix, word_hashes
 RANGES = 16
 #: Counters for n-grams (four bytes each), in slices that are summed apart: a table of 4 MB at any input.
 COUNTERS, SLICES = 1 << 20, 256
+#: So many ids (8 bytes each) and pairs (two ids each) are sent to all executors; more are joined by shuffle.
+FEW_IDS, FEW_PAIRS = 500_000, 200_000
+
 
 @dataclass(frozen=True)
 class Likeness:
@@ -126,7 +130,7 @@ def fingerprints(docs: DataFrame, id: str, like: Likeness) -> DataFrame:
             yield pa.RecordBatch.from_arrays([some["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.int64()), *none], schema=schema)
         if counts.any():
             task = TaskContext.get().partitionId()
-            frame = pd.DataFrame({"slice": np.arange(SLICES), "part": task % 1024, "counts": [c.tobytes() for c in _narrow(counts).reshape(SLICES, -1)]})
+            frame = pd.DataFrame({"slice": np.arange(SLICES), "part": task % 1024, "counts": [_narrow(c) for c in counts.reshape(SLICES, -1)]})
             yield pa.RecordBatch.from_pandas(frame.reindex(columns=schema.names), schema, preserve_index=False)
 
     return docs.select(F.col(id).cast("long").alias("id"), F.col("text")).mapInArrow(batches, PRINTS)
@@ -141,20 +145,24 @@ def summed_counts(prints: DataFrame) -> np.ndarray:
     root of all tasks; the table that reaches the driver has a fixed size."""
 
     def summed(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, "<u4") for c in group["counts"]], axis=0, dtype=np.int64)
-        return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": group["part"].iloc[:1], "counts": [_narrow(total).tobytes()]})
+        total = np.sum([_wide(c) for c in group["counts"]], axis=0, dtype=np.int64)
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": group["part"].iloc[:1], "counts": [_narrow(total)]})
 
     schema = "slice int, part int, counts binary"
     sums = prints.filter("slice IS NOT NULL").select("slice", "part", "counts")
     sums = sums.groupBy("slice", "part").applyInPandas(summed, schema).groupBy("slice").applyInPandas(summed, schema)
     out = np.zeros((SLICES, COUNTERS // SLICES), "<u4")
     for r in sums.select("slice", "counts").collect():
-        out[r["slice"]] = np.frombuffer(r["counts"], "<u4")
+        out[r["slice"]] = _wide(r["counts"])
     return out.reshape(-1)
 
 
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4")
+def _narrow(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4").tobytes(), 1)
+
+
+def _wide(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), "<u4")
 
 
 def rare_first(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -227,12 +235,13 @@ def sets_of(docs: DataFrame, like: Likeness) -> DataFrame:
 
 
 def cores(sets: DataFrame, like: Likeness) -> DataFrame:
-    """node, n and core (n-grams of two nodes or more, rarest first) of the nodes whose core can be most of a partner.
-    A hot n-gram is counted in parts first, and its rows are split by the skew join."""
-    rows = sets.select("node", "n", F.explode("items").alias("item"))
-    shared = rows.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
-    of_node = rows.join(shared, "item").groupBy("node", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("core"))
-    return of_node.filter(F.size("core") >= overlap_of(F.col("n"), like))
+    """node, n and core of the nodes whose core can be most of a partner. An n-gram is named here by the magnitude of its
+    count and 58 bits of its hash, so that an ascending core is rarest first."""
+    rows = sets.select("node", F.explode("items").alias("item"))
+    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("item"))).filter("df > 1")
+    key = F.shiftleft(F.floor(F.log2("df")).cast("long"), 58).bitwiseOR(F.shiftrightunsigned("item", 6))
+    of_node = counted.select("node", key.alias("key")).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("core"))
+    return of_node.join(sets.select("node", "n"), "node").filter(F.size("core") >= overlap_of(F.col("n"), like)).select("node", "n", "core")
 
 
 def members(cored: DataFrame) -> DataFrame:
@@ -255,7 +264,7 @@ def prefix_postings(classes: DataFrame, like: Likeness) -> DataFrame:
             for cls, n, core in zip(batch["cls"].to_pylist(), batch["n"].to_pylist(), batch["core"], strict=True):
                 items = core.values.to_numpy()
                 p = like.prefix(n, len(items))
-                kind = (items.view(np.uint64) >> shift).astype(np.int64)
+                kind = (mix(items.view(np.uint64)) >> shift).astype(np.int64)
                 upto = np.cumsum(kind[:p, None] == np.arange(RANGES), axis=0)
                 suffix = np.bincount(kind, minlength=RANGES) - upto
                 columns = [pa.array(items[:p]), *(pa.array(np.full(p, x, np.int64)) for x in (cls, n, len(items))), pa.array(np.arange(p)), pa.ListArray.from_arrays(pa.array(np.arange(p + 1) * RANGES, pa.int32()), pa.array(suffix.reshape(-1).astype(np.int32)))]
@@ -303,6 +312,9 @@ def candidates(lists: DataFrame, centres: int, turn: int, like: Likeness) -> tup
 
 def verify(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     """``pairs`` (a, b, la, lb) with linked, by their intersection."""
+    if pairs.count() <= FEW_PAIRS:  # classes of no pair stay where they are
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        classes = classes.join(F.broadcast(asked), "cls", "left_semi")
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("core").alias(f"i{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return joined.select("a", "b", "la", "lb", _linked(F.size(F.array_intersect("ia", "ib")), like).alias("linked"))
@@ -342,15 +354,19 @@ def group_classes(classes: DataFrame, postings: DataFrame, like: Likeness, scrat
         scratch.drop(*done)
         if not lists.limit(1).count():
             return labels
-        pairs, decided = candidates(lists, 1 << turn, turn, like)
+        pairs, decided = candidates(lists, 8**turn, turn, like)
         if refused is not None:
             pairs = pairs.join(refused, ["a", "b"], "left_anti")
+        pairs = scratch.table(pairs, "pairs")
         checked = scratch.table(verify(pairs, classes, like), "checked")
         now = checked.filter("NOT linked").select("a", "b")
         refused = now if refused is None else refused.union(now)
-        merged = components(checked.filter("linked").select("la", "lb"), scratch).select(F.col("node").alias("label"), F.col("label").alias("new"))
-        labels, old = scratch.table(labels.join(merged, "label", "left").select("cls", F.coalesce("new", "label").alias("label")), "groups"), labels
-        done = [lists, old]
+        done = [lists, pairs]
+        links = checked.filter("linked").select("la", "lb")
+        if links.limit(1).count():
+            merged = components(links, scratch).select(F.col("node").alias("label"), F.col("label").alias("new"))
+            done.append(labels)
+            labels = scratch.table(labels.join(merged, "label", "left").select("cls", F.coalesce("new", "label").alias("label")), "groups")
         postings = lists.drop("label").join(decided, ["item", "cls"], "left_anti")
         turn += 1
 
@@ -367,11 +383,16 @@ def jaccard_groups(docs: DataFrame, id: str = "doc_id", like: Likeness = Likenes
     ids = keep.select("id").distinct()
     left = docs.select(F.col(id).cast("long").alias("id"), "text")
     # a node of null ids alone has no id to be found by: its rows are all taken
-    left = left.join(ids, left["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = scratch.table(sets_of(left, like).dropDuplicates(["node"]), "sets")
+    n_keep = keep.count()
+    left = left.join(F.broadcast(ids) if n_keep <= FEW_IDS else ids, left["id"].eqNullSafe(ids["id"]), "left_semi")
+    sets = scratch.table(sets_of(left, like), "sets")
+    if sets.count() > n_keep:  # ids repeat: rows of one set are brought together
+        sets = scratch.table(sets.dropDuplicates(["node"]), "sets")
     cored = scratch.table(cores(sets, like), "cores")
+    scratch.drop(sets)
     member = scratch.table(members(cored), "members")
     classes = scratch.table(cored.join(member.select("cls").distinct(), F.col("node") == F.col("cls")).select("cls", "n", "core"), "classes")
+    scratch.drop(cored)
     postings = scratch.table(prefix_postings(classes, like), "postings")
     labels = group_classes(classes, distinct_lists(postings), like, scratch)
     # members of a class that is linked to itself or to another one share its label
@@ -383,7 +404,7 @@ def jaccard_groups(docs: DataFrame, id: str = "doc_id", like: Likeness = Likenes
     named = nodes.join(of_node, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("id").alias("component_id"))
     found = scratch.table(named.join(groups, "label").select("node", "component_id"), "found")
-    for table in (keep, sets, cored, member, classes, postings, of_node):
+    for table in (keep, member, classes, postings, of_node):
         scratch.drop(table)
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
     return prints.join(found, "node", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"))
