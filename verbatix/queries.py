@@ -288,13 +288,19 @@ def chunk_summary(spark, sf_dir):
 
 
 def slice_check(spark, sf_dir):
+    """Lines as passages, those of one collection with a shifted start."""
     docs = _documents(spark, sf_dir)
-    return statistics.slice_violations(chunking.chunks(docs), docs)
+    cut = chunking.blocks(docs, "collection").withColumn("char_start", F.col("start") + (F.col("collection") == "src1").cast("int"))
+    shifted = (F.col("end") + F.col("char_start") - F.col("start")).alias("char_end")
+    return statistics.slice_violations(cut.select(F.concat_ws(":", "document_id", "ord").alias("passage_id"), "document_id", "text", "char_start", shifted), docs)
 
 
 def referential_check(spark, sf_dir):
+    """Lines as passages, of documents and sections that are there in part."""
     docs = _documents(spark, sf_dir)
-    return statistics.orphans(chunking.chunks(docs), docs, chunking.sections(docs))
+    known, open_ = docs.filter("collection <> 'src1'"), docs.filter("collection NOT IN ('src1', 'src2')")
+    passages = _passages(spark, sf_dir).withColumn("section_id", F.col("document_id"))
+    return statistics.orphans(passages, known, open_.select(F.col("document_id").alias("section_id")))
 
 
 def chunk_search(spark, sf_dir):
