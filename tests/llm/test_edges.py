@@ -5,10 +5,12 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 from importlib.metadata import distribution
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_queries import brute_groups, brute_quality, brute_sets, brute_shard
-from verbatix.llm import byte_bpe, chat_format, jaccard_join, kmeans_tree, license_scan, packing, quality_rules, secret_ledger, sharding, token_store
+from verbatix.llm import byte_bpe, chat_format, jaccard_join, kmeans_tree, license_scan, packing, quality_rules, secret_ledger, sharding, token_store, words
 from verbatix.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,7 +41,7 @@ def none(odd):
 
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", "\\b \\e \\c ### x", None, "", "</turn", "### ", "a: b\n</turn>\n###"]
-    turns = [(1, i, ("assistant", "user", None, "a:b")[i % 4], t, 9) for i, t in enumerate(texts)] + [(None, 0, "user", "x", 1), (2, None, "assistant", "y", 1), (2, None, "assistant", "y", 1)]
+    turns = [(1, i, ("assistant", "user", None, "a:b")[i % 4], t, 9) for i, t in enumerate(texts)] + [(None, 0, "user", "x", 1), (None, 1, "assistant", "y", 1), (2, None, "assistant", "y", 1), (2, None, "assistant", "y", 1)]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, pieces int")
     examples = chat_format.prefix_target_examples(rows)
     got = examples.select("*", chat_format.read_turns(F.col("text")).alias("turns"), chat_format.loss_text(F.col("text"), F.col("loss_start"), F.col("loss_chars")).alias("loss")).collect()
@@ -49,7 +51,7 @@ def test_chat_round_trip(spark):
             assert [(t["role"], t["text"]) for t in r["turns"]] == want
             assert r["loss"] == (want[-1][1] if want[-1][0] == "assistant" else "")
     assert [r["target_turn"] for r in got if r["conv_id"] == 1] == [1, 5, 7]
-    assert len([r for r in got if r["conv_id"] == 2]) == 2 and len([r for r in got if r["conv_id"] is None]) == 1
+    assert len([r for r in got if r["conv_id"] == 2]) == 2 and sorted((r["n_turns"], r["loss"]) for r in got if r["conv_id"] is None) == [(1, ""), (1, "y")]
     assert chat_format.prefix_target_examples(rows.limit(0)).count() == 0
 
 
@@ -68,7 +70,7 @@ def test_bpe_equals_tiktoken(text):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
         test_bpe_equals_tiktoken.one = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = test_bpe_equals_tiktoken.one.encode_ordinary(text)
-    assert np.frombuffer(byte_bpe.text_encoder().ids([text])[0], "<u4").tolist() == want
+    assert np.frombuffer(next(byte_bpe.text_encoder().ids(pa.array([text], pa.large_string()))), "<u4").tolist() == want
     assert byte_bpe.encoder().decode(want) == text.encode()
 
 
@@ -98,13 +100,35 @@ def test_bpe_rows(odd, none):
     assert byte_bpe.encode(none).count() == 0
 
 
-def test_batch_memo():
-    calls = []
-    memo = BatchMemo(lambda keys: calls.append(keys) or [k * 2 for k in keys], most=4)
-    for keys in ({1, 2, 3}, {2, 3, 4, 5}, {1, 9, 10, 11, 12, 13}, {2}):
-        memo.fill(set(keys))
-        assert all(memo[k] == 2 * k for k in keys)
-        assert len(memo) <= max(4, len(keys))
+ODD_LETTERS = st.text(alphabet=st.sampled_from(list("abz İıŉßéÀ.,;!$'\n\t 09\x00\x1c\xa0 \u0301ǅ中🙂<|>_-s")) | st.sampled_from("abc, \n"), max_size=40)
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(ODD_LETTERS | st.sampled_from([None, "", "İ.", "İ, x", "foo.\nBar", "a  b", " x", "x ", "<|endoftext|>", "it's 'sx"]), min_size=1, max_size=20))
+def test_words_equal_the_library(texts):
+    """Both vocabularies of the tokenizers library, text by text as a whole."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    for file, got in (("byte_bpe_50k.json", token_store.text_encoder(token_store.FILE).ids(pa.array(texts, pa.large_string()))), ("word_bpe_49k.json", packing.encode_texts(pa.array(texts, pa.large_string()), packing.FILE, 1))):
+        one = LIBRARY.setdefault(file, Tokenizer.from_file(P.path(file)))
+        one.encode_special_tokens = True
+        for text, ids in zip(texts, got, strict=True):
+            end = [1] if file == packing.FILE else []
+            assert np.frombuffer(ids, "<u4").tolist() == one.encode(text or "", add_special_tokens=False).ids + end
+
+
+LIBRARY = {}
+
+
+def test_remembered_words_stay_few(monkeypatch):
+    monkeypatch.setattr(words, "MEMO_BYTES", 4000)
+    one = packing.words_of(packing.FILE)
+    for block in range(5):
+        text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + block)}" for i in range(400))
+        want = [i for w in text.split() for i in np.frombuffer(bytes(one.other([w])[0].as_py()), "<u4")]
+        assert np.frombuffer(next(packing.encode_texts(pa.array([text]), packing.FILE, 1)), "<u4").tolist() == [*want, 1]
+        assert len(one.known) <= 800
 
 
 # 3
@@ -129,6 +153,26 @@ def test_ledger_scans_only_what_is_unseen(spark, odd):
     assert secret_ledger.scan(spark, versions.limit(0), path).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    """A hundred thousand matches are placed and masked within seconds."""
+    text = " ".join(f"é password: hunter{i}" for i in range(100_000))
+    rows = spark.createDataFrame([(1, text)], "path int, text string")
+    began = time.monotonic()
+    found = secret_ledger.scan(spark, rows)
+    got = found.select("findings", secret_ledger.redact(F.col("text"), F.col("findings")).alias("masked")).first()
+    assert time.monotonic() - began < 60
+    assert [(f["start"], f["end"]) for f in got["findings"]] == [m.span() for m in re.finditer("password: [a-z0-9]+", text)]
+    assert got["masked"] == re.sub("password: [a-z0-9]+", "[SECRET]", text)
+
+
+def test_masking_takes_overlaps_as_one(spark):
+    spans = [(2, 5), (3, 4), (4, 9), (9, 10), (12, 3000), (2999, 3001)]
+    text = "".join(chr(0x1F600 + i % 40) if i % 3 else chr(97 + i % 26) for i in range(5000))
+    rows = spark.createDataFrame([(text, [(a, b) for a, b in spans])], "text string, findings array<struct<start: int, end: int>>")
+    masked = rows.select(secret_ledger.redact(F.col("text"), F.col("findings"), "#")).first()[0]
+    assert masked == text[:2] + "#" + "#" + text[10:12] + "#" + text[3001:]
+
+
 # 4
 
 
@@ -206,23 +250,62 @@ def test_store_of_odd_rows(spark, odd, none):
     for r in sorted(got, key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
+    ids = lambda text: [*LIBRARY_OF_STORE().encode(text or "", add_special_tokens=False).ids, 2]
+    want = sorted((len(ids(t)), crc32(np.array(ids(t), "<u4").tobytes())) for _, t in ODD)
+    assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    some = token_store.read_some(spark, path, [5, 9, 10, 11]).collect()
+    assert sorted((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in some) == sorted((i, ids(t)) for i, t in ODD if i in (5, 9, 10))
     token_store.write_store(none, path := new_path(spark, "store-test"))
     assert token_store.read_documents(spark, path).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(ids=st.lists(st.integers(0, 6), max_size=400), a=st.integers(0, 400), b=st.integers(0, 400))
-def test_grammar_decodes_any_range(ids, a, b):
-    ids = np.array(ids * 8, np.uint32)
-    rules, lengths, symbols = token_store.grammar(ids, 10, least=3)
-    assert token_store.expand(symbols.astype(np.int64), rules, lengths, 10).tolist() == ids.tolist()
+def LIBRARY_OF_STORE():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    one = LIBRARY.setdefault(token_store.FILE, Tokenizer.from_file(P.path(token_store.FILE)))
+    one.encode_special_tokens = True
+    return one
 
-    class Row:
-        n_ids, vocabulary, width = len(ids), 10, 4
 
-    Row.rules, Row.rule_lengths, Row.symbols = rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u4").tobytes()
+@settings(max_examples=60, deadline=None)
+@given(ids=st.lists(st.integers(0, 6), max_size=400), times=st.sampled_from([1, 8, 40]), a=st.integers(0, 16000), b=st.integers(0, 16000))
+def test_grammar_decodes_any_range(ids, times, a, b):
+    """Exact round trips, no paying pair left, and any range from the symbols and rules that it needs."""
+    ids = np.array(ids * times, np.uint32)
+    packed = token_store._pack_block(0, 0, [1], [ids.astype("<u4").tobytes()], 10).to_pylist()[0]
+    row = type("Row", (), packed)
+    assert token_store.all_ids(row).tolist() == ids.tolist()
     a, b = min(a, b), max(a, b)
-    assert token_store.block_ids(Row, a, b).tolist() == ids[a:b].tolist()
+    assert token_store.some_ids(row, a, b).tolist() == ids[a:b].tolist()
+    rules, _, symbols = token_store._grammar_of(row)
+    symbols, left = symbols.tolist(), {}
+    at = 0
+    while at < len(symbols) - 1:  # places of a pair that do not overlap
+        pair = (symbols[at], symbols[at + 1])
+        left.setdefault(pair, []).append(at)
+        at += 1
+    for (x, y), places in left.items():
+        apart = len(places)
+        if x == y:
+            apart, last = 0, -2
+            for p in places:
+                if p > last + 1:
+                    apart, last = apart + 1, p
+        assert apart < token_store.LEAST, (x, y, apart)
+
+
+def test_a_range_opens_few_rules():
+    ids = np.random.default_rng(3).integers(0, 50, 200_000).astype(np.uint32)
+    row = type("Row", (), token_store._pack_block(0, 0, [1], [ids.astype("<u4").tobytes()], 50).to_pylist()[0])
+    opened = []
+    real = token_store.unfold
+    token_store.unfold = lambda symbols, *rest: opened.append(len(symbols)) or real(symbols, *rest)
+    try:
+        assert token_store.some_ids(row, 150_000, 150_010).tolist() == ids[150_000:150_010].tolist()
+    finally:
+        token_store.unfold = real
+    assert sum(opened) <= 10
 
 
 def test_grammar_shrinks_repeats():
@@ -300,12 +383,22 @@ def test_sharding_of_odd_rows(odd, none):
     assert sharding.shard(none).count() == 0
 
 
-def test_weights_move_rows_inside_their_subtree():
+@pytest.mark.parametrize("shards", [8, 16, 24, 40])
+def test_one_more_shard_takes_rows_only_into_itself(spark, shards):
+    got = sharding.shard(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), shards).select("shard", "grown_shard").collect()
+    assert all(r["grown_shard"] in (r["shard"], shards) for r in got) and any(r["grown_shard"] == shards for r in got)
+    with pytest.raises(ValueError, match="multiple"):
+        sharding.shard(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), shards + 1)
+
+
+def test_weights_move_rows_inside_their_subtree(spark):
     def tree(weight):
         racks = [sharding.Node(f"r{k}", 2 + (weight if k == 0 else 1), tuple(sharding.Node(f"s{3 * k + i}", weight if (k, i) == (0, 0) else 1.0, (), 3 * k + i) for i in range(3))) for k in range(2)]
         return sharding.Node("root", sum(r.weight for r in racks), tuple(racks))
 
-    moved = [(brute_shard(i, tree(1.0)), brute_shard(i, tree(3.0))) for i in range(3000)]
+    placed = spark.range(3000).select("id", sharding.place(F.col("id"), tree(1.0)).alias("a"), sharding.place(F.col("id"), tree(3.0)).alias("b")).collect()
+    assert all((r["a"], r["b"]) == (brute_shard(r["id"], tree(1.0)), brute_shard(r["id"], tree(3.0))) for r in placed)
+    moved = [(r["a"], r["b"]) for r in placed]
     assert all(a == b or b == 0 or (b < 3) for a, b in moved)
     assert 0.3 < sum(b == 0 for _, b in moved) / len(moved) < 0.45
 
@@ -353,6 +446,25 @@ def test_jaccard_groups_lose_no_link(spark, percent, words):
     assert got == {i: (len(sets[i]), groups[i]) for i in range(len(texts))}
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Every copy has a word of its own; most pairs are not linked, and few of them are looked at."""
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for k in range(600):
+        own = list(base)
+        own[(k * 7) % 60] = f"own{k}"
+        texts.append(" ".join(own))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    asked, real = [], jaccard_join.verify
+    jaccard_join.verify = lambda pairs, *rest: asked.append(pairs.count()) or real(pairs, *rest)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(rows, like=jaccard_join.Likeness(4, 85)).collect()}
+    finally:
+        jaccard_join.verify = real
+    assert got == brute_groups(list(range(600)), brute_sets(texts, 4), 85)
+    assert sum(asked) <= 60 * 59 / 2
+
+
 def test_jaccard_of_odd_rows(odd, none):
     got = sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard_join.jaccard_groups(odd).collect())
     assert got == sorted([("1", 1), ("2", 2), ("3", 3), ("None", None), ("5", 5), ("5", 5), ("7", 7), ("8", 7), ("9", 9), ("10", 10)], key=lambda x: (x[0], x[1] or 0))
@@ -391,6 +503,7 @@ def test_neighbours_of_odd_vectors(spark):
 
 
 def test_stages_take_odd_rows(spark, odd, none):
+    assert corpus_pipeline.pack_sequences(spark, none, "").count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, odd.withColumns({"path": F.lit("p"), "kept": F.lit(True), "_row": F.lit(1)}), "")
         assert got.columns == list(corpus_pipeline.COLUMNS) and got.count() <= len(ODD)

@@ -9,8 +9,8 @@ Template: each turn is ``### <role>: <text></turn>\\n``. Inside roles and texts
 ``\\c``. Neither control string can therefore occur inside a turn, and reading back is exact.
 
 Defined results: a null role or text is the empty string; a null ``turn`` comes before all numbers;
-equal ``turn`` values are ordered by role, then text; repeated rows are repeated turns; rows with a
-null ``conv_id`` form one conversation; a conversation without replies has only the closing example;
+equal ``turn`` values are ordered by role, then text; repeated rows are repeated turns; every row with a
+null ``conv_id`` is a conversation of its own, told from others by ``talk``; a conversation without replies has only the closing example;
 an empty table has no examples; other columns are ignored. An example is one row, so a conversation
 is bound by the size of a row (2 GB).
 """
@@ -39,24 +39,26 @@ def escape_role(role: Column) -> Column:
 
 
 def prefix_target_examples(turns: DataFrame, trainable_role: str = "assistant") -> DataFrame:
-    """conv_id, example_no (from 1), target_turn (position from 1), n_turns, text, loss_start and
+    """conv_id, talk (null but for conversations without id), example_no (from 1), target_turn (position from 1), n_turns, text, loss_start and
     loss_chars (code points in ``text``; loss_start is null in a closing example)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(OPEN), escape_role(role), F.lit(SEPARATOR))
     body = escape(text)
     rendered = turns.select(
         "conv_id",
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("talk"),
         F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"), F.concat(head, body, F.lit(CLOSE + "\n")).alias("piece"), F.length(head).alias("head"), F.length(body).alias("body"), (role == trainable_role).alias("train")).alias("t"),
     )
-    talks = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    talks = rendered.groupBy("conv_id", "talk").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     n = F.size("ts")
     replies = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("ts", i)["train"])
     targets = F.when(F.element_at("ts", -1)["train"], replies).otherwise(F.array_append(replies, n))
-    one = talks.withColumn("targets", targets).select("conv_id", F.transform("ts", lambda t: t["piece"]).alias("pieces"), F.transform("ts", lambda t: F.struct(t["train"].alias("train"), t["head"].alias("head"), t["body"].alias("body"))).alias("marks"), F.posexplode("targets").alias("k", "target"))
+    one = talks.withColumn("targets", targets).select("conv_id", "talk", F.transform("ts", lambda t: t["piece"]).alias("pieces"), F.transform("ts", lambda t: F.struct(t["train"].alias("train"), t["head"].alias("head"), t["body"].alias("body"))).alias("marks"), F.posexplode("targets").alias("k", "target"))
     mark = F.element_at("marks", F.col("target"))
     context = F.array_join(F.slice("pieces", 1, F.col("target") - 1), "")
-    return one.select("conv_id", (F.col("k") + 1).alias("example_no"), F.col("target").alias("target_turn"), F.size("pieces").alias("n_turns"), context.alias("context"), F.element_at("pieces", F.col("target")).alias("piece"), mark.alias("mark")).select(
+    return one.select("conv_id", "talk", (F.col("k") + 1).alias("example_no"), F.col("target").alias("target_turn"), F.size("pieces").alias("n_turns"), context.alias("context"), F.element_at("pieces", F.col("target")).alias("piece"), mark.alias("mark")).select(
         "conv_id",
+        "talk",
         "example_no",
         "target_turn",
         "n_turns",

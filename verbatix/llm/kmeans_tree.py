@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
 1. A tree is fitted on a sample of at most ``sample_rows`` vectors (those of smallest hash; the bound is
-   documented and does not grow) by k-means in every node, until leaves stand for ``leaf_rows`` rows.
+   documented and does not grow, and with it the number of leaves) by k-means in every node, until leaves stand for ``leaf_rows`` rows.
 2. Every vector descends to one leaf; the table of vectors by leaf is the index.
 3. A query walks the tree through a priority queue: the node of largest inner product with the query comes
    first, inner nodes push their children, leaves are visited in the order in which they come.
-4. Calibration: for ``calibration_queries`` vectors the true neighbours are found by brute force over all
+4. Calibration: for ``calibration_queries`` vectors that the tree was not fitted on the true neighbours are found by brute force over all
    rows, and leaf visits are widened until the neighbours found reach ``recall`` of the true ones.
 5. Queries meet the rows of the leaves they visit in blocks (bin, part of its rows, part of its queries). A
    bin is some neighbouring leaves with a bounded number of rows together, or one larger leaf; both parts
@@ -210,7 +210,9 @@ class Index:
 def build(vectors: DataFrame, s: Settings = Settings()) -> Index:
     good = materialise(clean(vectors), "vectors")
     n_rows = good.count()
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.sample_rows).toPandas()
+    drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.sample_rows + s.calibration_queries).toPandas()
+    held = min(s.calibration_queries, len(drawn) // 2)
+    sample, queries = drawn.head(len(drawn) - held), drawn.tail(held)
     tree = fit(stack(sample["embedding"]), n_rows, s) if n_rows else Tree(n_leaves=1)
     shared = good.sparkSession.sparkContext.broadcast(tree)
 
@@ -224,7 +226,7 @@ def build(vectors: DataFrame, s: Settings = Settings()) -> Index:
     sizes = np.zeros(tree.n_leaves, np.int64)
     for r in rows.groupBy("leaf").count().collect():
         sizes[r["leaf"]] = r["count"]
-    visits, recall = calibrate(sample.head(s.calibration_queries), rows, tree, sizes, s) if n_rows > 1 else (1, 1.0)
+    visits, recall = calibrate(queries, rows, tree, sizes, s) if held else (1, 1.0)
     return Index(rows, tree, sizes, visits, recall, s)
 
 

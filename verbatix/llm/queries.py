@@ -22,6 +22,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.transform(chat_format.read_turns(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     read = examples.select(
         "conv_id",
+        "talk",
         "example_no",
         "n_turns",
         F.length("text").alias("chars"),
@@ -29,7 +30,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         chat_format.loss_text(F.col("text"), F.col("loss_start"), F.col("loss_chars")).alias("loss"),
     )
     loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example_no", "loss"))), lambda x: x["loss"]), "")
-    talks = read.groupBy("conv_id").agg(F.max("n_turns").cast("long").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), loss.alias("loss"), F.sum("chars").cast("long").alias("formatted_chars"))
+    talks = read.groupBy("conv_id", "talk").agg(F.max("n_turns").cast("long").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), loss.alias("loss"), F.sum("chars").cast("long").alias("formatted_chars"))
     return talks.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
@@ -96,21 +97,54 @@ QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_secret_sca
 SQL: dict[str, str] = {}
 
 # ---------------------------------------------------------------------------------------------
-# SQL twins. Secrets and chat formatting are plain text functions; sharding is hashing and counting.
+# SQL twins of what DuckDB can say: chat formatting, spans of secrets, and sets, links and groups of shingles.
 
 SQL["op1_chat_format"] = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS talk, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok'),
 e AS (
   SELECT *, length('### ' || replace(replace(replace(replace(role, '\', '\b'), '### ', '###\e '), '</turn>', '</turn\e>'), ':', '\c') || ': '
                    || replace(replace(replace(text, '\', '\b'), '### ', '###\e '), '</turn>', '</turn\e>') || '</turn>' || chr(10)) AS chars,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
-p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM e)
+    row_number() OVER (PARTITION BY conv_id, talk ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id, talk) AS n FROM t),
+p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id, talk ORDER BY k) AS upto FROM e)
 SELECT conv_id, max(n) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(upto) FILTER (WHERE role = 'assistant' OR k = n)::BIGINT AS formatted_chars
-FROM p GROUP BY conv_id"""
+FROM p GROUP BY conv_id, talk"""
+
+
+def _spans(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+    """Places of a kind's matches: the texts between them and the matches themselves, laid end to end."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {number} AS number, first + list_sum(list_transform(gaps[1:i], lambda g: length(g)))::BIGINT AS start, length(ms[i]) AS size FROM (
+    SELECT doc_id, gaps, ms, vs, i, coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0)::BIGINT AS first
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS vs FROM d)))
+    WHERE length(vs[i]) >= {least}"""
+
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SQL["op3_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({_spans("assign", 1, _ASSIGN, 2, 6)}
+  UNION ALL {_spans("access", 2, "AKIA[A-Z0-9]+", 0, 20)}
+  UNION ALL {_spans("hex", 3, "[0-9a-f]+", 0, 24)}),
+s AS (SELECT doc_id, string_agg(concat_ws(':', kind, start, start + size), ',' ORDER BY start, number) AS spans,
+  count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS k, count(*) FILTER (WHERE kind = 'hex') AS h FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (doc_id)"""
+
+SQL["op9_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
+  WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)),
+ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT x, v FROM reach JOIN ways ON y = u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)"""

@@ -34,7 +34,11 @@ class Node:
     shard: int = -1
 
 
-def topology(shards: int, racks: int = 2, shards_per_rack: int = 4) -> Node:
+#: Racks of a region and shards of a rack.
+RACKS, SHARDS_PER_RACK = 2, 4
+
+
+def topology(shards: int, racks: int = RACKS, shards_per_rack: int = SHARDS_PER_RACK) -> Node:
     """Regions of ``racks`` racks of ``shards_per_rack`` equal shards; the last ones may be smaller.
     Adding a shard to a full tree opens a region."""
 
@@ -73,7 +77,10 @@ def _choose(won: Column, options: list[Column]) -> Column:
 
 
 def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with size, text_crc32, shard, grown_shard (with one shard more) and slot."""
+    """``docs`` with size, text_crc32, shard, grown_shard (with one shard more) and slot. ``shards`` fill whole
+    regions: only then does one more open a region of its own and take rows only into itself."""
+    if shards <= 0 or shards % (RACKS * SHARDS_PER_RACK):
+        raise ValueError(f"shards must be a multiple of {RACKS * SHARDS_PER_RACK}")
     placed = docs.withColumns(
         {
             "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long"),
