@@ -3,7 +3,7 @@
 Documents are ordered by doc_id. A task writes a range of doc_id (``shard``) as blocks, cut at document borders,
 of about 2^19 ids; each block is a shard of the grammar. There the most frequent adjacent id pairs are replaced by
 nonterminals, round after round, until no pair pays for its rule or 16 bits hold no further symbol. A block keeps
-the rules, the expansion length of every rule, the remaining sequence, anchors (the number of ids before every
+the rules, the expansion length of every rule, the remaining sequence (rules and sequence in 16 bits a symbol), anchors (the number of ids before every
 1024th symbol) and each document's id and length, so that any range of ids is decoded from the symbols that
 cover it.
 
@@ -223,7 +223,7 @@ def some_ids(row, start: int, stop: int) -> np.ndarray:
 
 
 def _grammar_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row.rules, "<u4").reshape(-1, 2), np.frombuffer(row.rule_lengths, "<u4"), np.frombuffer(row.symbols, f"<u{row.width}")
+    return np.frombuffer(row.rules, f"<u{row.width}").astype(np.uint32).reshape(-1, 2), np.frombuffer(row.rule_lengths, "<u4"), np.frombuffer(row.symbols, f"<u{row.width}")
 
 
 def _pack_block(shard: int, block: int, docs: list, parts: list[bytes], vocabulary: int) -> pa.RecordBatch:
@@ -235,7 +235,7 @@ def _pack_block(shard: int, block: int, docs: list, parts: list[bytes], vocabula
     row = {
         "shard": shard, "block": block, "n_docs": len(docs), "n_ids": len(ids), "vocabulary": vocabulary, "first_doc": docs[nulls] if nulls < len(docs) else None, "last_doc": docs[-1],
         "doc_ids": np.array(docs[nulls:], "<i8").tobytes(), "null_docs": nulls, "doc_lengths": np.array([len(p) // 4 for p in parts], "<i8").tobytes(),
-        "rules": rules.astype("<u4").tobytes(), "rule_lengths": lengths.astype("<u4").tobytes(), "width": width, "symbols": symbols.astype(f"<u{width}").tobytes(),
+        "rules": rules.astype(f"<u{width}").tobytes(), "rule_lengths": lengths.astype("<u4").tobytes(), "width": width, "symbols": symbols.astype(f"<u{width}").tobytes(),
         "anchors": (np.cumsum(size) - size)[::ANCHOR].astype("<u8").tobytes(),
     }
     return pa.RecordBatch.from_pylist([row], arrow_schema(SCHEMA))
