@@ -12,9 +12,9 @@
 4. Prefix postings of the classes' cores are joined to candidate pairs under a length, a positional and a suffix
    filter, and each pair is verified once by counting the intersection.
 5. Only groups are asked for, so a pair within one group needs no check. A round compares the members of each
-   posting list with some of them, its centres, merges what is linked, and takes the centres out of the list, as all of
-   their pairs there are decided. The number of centres grows eightfold with each round, until no list spans two groups.
-   No candidate is left out.
+   posting list with some of them, its centres, and merges what is linked. The number of centres grows eightfold
+   with each round, until no list spans two groups or all members of every list have been centres; pairs that were
+   refused are not verified again. No candidate is left out.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. A text with fewer words than n is one
 n-gram; one without words has the empty set and no links.
@@ -298,76 +298,94 @@ def _bounds(like: Likeness) -> Column:
     return length & _linked(head + after, like) & _linked(head + alike, like)
 
 
-def candidates(lists: DataFrame, centres: int, turn: int, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """(pairs, the centres' postings): each list's members against its centres, pairs a < b of two labels."""
+def candidates(lists: DataFrame, centres: int, turn: int, like: Likeness) -> DataFrame:
+    """Each list's members against its centres, as pairs a < b of two labels."""
     chosen = F.row_number().over(Window.partitionBy("item").orderBy(F.xxhash64("cls", F.lit(turn)), "cls"))
-    picked = lists.select("item", "cls", "n", "m", "pos", "suffix", "label").withColumn("_k", chosen).filter(F.col("_k") <= centres).drop("_k")
+    picked = lists.withColumn("_k", chosen).filter(F.col("_k") <= centres)
     side = lambda df, x: df.select("item", F.col("cls").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("n", "m", "pos", "suffix", "label")))
     met = side(lists, "a").join(side(picked, "b"), "item").filter("la <> lb").filter(_bounds(like))
     swap = F.col("a") > F.col("b")
     ordered = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
     pairs = met.select(ordered("a", "b", "a"), ordered("b", "a", "b"), ordered("la", "lb", "la"), ordered("lb", "la", "lb"))
-    return pairs.dropDuplicates(["a", "b"]), picked.select("item", "cls")
+    return pairs.dropDuplicates(["a", "b"])
 
 
-def verify(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """``pairs`` (a, b, la, lb) with linked, by their intersection."""
-    if pairs.count() <= FEW_PAIRS:  # classes of no pair stay where they are
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        classes = classes.join(F.broadcast(asked), "cls", "left_semi")
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    """``df`` for all executors, if it has been counted as small."""
+    return F.broadcast(df) if few else df
+
+
+def verify(pairs: DataFrame, classes: DataFrame, like: Likeness, few: bool) -> DataFrame:
+    """``pairs`` (a, b, la, lb) with linked, by their intersection. Classes of no pair stay where they are if pairs are few."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("core").alias(f"i{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    second = side("b").join(F.broadcast(pairs.select("b")), "b", "left_semi") if few else side("b")
+    joined = side("a").join(_sent(pairs, few), "a").join(second, "b")
     return joined.select("a", "b", "la", "lb", _linked(F.size(F.array_intersect("ia", "ib")), like).alias("linked"))
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, few: bool) -> DataFrame:
     """node and label (the smallest node reachable) of all nodes in ``links`` (la, lb). A turn spreads the
     smallest labels to neighbours three times, which is all that stars need, and then replaces every label
-    by its own label, which halves the longest chains; turns end when the last spreading changed nothing."""
-    edges = scratch.table(links.select(F.col("la").alias("u"), F.col("lb").alias("v")).union(links.select("lb", "la")).distinct(), "edges")
+    by its own label, which halves the longest chains; turns end when the last spreading changed nothing. Few links
+    are one partition, which nothing has to be shuffled for."""
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table = scratch.table(df, name)
+        return table.coalesce(1) if few else table
+
+    pairs = links.coalesce(1) if few else links
+    edges = kept(pairs.select(F.col("la").alias("u"), F.col("lb").alias("v")).union(pairs.select("lb", "la")).distinct(), "edges")
+    gathered = lambda df: df.coalesce(1) if few else df
     labels = edges.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
         before = labels
         for _ in range(3):
             before, sent = labels, edges.join(labels, edges.v == labels.node).select(F.col("u").alias("node"), "label")
-            labels = labels.union(sent).groupBy("node").agg(F.min("label").alias("label"))
-        compared = scratch.table(labels.join(before.withColumnRenamed("label", "old"), "node"), "labels")
+            labels = gathered(labels.union(sent)).groupBy("node").agg(F.min("label").alias("label"))
+        compared = kept(labels.join(before.withColumnRenamed("label", "old"), "node"), "labels")
         if compared.filter("label <> old").limit(1).count() == 0:
-            scratch.drop(edges)
             return compared.select("node", "label")
         now = compared.select("node", "label")
         further = now.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = scratch.table(now.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+        labels = kept(now.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
 
 
 def group_classes(classes: DataFrame, postings: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
     """cls, label of all classes in ``postings``; classes with one label are linked."""
     labels = scratch.table(postings.select("cls").distinct().withColumn("label", F.col("cls")), "groups")
+    few_labels = labels.count() <= FEW_IDS
     refused: DataFrame | None = None
+    n_refused = turn = 0
     done: list[DataFrame] = []  # tables of the round before, which the next lists are made of
-    turn = 0
     while True:
         # groups only grow: a list within one group is done with
-        named = postings.join(labels, "cls")
-        spanning = named.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("item")
-        lists = scratch.table(named.join(spanning, "item", "left_semi"), "lists")
+        named = postings.join(_sent(labels, few_labels), "cls")
+        spanning = named.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low <> high").select("item", "size")
+        lists = scratch.table(named.join(spanning, "item"), "lists")
         scratch.drop(*done)
-        if not lists.limit(1).count():
+        longest = lists.agg(F.max("size")).first()[0]
+        if longest is None:
             return labels
-        pairs, decided = candidates(lists, 8**turn, turn, like)
+        pairs = candidates(lists, 8**turn, turn, like)
         if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
+            pairs = pairs.join(_sent(refused, n_refused <= FEW_PAIRS), ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, "pairs")
-        checked = scratch.table(verify(pairs, classes, like), "checked")
-        now = checked.filter("NOT linked").select("a", "b")
-        refused = now if refused is None else refused.union(now)
         done = [lists, pairs]
-        links = checked.filter("linked").select("la", "lb")
-        if links.limit(1).count():
-            merged = components(links, scratch).select(F.col("node").alias("label"), F.col("label").alias("new"))
-            done.append(labels)
-            labels = scratch.table(labels.join(merged, "label", "left").select("cls", F.coalesce("new", "label").alias("label")), "groups")
-        postings = lists.drop("label").join(decided, ["item", "cls"], "left_anti")
+        n_pairs = pairs.count()
+        if n_pairs:
+            few = n_pairs <= FEW_PAIRS
+            checked = scratch.table(verify(pairs, classes, like, few), "checked")
+            now = checked.filter("NOT linked").select("a", "b")
+            refused, n_refused = now if refused is None else refused.union(now), n_refused + n_pairs
+            links = checked.filter("linked").select("la", "lb")
+            if links.limit(1).count():
+                merged = components(links, scratch, few).select(F.col("node").alias("label"), F.col("label").alias("new"))
+                done.append(labels)
+                labels = scratch.table(labels.join(_sent(merged, few), "label", "left").select("cls", F.coalesce("new", "label").alias("label")), "groups")
+        if 8**turn >= longest:  # all members were centres
+            scratch.drop(*done)
+            return labels
+        postings = lists.drop("label", "size")
         turn += 1
 
 
