@@ -117,7 +117,7 @@ _HITS = [*_POSTINGS, *"len stats q qw qv qt found idf hit".split()]
 
 def _with(names, body: str, **more: str) -> str:
     table = CTE | more
-    return "WITH " + ",\n".join(f"{n} AS ({table[n]})" for n in names) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({table[n]})" for n in names) + "\n" + body
 
 
 def _queries(*rows) -> str:
@@ -127,17 +127,22 @@ def _queries(*rows) -> str:
 _NEED = "CASE WHEN n_terms <= 2 THEN n_terms ELSE least(3, ceil(n_terms / 2.0)) END"
 
 
-def _search(rows, limit: int, where: str = "TRUE", capped: bool = True, extra=(), **more: str) -> str:
+def _ranking(limit: int, where: str = "TRUE", capped: bool = True) -> str:
     """The ranking rules over ``hit``: candidates, coverage, floor, cap, limit."""
     order = "ORDER BY round(score, 9) DESC, passage_id"
     cap = max(2, -(-limit // 3)) if capped else 1 << 30
-    return _with([*_HITS, *extra], f"""
+    return f"""
       , c AS (SELECT * FROM hit JOIN (SELECT passage_id, document_id, group_id FROM p) USING (passage_id) WHERE {where}
         QUALIFY row_number() OVER (PARTITION BY query_id {order}) <= {4 * limit}),
       f AS (SELECT * FROM c WHERE coverage >= {_NEED} QUALIFY score >= 0.25 * max(score) OVER (PARTITION BY query_id)),
-      k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, group_id {order}) <= {cap})
-      SELECT query_id, rank, passage_id, document_id, group_id, round(score, 6) AS score, coverage FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id {order})::INTEGER AS rank FROM k) WHERE rank <= {limit}""", q=_queries(*rows), **more)
+      k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, group_id {order}) <= {cap}),
+      r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id {order})::INTEGER AS rank FROM k) WHERE rank <= {limit})
+      """
+
+
+def _search(rows, limit: int, where: str = "TRUE", capped: bool = True, extra=(), **more: str) -> str:
+    shown = "SELECT query_id, rank, passage_id, document_id, group_id, round(score, 6) AS score, coverage FROM r"
+    return _with([*_HITS, *extra], _ranking(limit, where, capped) + shown, q=_queries(*rows), **more)
 
 
 _CANDIDATES = """, c AS (SELECT * FROM (
@@ -174,6 +179,34 @@ _HEADING = """length(t) BETWEEN 4 AND 110 AND length(t) - length(replace(t, ' ',
       length(regexp_replace(t, '[^A-ZÀ-Ý]', '', 'g')) / length(regexp_replace(t, '[^A-Za-zÀ-ÿ]', '', 'g')) > 0.7
       OR (length(t) <= 70 AND length(t) - length(replace(t, ' ', '')) <= 8))))"""
 
+# Chunks: lines, then pieces of long lines, then the fold, a step for each piece of all documents at once.
+CTE["lines"] = f"""SELECT document_id, ord, t, start, start + length(line) AS stop, start + length(line) - length(ltrim(line, ' ' || chr(9) || chr(13))) AS inner_start, is_heading FROM (
+  SELECT *, {_HEADING} AS is_heading FROM (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM cut))"""
+CTE["sentences"] = r"""SELECT document_id, ord, k, a, a + length(s) AS b, count(*) OVER (PARTITION BY document_id, ord) AS n FROM (
+  SELECT *, inner_start + coalesce(sum(length(s) + 1) OVER (PARTITION BY document_id, ord ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (
+    SELECT document_id, ord, inner_start, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS k FROM (
+      SELECT *, string_split(regexp_replace(t, '([.!?])\s', '\1' || chr(10), 'g'), chr(10)) AS ss FROM lines WHERE NOT is_heading AND length(t) > 1100)))"""
+CTE["runs"] = """SELECT document_id, ord, k, a AS first, b, n, b - a >= 600 OR k = n AS done FROM sentences WHERE k = 1
+  UNION ALL SELECT x.document_id, x.ord, x.k, CASE WHEN r.done THEN x.a ELSE r.first END, x.b, x.n, x.b - CASE WHEN r.done THEN x.a ELSE r.first END >= 600 OR x.k = x.n
+  FROM runs r JOIN sentences x ON x.document_id = r.document_id AND x.ord = r.ord AND x.k = r.k + 1"""
+CTE["pieces"] = """SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY a) AS p, count(*) OVER (PARTITION BY document_id) AS n FROM (
+  SELECT document_id, start AS a, stop AS b, is_heading, t FROM lines WHERE is_heading OR length(t) <= 1100
+  UNION ALL SELECT document_id, first, b, FALSE, '' FROM runs WHERE done)"""
+# held: the open chunk before the piece; closed: what the piece closes before itself (a heading) or with itself
+CTE["folded"] = """SELECT document_id, p, n, is_heading::INTEGER AS section, is_heading::INTEGER AS home, a AS held, b AS upto, NULL::BIGINT AS closed, NULL::BIGINT AS closed_to, NULL::INTEGER AS closed_home,
+    NOT is_heading AND b - a >= 600 OR n = 1 AS full_ FROM pieces WHERE p = 1
+  UNION ALL SELECT document_id, p, n, section, CASE WHEN opens THEN section ELSE home END, CASE WHEN opens THEN a ELSE held END, b,
+    CASE WHEN breaks THEN held END, CASE WHEN breaks THEN upto END, CASE WHEN breaks THEN home END, NOT is_heading AND b - CASE WHEN opens THEN a ELSE held END >= 600 OR p = n FROM (
+    SELECT x.document_id, x.p, x.n, x.a, x.b, x.is_heading, f.section + x.is_heading::INTEGER AS section, f.home, f.held, f.upto,
+      x.is_heading AND NOT f.full_ AND f.upto - f.held >= 120 AS breaks, f.full_ OR (x.is_heading AND f.upto - f.held >= 120) AS opens
+    FROM folded f JOIN pieces x ON x.document_id = f.document_id AND x.p = f.p + 1)"""
+CTE["heads"] = """SELECT document_id, 0 AS ord, title AS heading FROM d
+  UNION ALL SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY ord)::INTEGER, t FROM lines WHERE is_heading"""
+CTE["chunk"] = """SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY char_start) - 1)::INTEGER AS ord FROM (
+  SELECT document_id, closed_home AS home, closed AS char_start, closed_to AS char_end FROM folded WHERE closed IS NOT NULL
+  UNION ALL SELECT document_id, home, held, upto FROM folded WHERE full_)"""
+_CHUNKS = "d cut lines sentences runs pieces folded heads chunk".split()
+
 SQL: dict[str, str] = {
     "tokenize_counts": _with("d p w v".split(), f"""
       SELECT document_id, (SELECT count(*) FROM unnest({_words("d.text")}) AS t(x) WHERE x <> '') AS n_words, coalesce(n_terms, 0) AS n_terms, coalesce(n_stems, 0) AS n_stems
@@ -234,6 +267,21 @@ SQL: dict[str, str] = {
     "neighbour_window": _with("d cut p".split(), "SELECT passage_id, ord, string_agg(passage_id, ',') OVER (PARTITION BY document_id ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM p"),
     "empty_groups": "SELECT 'it' AS group_id, 'IT' AS short_name",
     "document_problems": _with(["d"], "SELECT document_id, 'no checksum' AS problem FROM d WHERE collection = 'src1' UNION ALL SELECT document_id, 'insecure address' FROM d WHERE collection = 'src2'"),
+    "chunks": _with(_CHUNKS, """SELECT document_id || '#c' || c.ord AS passage_id, document_id, document_id || '#s' || home AS section_id, c.ord, substr(text, char_start::BIGINT + 1, (char_end - char_start)::BIGINT) AS text,
+      char_start::INTEGER AS char_start, char_end::INTEGER AS char_end, heading, group_id, len(regexp_extract_all(substr(text, char_start::BIGINT + 1, (char_end - char_start)::BIGINT), '[0-9]{1,3}\\s*_\\s*[A-ZÀ-Ý]')) >= 2 AS is_navigation
+      FROM chunk c JOIN d USING (document_id) JOIN heads h USING (document_id) WHERE h.ord = home"""),
+    "sections": _with("d cut lines heads".split(), "SELECT document_id || '#s' || ord AS section_id, document_id, heading, ord FROM heads"),
+    "chunk_coverage": _with(_CHUNKS, """SELECT document_id, n_chars, covered, ratio, ratio < 0.95 AS is_low FROM (SELECT document_id, char_count::BIGINT AS n_chars, coalesce(covered, 0)::BIGINT AS covered, coalesce(covered, 0)::DOUBLE / nullif(char_count, 0) AS ratio
+      FROM d LEFT JOIN (SELECT document_id, sum(char_end - char_start) AS covered FROM chunk GROUP BY document_id) USING (document_id))"""),
+    "chunk_summary": _with(_CHUNKS, """SELECT document_id, n_sections, coalesce(n_passages, 0) AS n_passages, avg_chars, coalesce(n_short, 0) AS n_short
+      FROM (SELECT document_id, count(*) AS n_sections FROM heads GROUP BY document_id) LEFT JOIN (SELECT document_id, count(*) AS n_passages, avg(char_end - char_start) AS avg_chars, count(*) FILTER (WHERE char_end - char_start < 120) AS n_short FROM chunk GROUP BY document_id) USING (document_id)"""),
+    "chunk_search": _with([*_CHUNKS, *"p w v post len stats q qw qv qt found idf hit kww kwv kw kwn kwm tags g".split()], _ranking(5) + """
+      SELECT query_id, rank, passage_id, group_name, group_id, representative, p.text AS quote, heading, coalesce(topic_tags, '') AS topic_tags, title AS document_title, source_url, source_type,
+        concat_ws(' — ', short_name || ' (' || representative || ')', nullif(title, ''), CASE WHEN heading <> '' THEN '« ' || trim(regexp_replace(heading, '\\s+', ' ', 'g')) || ' »' END, '2022', source_url) AS citation
+      FROM (SELECT query_id, rank, passage_id FROM r) JOIN p USING (passage_id) JOIN (SELECT document_id, title, source_url, source_type FROM d) USING (document_id) JOIN g USING (group_id)
+      LEFT JOIN (SELECT passage_id, string_agg(topic, ',' ORDER BY topic) AS topic_tags FROM tags GROUP BY passage_id) USING (passage_id)""", q=_queries(),
+      p="""SELECT document_id || '#c' || c.ord AS passage_id, document_id, group_id, c.ord, substr(text, char_start::BIGINT + 1, (char_end - char_start)::BIGINT) AS text, heading
+        FROM chunk c JOIN d USING (document_id) JOIN heads h USING (document_id) WHERE h.ord = home"""),
     "slice_check": _with("d cut p".split(), """SELECT passage_id, p.document_id FROM p JOIN (SELECT document_id || ':' || ord AS passage_id, start, length(line) AS size FROM cut) USING (passage_id)
       JOIN (SELECT document_id, d.text AS whole, collection FROM d) w USING (document_id)
       WHERE p.text <> substr(whole, start::BIGINT + CASE WHEN collection = 'src1' THEN 2 ELSE 1 END, size)"""),
