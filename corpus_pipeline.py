@@ -20,15 +20,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.quality(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
+#: So many numbers of rows that go (8 bytes each) are sent to all executors; more are joined by shuffle.
+FEW_ROWS = 500_000
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity of 0.8 or more): that of the
     smallest doc_id, nulls last. Rows are told apart by a number of their own, as doc_id may repeat or be
     null. Texts without words link with nothing and stay."""
     numbered = materialise(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard_join.jaccard_groups(numbered, "_row")
+    groups = jaccard_join.jaccard_groups(numbered, "_row").select("_row", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    first = groups.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return numbered.join(first.select("first._row"), "_row", "left_semi").select(*COLUMNS)
+    ranked = groups.join(numbered.select("_row", "doc_id"), "_row").select("component_id", order.alias("order"))
+    first = ranked.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("size")).filter("size > 1")
+    gone = materialise(ranked.join(first, "component_id").filter("order._row <> first._row").select("order._row"), "gone")
+    few = gone.count() <= FEW_ROWS
+    return numbered.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
