@@ -63,6 +63,10 @@ class Likeness:
         """A partner shares one of so many first n-grams of a set of n, or of its core."""
         return (n if core is None else core) - self.least_overlap(n) + 1
 
+    def early(self, n, core):
+        """A partner of n or more shares one of so many first n-grams of the core: with it, a set of n has ceil(2 * percent * n / (100 + percent)) in common."""
+        return core - (2 * self.percent * n + 99 + self.percent) // (100 + self.percent) + 1
+
     def extra(self, n):
         """L of the sieve, growing with n."""
         return (self.prefix(n) + 3) // 4
@@ -251,12 +255,12 @@ def members(cored: DataFrame) -> DataFrame:
     return keyed.join(first, ["n", "x", "y"]).select("node", "n", "cls")
 
 
-POSTINGS = "item long, cls long, n long, m long, pos long, suffix array<int>"
+POSTINGS = "item long, cls long, n long, m long, pos long, early boolean, suffix array<int>"
 
 
 def prefix_postings(classes: DataFrame, like: Likeness) -> DataFrame:
-    """item, cls, n, m (size of the core), pos (from 0) and suffix (counts of the n-grams after pos in ranges of the
-    hash space) of the prefixes."""
+    """item, cls, n, m (size of the core), pos (from 0), early (whether that is enough for partners of n or more) and
+    suffix (counts of the n-grams after pos in ranges of the hash space) of the prefixes."""
     shift = np.uint64(64 - RANGES.bit_length() + 1)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +271,7 @@ def prefix_postings(classes: DataFrame, like: Likeness) -> DataFrame:
                 kind = (mix(items.view(np.uint64)) >> shift).astype(np.int64)
                 upto = np.cumsum(kind[:p, None] == np.arange(RANGES), axis=0)
                 suffix = np.bincount(kind, minlength=RANGES) - upto
-                columns = [pa.array(items[:p]), *(pa.array(np.full(p, x, np.int64)) for x in (cls, n, len(items))), pa.array(np.arange(p)), pa.ListArray.from_arrays(pa.array(np.arange(p + 1) * RANGES, pa.int32()), pa.array(suffix.reshape(-1).astype(np.int32)))]
+                columns = [pa.array(items[:p]), *(pa.array(np.full(p, x, np.int64)) for x in (cls, n, len(items))), pa.array(np.arange(p)), pa.array(np.arange(p) < like.early(n, len(items))), pa.ListArray.from_arrays(pa.array(np.arange(p + 1) * RANGES, pa.int32()), pa.array(suffix.reshape(-1).astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema(POSTINGS))
 
     return classes.select("cls", "n", "core").mapInArrow(batches, POSTINGS)
@@ -275,7 +279,7 @@ def prefix_postings(classes: DataFrame, like: Likeness) -> DataFrame:
 
 def distinct_lists(postings: DataFrame) -> DataFrame:
     """Postings without n-grams that no other prefix has. Of n-grams that the very same classes have, one stands
-    for all: every pair of theirs meets there, and the bounds hold for any n-gram that a pair shares."""
+    for all: every pair of theirs meets there. It is the first in the order of cores, so its places are the earliest."""
     lists = postings.groupBy("item").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
     kept = lists.filter("df > 1").groupBy("df", "x", "y").agg(F.min("item").alias("item")).select("item")
     return postings.join(kept, "item", "left_semi")
@@ -290,19 +294,21 @@ def _linked(common: Column, like: Likeness) -> Column:
 
 
 def _bounds(like: Likeness) -> Column:
-    """Length, positional and suffix filter of a pair (a, b) that share an n-gram at their positions."""
+    """Length, positional and suffix filter of a pair (a, b) that share an n-gram at their positions; that of the smaller
+    set, by id if they are equal, is an early one."""
     after = F.least(F.col("ma") - F.col("pa") - 1, F.col("mb") - F.col("pb") - 1)
     alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     head = F.least("pa", "pb") + 1
     length = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * like.percent
-    return length & _linked(head + after, like) & _linked(head + alike, like)
+    early = F.when(F.struct("na", "a") < F.struct("nb", "b"), F.col("ea")).otherwise(F.col("eb"))
+    return early & length & _linked(head + after, like) & _linked(head + alike, like)
 
 
 def candidates(lists: DataFrame, centres: int, turn: int, like: Likeness) -> DataFrame:
     """Each list's members against its centres, as pairs a < b of two labels."""
     chosen = F.row_number().over(Window.partitionBy("item").orderBy(F.xxhash64("cls", F.lit(turn)), "cls"))
     picked = lists.withColumn("_k", chosen).filter(F.col("_k") <= centres)
-    side = lambda df, x: df.select("item", F.col("cls").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("n", "m", "pos", "suffix", "label")))
+    side = lambda df, x: df.select("item", F.col("cls").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("n", "m", "pos", "early", "suffix", "label")))
     met = side(lists, "a").join(side(picked, "b"), "item").filter("la <> lb").filter(_bounds(like))
     swap = F.col("a") > F.col("b")
     ordered = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
