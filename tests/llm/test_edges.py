@@ -103,7 +103,7 @@ def test_bpe_rows(odd, none):
 ODD_LETTERS = st.text(alphabet=st.sampled_from(list("abz İıŉßéÀ.,;!$'\n\t 09\x00\x1c\xa0 \u0301ǅ中🙂<|>_-s")) | st.sampled_from("abc, \n"), max_size=40)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(texts=st.lists(ODD_LETTERS | st.sampled_from([None, "", "İ.", "İ, x", "foo.\nBar", "a  b", " x", "x ", "<|endoftext|>", "it's 'sx"]), min_size=1, max_size=20))
 def test_words_equal_the_library(texts):
     """Both vocabularies of the tokenizers library, text by text as a whole."""
@@ -146,6 +146,11 @@ def test_ledger_scans_only_what_is_unseen(spark, odd):
     assert found[10] == [("assign", 0, 18), ("access", 19, 39), ("hex", 40, 64)]
     secret_ledger.scan(spark, versions, path)
     assert secret_ledger.read_ledger(spark, path).count() == 3 * len(blobs)
+    secret_ledger.read_ledger(spark, path).filter("rule = 'hex'").limit(100).write.mode("append").parquet(path)  # as a retry may
+    twice = {r["doc_id"]: len(r["findings"]) for r in secret_ledger.scan(spark, versions, path).collect()}
+    assert twice == {i: len(f) for i, f in found.items()}
+    path = new_path(spark, "ledger-test")
+    secret_ledger.scan(spark, versions, path)
     newer = [secret_ledger.RULES[0], *(secret_ledger.Rule("hex", r"[0-9a-f]{30,}", r"[0-9a-f]{30}", version=2),)]
     again = {r["doc_id"]: [f["rule"] for f in r["findings"]] for r in secret_ledger.scan(spark, versions, path, newer).collect()}
     assert again[10] == ["assign"]

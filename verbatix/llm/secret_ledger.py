@@ -94,8 +94,8 @@ def findings_by_blob(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     present = F.array(*(F.lit(f"{r.name}:{r.version}") for r in rules))
     hits = ledger.filter(F.size("spans") > 0).filter(F.array_contains(present, F.concat_ws(":", "rule", "rule_version")))
     one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(order, F.col("rule")).cast("int").alias("kind"), F.col("rule").alias("rule"), s["end"].alias("end")))
-    # distinct: a retried append may have left a pair twice
-    return hits.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(one)))).alias("findings"))
+    # a set of each rule's findings: a retried append may have left a pair twice
+    return hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_set(one))).alias("findings"))
 
 
 def scan(spark: SparkSession, versions: DataFrame, ledger_path: str | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
