@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, spans, tokenizer_path
+from .common import Memo, give_back, spans, tokenizer_path
 from .words import BLOCK_BYTES, Words, as_text, pack_lists
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -199,6 +199,7 @@ class SpacedText:
             whole = iter(self.whole(block.filter(as_whole).to_pylist()).to_pylist())
             for one, a, b in zip(as_whole.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 yield next(whole) if one else bytes(data[a:b])
+        give_back()
 
 
 def white_space_pattern(pattern: str) -> regex.Pattern:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -9,11 +10,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 from ..shared import Scratch, materialise, new_path, shared_dir
 
 __all__ = ["Scratch", "materialise", "new_path", "shared_dir"]
 
+_LIBC = ctypes.CDLL(None)
+
 # ---------------------------------------------------------------------------------------------
 # Word hashing on whole Arrow batches
 
@@ -23,7 +27,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes that are hashed at once; a longer word is hashed by tables of its own.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +100,23 @@ def blocks_of(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[
     """Consecutive rows as (first row, encoded texts), of about ``most`` bytes; a null text is empty."""
     for start, stop in spans(texts, most):
         yield start, pc.fill_null(texts.slice(start, stop - start).cast(pa.binary()), b"").to_pylist()
+    give_back()
+
+
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 1 << 23
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Spark counts the rows of a batch and lets it grow to 64 MB, twice over: texts are long, so it ends sooner here."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns to the system what a process has freed: idle workers stay beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_LIBC, "malloc_trim", None)) is not None:  # glibc has it
+        trim(0)
 
 
 class Memo(dict):

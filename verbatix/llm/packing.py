@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, load_tokenizer, spans
+from .common import arrow_schema, give_back, load_tokenizer, spans
 from .words import BLOCK_BYTES, Words, as_text, chunked, pack_lists, packed
 
 FILE = "word_bpe_49k.json"
@@ -69,6 +69,7 @@ def encode_texts(texts: pa.Array, file: str, end_id: int) -> Iterator[bytes]:
         data, at = words.lists(pc.ascii_split_whitespace(texts.slice(start, stop - start)))
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             yield bytes(data[a:b]) + end
+    give_back()
 
 
 def tokenise(docs: DataFrame, file: str = FILE, end_id: int = END_ID) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, jaccard_join, kmeans_tree, license_scan, packing, quality_rules, secret_ledger, sharding, token_store
-from .common import materialise, new_path
+from .common import bound_batches, materialise, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
