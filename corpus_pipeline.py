@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatix.llm import jaccard_join, packing, quality_rules, secret_ledger
-from verbatix.llm.common import materialise
+from verbatix.llm.common import bound_batches, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules. A null or empty text has no words and goes."""
+    bound_batches(spark)
     return quality_rules.quality(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
@@ -28,6 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates (five words, similarity of 0.8 or more): that of the
     smallest doc_id, nulls last. Rows are told apart by a number of their own, as doc_id may repeat or be
     null. Texts without words link with nothing and stay."""
+    bound_batches(spark)
     numbered = materialise(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     groups = jaccard_join.jaccard_groups(numbered, "_row").select("_row", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
@@ -48,6 +50,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens, as ``packing.PIECES`` names them."""
+    bound_batches(spark)
     return packing.pack_texts(docs)
 
 
