@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_join, kmeans_tree, license_scan, packing, quality_rules, secret_ledger, sharding, token_store
-from .common import bound_batches, materialise, new_path
+from . import byte_bpe, chat_format, jaccard_join, kmeans_tree, license_scan, packing, prefix_trie, quality_rules, secret_ledger, sharding, token_store
+from .common import Scratch, bound_batches, materialise, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,14 @@ def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"calibrated_recall": F.lit(index.recall), "leaf_visits": F.lit(index.visits)})
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_secret_scan, op4_license_scan, op5_token_store, op6_quality_rules, op7_sharding, op8_packing, op9_jaccard_join, op10_kmeans_tree)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"), scratch)
+    start = lambda c: (c - c % 5, F.crc32(c.cast("string")) % 9)
+    return prefix_trie.trie(*prefix_trie.mixed(turns, start, 8, scratch), scratch)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_secret_scan, op4_license_scan, op5_token_store, op6_quality_rules, op7_sharding, op8_packing, op9_jaccard_join, op10_kmeans_tree, op13_prefix_trie)}
 
 SQL: dict[str, str] = {}
 
@@ -149,3 +156,24 @@ ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT x, v FROM reach JOIN ways ON y = u)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)"""
+
+SQL["op13_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS b
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT i AS byte, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+crcs AS (SELECT map_from_entries(list((byte, v))) AS m FROM bits),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS source,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a >> 8, m[xor(a, x) & 255])), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crcs),
+r AS (SELECT c.conv_id, t.p AS d, t.h, t.b FROM c JOIN t ON t.conv_id = c.source AND t.p <= c.h
+  UNION ALL SELECT c.conv_id, t.p - c.h + least(c.h, (SELECT count(*) FROM t s WHERE s.conv_id = c.source)), t.h, t.b FROM c JOIN t ON t.conv_id = c.conv_id AND t.p > c.h),
+w AS (SELECT conv_id, d, b, string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY d) AS name FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+ends AS (SELECT name, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(name, d) AS name FROM w GROUP BY conv_id) GROUP BY name),
+n AS (SELECT name, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS saved FROM w GROUP BY name),
+kids AS (SELECT left(name, length(name) - 64) AS name, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (name)),
+below AS (SELECT a.name, sum(k.saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves
+  FROM k JOIN w a ON a.conv_id = k.conv_id AND a.d <= k.depth GROUP BY a.name)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM k JOIN below USING (name) LEFT JOIN ends USING (name) LEFT JOIN k u ON k.depth > 0 AND u.name = left(k.name, length(k.name) - 64)"""
