@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_join, kmeans_tree, license_scan, packing, prefix_trie, quality_rules, secret_ledger, sharding, token_store
+from . import byte_bpe, chat_format, jaccard_join, kmeans_tree, lexical_search, license_scan, packing, prefix_trie, quality_rules, secret_ledger, sharding, token_store
 from .common import Scratch, bound_batches, materialise, new_path
 
 
@@ -93,6 +93,13 @@ def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"calibrated_recall": F.lit(index.recall), "leaf_visits": F.lit(index.visits)})
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "lexical")
+    index = lexical_search.build(table(spark, sf_dir, "documents"), scratch)
+    found = lexical_search.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), scratch)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "trie")
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"), scratch)
@@ -100,7 +107,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.mixed(turns, start, 8, scratch), scratch)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_secret_scan, op4_license_scan, op5_token_store, op6_quality_rules, op7_sharding, op8_packing, op9_jaccard_join, op10_kmeans_tree, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_secret_scan, op4_license_scan, op5_token_store, op6_quality_rules, op7_sharding, op8_packing, op9_jaccard_join, op10_kmeans_tree, op11_lexical_search, op13_prefix_trie)}
 
 SQL: dict[str, str] = {}
 
@@ -157,6 +164,21 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT x, v FROM reach JO
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)"""
 
+SQL["op11_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+terms AS (SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+p AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM terms GROUP BY row, term),
+l AS (SELECT row, sum(tf)::BIGINT AS n FROM p GROUP BY row),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM l),
+m AS (SELECT row, 75 + (25 * n * docs) // total AS m FROM l, c),
+q AS (SELECT no, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS no, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term),
+s AS (SELECT no, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (row) GROUP BY no, row),
+r AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20"""
+
 SQL["op13_prefix_trie"] = r"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
     sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS b
