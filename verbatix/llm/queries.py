@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_join, kmeans_tree, lexical_search, license_scan, packing, prefix_trie, quality_rules, secret_ledger, sharding, token_store
+from . import byte_bpe, chat_format, jaccard_join, kmeans_tree, lexical_search, license_scan, packing, prefix_trie, quality_rules, secret_ledger, sharding, token_store, toxicity
 from .common import Scratch, bound_batches, materialise, new_path
 
 
@@ -100,6 +100,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return toxicity.score(*toxicity.fit(docs, labels, Scratch(spark, "toxicity")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "trie")
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"), scratch)
@@ -107,7 +112,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.mixed(turns, start, 8, scratch), scratch)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_secret_scan, op4_license_scan, op5_token_store, op6_quality_rules, op7_sharding, op8_packing, op9_jaccard_join, op10_kmeans_tree, op11_lexical_search, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_secret_scan, op4_license_scan, op5_token_store, op6_quality_rules, op7_sharding, op8_packing, op9_jaccard_join, op10_kmeans_tree, op11_lexical_search, op12_toxicity, op13_prefix_trie)}
 
 SQL: dict[str, str] = {}
 
