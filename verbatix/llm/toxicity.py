@@ -1,8 +1,9 @@
 """Toxicity of texts by their nearest labelled examples.
 
-Terms that are typical of toxic texts are found on a bounded sample of labelled rows: far more toxic texts hold them than
-chance gives over as many terms (G statistic), and more than half of the texts that hold them are toxic, even at the
-lower bound of the interval. A text is the vector of these terms' tf-idf weights; document frequencies are counted over
+A term is a word or the beginning of one (3, 4 or 6 characters), at least once, twice or four times in a text. Terms that
+are typical of toxic texts are found on a bounded sample of labelled rows: far more toxic texts hold them than chance
+gives over as many terms (G statistic), and more than half of the texts that hold them are toxic, even at the lower
+bound of the interval. A text is the vector of these terms' tf-idf weights; document frequencies are counted over
 all documents. The nearest examples by cosine are found exactly with a block-max index: examples are numbered and cut into
 blocks, a term keeps its largest weight in each block, blocks are visited by the bound that these give, and the search
 ends at the first block that cannot change the result. Examples vote, the nearer the heavier. Rows that are neither
@@ -29,7 +30,9 @@ from .common import Memo, Scratch, give_back, spans
 from .terms import counted_terms
 
 #: The most labelled rows that are learnt from (those of the smallest hash), and the most terms that are kept.
-LEARN_ROWS, TERMS = 20_000, 512
+LEARN_ROWS, TERMS = 20_000, 1024
+#: Characters of the beginnings of words that are terms (0: the whole word), and how often they have to stand in a text.
+KINDS, LEVELS = (0, 3, 4, 6), (1, 2, 4)
 #: Chance of keeping a term that is not typical; the bound of the share of toxic texts is that of 95 %.
 CHANCE, Z = 0.05, 1.96
 NEIGHBOURS = 16
@@ -48,26 +51,52 @@ def learning_rows(labels: DataFrame, most: int) -> DataFrame:
     return known.withColumn("fold", fold(F.col("doc_id"))).filter("fold > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic", "fold")
 
 
+def beginnings(words: pa.Array, kind: int) -> pa.Array:
+    """The first ``kind`` characters, null of shorter words; whole words for 0."""
+    return words if kind == 0 else pc.if_else(pc.greater_equal(pc.utf8_length(words), kind), pc.utf8_slice_codeunits(words, 0, kind), pa.scalar(None, words.type))
+
+
+def summed(number: np.ndarray, text: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, text, sum of counts) for each pair; numbers below 0 do not count."""
+    kept = number >= 0
+    keys, at = np.unique(number[kept] * texts + text[kept], return_inverse=True)
+    return keys // texts, keys % texts, np.bincount(at, count[kept], minlength=len(keys)).astype(np.int64)
+
+
+_BY_TERM = {"kind": pa.int32(), "name": pa.string(), "level": pa.int32(), "n_toxic": pa.int64(), "n_clean": pa.int64()}
+
+
 def _texts_by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, n_toxic and n_clean: how many texts of a block hold a term."""
+    """kind, name and level of a term, and how many toxic and clean texts of a block hold it."""
     for batch in batches:
         texts, toxic = batch.column("text"), batch.column("toxic").to_numpy()
         for start, stop in spans(texts, 1 << 22):
-            terms, term, text, _ = counted_terms(texts.slice(start, stop - start))
-            all_texts = np.bincount(term, minlength=len(terms))
-            of_toxic = np.bincount(term, toxic[start:stop][text], minlength=len(terms)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), pa.array(of_toxic, pa.int64()), pa.array(all_texts - of_toxic, pa.int64())], ["term", "n_toxic", "n_clean"])
+            words, word, text, count = counted_terms(texts.slice(start, stop - start))
+            for kind in KINDS:
+                coded = beginnings(words, kind).dictionary_encode()
+                number, of_text, total = summed(pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[word], text, count, stop - start)
+                for level in LEVELS:
+                    has = total >= level
+                    n = np.bincount(number[has], minlength=len(coded.dictionary))
+                    n_toxic = np.bincount(number[has], toxic[start:stop][of_text[has]], minlength=len(n)).astype(np.int64)
+                    there = np.flatnonzero(n)
+                    same = [pa.array(np.full(len(there), x), pa.int32()) for x in (kind, level)]
+                    names = coded.dictionary.take(pa.array(there)).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([same[0], names, same[1], pa.array(n_toxic[there]), pa.array((n - n_toxic)[there], pa.int64())], list(_BY_TERM))
     give_back()
 
 
-def typical_terms(learn: DataFrame, most: int, scratch: Scratch) -> list[str]:
-    """At most ``most`` terms, the most telling first. ``learn`` has text and toxic; equal texts count once."""
+Term = tuple[int, str, int]
+
+
+def typical_terms(learn: DataFrame, most: int, scratch: Scratch) -> list[Term]:
+    """At most ``most`` terms as (kind, name, level), the most telling first. ``learn`` has text and toxic; equal texts count once."""
     once = scratch.table(learn.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "learn")
     n = once.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     toxic, clean = n[0], n[1] - n[0]
     if not toxic or not clean:
         return []
-    counts = scratch.table(once.mapInArrow(_texts_by_term, "term string, n_toxic long, n_clean long").filter("term <> ''").groupBy("term").agg(F.sum("n_toxic").alias("a"), F.sum("n_clean").alias("b")), "counts")
+    counts = scratch.table(once.mapInArrow(_texts_by_term, "kind int, name string, level int, n_toxic long, n_clean long").groupBy("kind", "name", "level").agg(F.sum("n_toxic").alias("a"), F.sum("n_clean").alias("b")), "counts")
     least = 2 * math.log(max(counts.count(), 1) / CHANCE)
     a, b, share = F.col("a"), F.col("b"), toxic / (toxic + clean)
     both = a + b
@@ -76,24 +105,34 @@ def typical_terms(learn: DataFrame, most: int, scratch: Scratch) -> list[str]:
     p, zz = a / both, Z * Z
     lower = (p + zz / (2 * both) - Z * F.sqrt(p * (1 - p) / both + zz / (4 * both * both))) / (1 + zz / both)
     kept = counts.filter("a > 1").withColumn("g", F.round(g, 6)).filter((F.col("g") >= least) & (lower > 0.5))
-    return [r["term"] for r in kept.orderBy(F.col("g").desc(), "term").limit(most).collect()]
+    return [(r["kind"], r["name"], r["level"]) for r in kept.orderBy(F.col("g").desc(), "kind", "name", "level").limit(most).collect()]
 
 
-def term_counts(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, terms: list[Term], text: str = "text") -> DataFrame:
     """``docs`` without its text, with numbers and counts of the terms that it holds."""
-    wanted = pa.array(terms, pa.large_string())
+    wanted = {kind: sorted({name for k, name, _ in terms if k == kind}) for kind in KINDS}
+    number_of = {term: n for n, term in enumerate(terms)}
+    # by kind and level: the term of each name, or -1
+    numbers = {(kind, level): np.array([number_of.get((kind, name, level), -1) for name in wanted[kind]], np.int64) for kind in KINDS for level in LEVELS}
 
     @F.arrow_udf("struct<terms: array<int>, counts: array<int>>")
     def counted(texts: pa.Array) -> pa.Array:
         parts = []
         for start, stop in spans(texts, 1 << 22):
-            names, term, of_text, count = counted_terms(texts.slice(start, stop - start))
-            number = pc.fill_null(pc.index_in(names, wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)[term]
-            kept = number >= 0
-            number, of_text, count = number[kept], of_text[kept], count[kept]
-            order = np.lexsort((number, of_text))
-            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of_text, minlength=stop - start)))), pa.int32())
-            parts.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x[order], pa.int32())) for x in (number, count)], ["terms", "counts"]))
+            words, word, of_word, count = counted_terms(texts.slice(start, stop - start))
+            found = [(np.zeros(0, np.int64),) * 3]
+            for kind, names in wanted.items():
+                if names:
+                    name = pc.fill_null(pc.index_in(beginnings(words, kind), pa.array(names, words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    name, text, total = summed(name[word], of_word, count, stop - start)
+                    for level in LEVELS:
+                        term = numbers[kind, level][name]
+                        has = (total >= level) & (term >= 0)
+                        found.append((term[has], text[has], total[has]))
+            term, text, total = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((term, text))
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(text, minlength=stop - start)))), pa.int32())
+            parts.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x[order], pa.int32())) for x in (term, total)], ["terms", "counts"]))
         give_back()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
 
@@ -156,7 +195,7 @@ class BlockMax:
 
 @dataclass
 class Model:
-    terms: list[str]
+    terms: list[Term]
     idf: np.ndarray
     index: BlockMax
     examples: np.ndarray  # doc_id by number
@@ -170,12 +209,12 @@ class Model:
         return unit_vector(terms, counts, self.idf)
 
     def vote(self, terms: list[int], counts: list[int]) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """(share of toxic votes or None, numbers and cosines of the nearest examples)"""
+        """(toxic votes, of all and one more, or None; numbers and cosines of the nearest examples). An example votes with
+        its cosine: far ones, however alike in their label, do not outweigh the one vote that is always clean."""
         if not len(terms):
             return None, np.zeros(0, np.int64), np.zeros(0)
         numbers, near = self.index.nearest(*self.vector(terms, counts), NEIGHBOURS)
-        weights = 1 / (1.05 - near)
-        return float((weights * self.toxic[numbers]).sum() / weights.sum()) if len(numbers) else None, numbers, near
+        return float((near * self.toxic[numbers]).sum() / (near.sum() + 1)) if len(numbers) else None, numbers, near
 
     def score(self, vote: float | None) -> float:
         return self.alone if vote is None else float(np.interp(vote, self.votes, self.scores))
@@ -241,10 +280,15 @@ def _voted(model: Model):
 SCORED = "doc_id long, score double, evidence array<long>, nearness array<double>, terms array<string>"
 
 
+def shown(term: Term) -> str:
+    kind, name, level = term
+    return name + "*" * (kind > 0) + f" x{level}" * (level > 1)
+
+
 def _scored(model: Model):
     def judge(key: tuple) -> tuple:
         vote, numbers, near = model.vote(*key)
-        return model.score(vote), model.examples[numbers].tolist(), near.tolist(), [model.terms[t] for t in key[0]]
+        return model.score(vote), model.examples[numbers].tolist(), near.tolist(), [shown(model.terms[t]) for t in key[0]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Memo(judge, 50_000)
