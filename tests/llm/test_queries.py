@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from verbatix.llm import license_scan, sharding
 from verbatix.llm.queries import QUERIES, SQL
 
-DOCS = ["documents", "conversations", "embeddings"]
+DOCS = ["documents", "conversations", "embeddings", "benchmark", "labels"]
 
 
 @pytest.fixture(scope="module")

@@ -272,8 +272,9 @@ def _searched(block: list[tuple], weights: dict[int, int], n_docs: int, n_terms:
 
 
 def search(index: Index, queries: DataFrame, scratch: Scratch, k: int = 20) -> DataFrame:
-    """``queries`` (with a column text) joined to rank, doc_id and score of each query's ``k`` best documents."""
-    numbered = scratch.table(queries.withColumn("_no", F.monotonically_increasing_id()), "queries")
+    """``queries`` (with a column text) joined to rank, doc_id and score of each query's ``k`` best documents; columns of
+    these names are replaced."""
+    numbered = scratch.table(queries.drop("rank", "doc_id", "score").withColumn("_no", F.monotonically_increasing_id()), "queries")
     out = None
     for block, names in _blocks(numbered):
         found = scratch.table(index.rows.mapInArrow(_looked_up(names), "shard long, term int, df long, data binary"), "found")

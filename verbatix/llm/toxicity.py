@@ -11,7 +11,7 @@ examples nor held out calibrate the votes (isotonic), and the texts that no exam
 
 Defined results: a null or empty text has no terms, and the score of texts without neighbours; repeated rows are scored
 each; of labels that contradict each other for a doc_id, and of null ones, none counts; without any label all scores are
-0; equally near examples go by their number (doc_id, then text); a null doc_id is held out.
+0; equally near examples go by their number (heaviest terms, then doc_id); a null doc_id is held out.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ KINDS, LEVELS = (0, 3, 4, 6), (1, 2, 4)
 CHANCE, Z = 0.05, 1.96
 NEIGHBOURS = 16
 #: Examples in a block of the index.
-BLOCK = 64
+BLOCK = 32
 
 
 def fold(doc_id: Column) -> Column:
@@ -226,6 +226,11 @@ def unit_vector(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[n
     return number, weight / np.sqrt((weight * weight).sum())
 
 
+def heaviest_first(terms: np.ndarray, weights: np.ndarray) -> list[int]:
+    """The order by which examples are numbered: those of the same heaviest terms share blocks, so that few blocks have high bounds."""
+    return terms[np.lexsort((terms, -weights))].tolist()
+
+
 def isotonic(votes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising scores of votes: neighbours that are out of order are pooled. A clean row of vote 0 and a toxic one of vote 1 are
     added, so that without rows a score is its vote."""
@@ -254,6 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, learn_rows: int =
     # at most learn_rows rows of labels, with all rows of documents that bear their numbers
     near = scratch.table(counted.filter(F.size("terms") > 0).join(F.broadcast(learn), "doc_id"), "near")
     rows = near.filter("fold < 4").orderBy("doc_id", "terms", "counts").limit(learn_rows).collect()
+    rows.sort(key=lambda r: heaviest_first(*unit_vector(r["terms"], r["counts"], idf)))  # stable: equal ones by doc_id
     vectors = [unit_vector(r["terms"], r["counts"], idf) for r in rows]
     examples, toxic = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.float64)
     model = Model(terms, idf, BlockMax.of(vectors, len(terms)), examples, toxic, np.zeros(0), np.zeros(0), 0.0)
