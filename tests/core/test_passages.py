@@ -1,6 +1,7 @@
 """Chunking, paged text and HTML."""
 
 import hashlib
+import random
 import re
 import time
 
@@ -69,19 +70,68 @@ def test_normalize_line(spark):
     assert {r[0]: r[1] for r in rows.select("t", pages.normalize_line_col(F.col("t"))).collect()} == cases
 
 
-def test_capitals():
-    assert pages.join_spaced_capitals("L AVENIR EN C OMMUN") == "LAVENIR EN COMMUN"
-    assert pages.join_spaced_capitals("LE PROGRAMM E") == "LE PROGRAMME"
-    assert pages.join_spaced_capitals("un petit texte") == "un petit texte"
-    assert pages.collapse_doubled_capitals("PROJETPROJET POUR POUR TOUS") == "PROJET POUR TOUS"
-    assert pages.collapse_doubled_capitals("nous nous engageons") == "nous nous engageons"
-
-
-def test_reflow():
-    assert pages.reflow(["une phra-", "se finie.", "Une autre", "suite", "", "bloc"]) == ["une phrase finie.", "Une autre suite", "bloc"]
-    assert pages.reflow(["mot-", "Clé"]) == ["mot- Clé"]
-    assert pages.reflow(["fin.", "• point", "suite"]) == ["fin.", "• point suite"]
-    assert pages.reflow([]) == []
+def joined_by_hand(line):
+    """Fragments of capitals join a neighbour."""
+    tokens, letters = line.split(), re.sub("[^A-Za-zÀ-ÿ]", "", line)
+    if len(tokens) < 3 or len(letters) < 4 or len(re.sub("[^A-ZÀ-Ý]", "", letters)) < 0.8 * len(letters):
+        return line
+    out, rest = [], tokens
+    while rest:
+        head, rest = rest[0], rest[1:]
+        if not re.fullmatch("[A-ZÀ-Ý]{1,2}", head) or head in pages.SHORT_CAPITALS:
+            out = [*out, head]
+        elif rest and rest[0] not in pages.SHORT_CAPITALS:
+            out, rest = [*out, head + rest[0]], rest[1:]
+        else:
+            out = [*out[:-1], "".join([*out[-1:], head])]
+    return " ".join(out)
+
+
+def undoubled_by_hand(line):
+    letters = re.sub("[^A-Za-zÀ-ÿ]", "", line)
+    if len(letters) < 6 or len(re.sub("[^A-ZÀ-Ý]", "", letters)) < 0.6 * len(letters):
+        return line
+    halved = [re.sub(r"^(.{3,})\1$", r"\1", t) for t in line.split()]
+    return " ".join(t for i, t in enumerate(halved) if i == 0 or t.lower() != halved[i - 1].lower())
+
+
+def test_capitals(spark):
+    rng = random.Random(1)
+    words = "L AVENIR EN C OMMUN LE PROGRAMM E ÉÉ IL A DE x petit PROJETPROJET POUR POUR ABAB ÀBCÀBC ABCABC abcABC 12 !! LE!!LE!! É, X.".split()
+    lines = ["L AVENIR EN C OMMUN", "LE PROGRAMM E", "un petit texte", "PROJETPROJET POUR POUR TOUS", "nous nous engageons", "", "A", "A B C D", "AB CD EF GH", "E LE X", "LE!! LE!! ENÊÈ!!"]
+    lines += [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(1500)]
+    rows = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = rows.select("t", pages.join_spaced_capitals_col(F.col("t")), pages.collapse_doubled_capitals_col(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(x, joined_by_hand(x), undoubled_by_hand(x)) for x in lines]
+    assert joined_by_hand(lines[0]) == "LAVENIR EN COMMUN" and joined_by_hand(lines[1]) == "LE PROGRAMME" and undoubled_by_hand(lines[3]) == "PROJET POUR TOUS"
+
+
+def flowed(spark, documents):
+    rows = spark.createDataFrame([(str(k), 0, n, x) for k, lines in enumerate(documents) for n, x in enumerate(lines)], "document_id string, page int, n int, line string")
+    out = {k: [] for k in range(len(documents))}
+    for r in pages.reflow(rows).orderBy("document_id", "page", "paragraph").collect():
+        if r["text"]:
+            out[int(r["document_id"])].append(r["text"])
+    return [out[k] for k in range(len(documents))]
+
+
+def flowed_by_hand(lines):
+    out, held = [], ""
+    for line in [*lines, ""]:
+        if line and held and not (re.search("[.!?:»]$", held) and re.match(r"[•▪●–—-]\s|[A-ZÀ-Ý0-9]", line)):
+            held = held[:-1] + line if re.search("[a-zà-ÿ]-$", held) and re.match("[a-zà-ÿ]", line) else f"{held} {line}"
+        else:
+            out, held = [*out, held.strip()], line
+    return [x for x in out if x]
+
+
+def test_reflow(spark):
+    rng = random.Random(2)
+    cases = [["une phra-", "se finie.", "Une autre", "suite", "", "bloc"], ["mot-", "Clé"], ["fin.", "• point", "suite"], ["fin:", "-", "a"], ["a-", "-", "b", "é-", "b-", "c"], ["", "", "x"]]
+    parts = ["", "mot-", "-", "Fin.", "fin:", "é", "- un", "• deux", "Trois", "4", "suite»", "À-"]
+    cases += [rng.choices(parts, k=rng.randint(1, 12)) for _ in range(300)]
+    assert flowed(spark, cases) == [flowed_by_hand(c) for c in cases]
+    assert flowed_by_hand(cases[0]) == ["une phrase finie.", "Une autre suite", "bloc"] and flowed_by_hand(cases[2]) == ["fin.", "• point suite"]
 
 
 def test_running_headers(spark):
@@ -117,10 +167,32 @@ def brute_ngrams(document, least):
     return {w: len(p) for w, p in pages_of.items() if len(p) >= least}
 
 
-@settings(max_examples=60, deadline=None)
-@given(document=st.lists(st.lists(st.lists(st.sampled_from("a b c d e f".split()), max_size=24).map(" ".join), max_size=4), max_size=6), least=st.integers(1, 4))
-def test_common_ngrams_against_brute_force(document, least):
-    assert dict(pages.common_ngrams(document, least)) == brute_ngrams(document, least)
+def test_sequences_against_brute_force(spark):
+    """Common and maximal sequences of many documents at once, with words that hold one another."""
+    rng = random.Random(3)
+    documents = [[[" ".join(rng.choices("a b c d ab ba abc".split(), k=rng.randint(0, 20))) for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(1, 6))] for _ in range(60)]
+    line = " ".join(f"w{i}" for i in range(40))
+    documents += [[[line], [line, "x"], ["y " + line], [line[:60]]], [["a b c"], ["xa b cd"], ["xa b cd", "a b c"], ["a b c xa b cd"]]]
+    rows = spark.createDataFrame([(str(k), len(d), p, n, x) for k, d in enumerate(documents) for p, page in enumerate(d) for n, x in enumerate(page)], "document_id string, n_pages int, page int, n int, line string")
+    for least in (1, 2, 3):
+        got, top = {}, {}
+        common = pages.common_sequences(rows, F.lit(least))
+        for r in common.collect():
+            got.setdefault(int(r["document_id"]), {})[r["ngram"]] = r["n_pages"]
+        want = {k: x for k, d in enumerate(documents) if (x := brute_ngrams(d, least))}
+        assert got == want
+        for r in pages.maximal(common).collect():
+            top.setdefault(int(r["document_id"]), set()).add(r["ngram"])
+        assert top == {k: {x for x in found if not any(x in y for y in found if y != x)} for k, found in want.items()}
+
+
+def test_long_running_lines_take_no_square(spark):
+    """One line of 8,000 words on five pages: all its sequences of 14 words are maximal."""
+    line = " ".join(f"w{i}" for i in range(8_000))
+    rows = spark.createDataFrame([("d", "\f".join([line] * 5))], "document_id string, text string")
+    began = time.time()
+    found = pages.boilerplate(pages.paged_lines(rows)).collect()
+    assert len(found[0]["furniture"]) == 8_000 - 13 and time.time() - began < 30
 
 
 def test_html_of_odd_pages(spark):

@@ -7,6 +7,7 @@ from . import corpus, queries
 from .functions.text import STOPWORDS, SUFFIXES
 from .operators.ranking import EVIDENCE
 from .plans.catalog import ARCHIVED
+from .sources.pages import SHORT_CAPITALS
 
 
 def _values(rows) -> str:
@@ -99,17 +100,60 @@ def _normalized(line: str) -> str:
     return f"trim({line}, ' ')"
 
 
-# Pages as ``corpus.paged`` lays them out. Lines of doubled capitals do not occur in these tables.
-CTE["line"] = f"""SELECT document_id, page, tokens FROM (
-  SELECT document_id, page, list_filter(string_split({_normalized("line")}, ' '), lambda t: t <> '') AS tokens FROM (
-    SELECT document_id, n // 3 AS page, line FROM (SELECT document_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM d)
-    UNION ALL SELECT document_id, unnest(range((len(string_split(text, chr(10))) + 2) // 3)), 'CORPUS OF ' || upper(collection) || ' READER' FROM d
-    UNION ALL SELECT document_id, n, '- ' || (n + 1) || ' -' FROM (SELECT document_id, unnest(range((len(string_split(text, chr(10))) + 2) // 3)) AS n FROM d)))
+_CAPITALS = "[^A-ZÀ-Ý]"
+
+
+def _is_capital(line: str, least: int, share: float) -> str:
+    letters = f"length(regexp_replace({line}, '[^A-Za-zÀ-ÿ]', '', 'g'))"
+    return f"({letters} >= {least} AND length(regexp_replace({line}, '{_CAPITALS}', '', 'g')) >= {share} * {letters})"
+
+
+_SPLIT = "list_filter(string_split({0}, ' '), lambda t: t <> '')"
+
+
+def _undoubled(line: str) -> str:
+    """Lines mostly of capitals: tokens that are one string twice are halved, of equal neighbours the first one stays."""
+    halved = f"list_transform({_SPLIT.format(line)}, lambda t: CASE WHEN length(t) >= 6 AND t = repeat(left(t, length(t) // 2), 2) THEN left(t, length(t) // 2) ELSE t END)"
+    single = f"array_to_string(list_filter({halved}, lambda t, i: i = 1 OR lower(t) <> lower(({halved})[i - 1])), ' ')"
+    return f"CASE WHEN {_is_capital(line, 6, 0.6)} THEN {single} ELSE {line} END"
+
+
+# Pages as ``corpus.paged`` lays them out.
+CTE["raw_line"] = f"""SELECT document_id, page, n, {_undoubled("line")} AS line FROM (
+  SELECT document_id, page, n, {_normalized("line")} AS line FROM (
+    SELECT document_id, n // 3 AS page, n % 3 AS n, line FROM (SELECT document_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM d)
+    UNION ALL SELECT document_id, unnest(range((len(string_split(text, chr(10))) + 2) // 3)), -1, 'CORPUS OF ' || upper(collection) || ' READER' FROM d
+    UNION ALL SELECT document_id, n, 3, '- ' || (n + 1) || ' -' FROM (SELECT document_id, unnest(range((len(string_split(text, chr(10))) + 2) // 3)) AS n FROM d)))"""
+CTE["line"] = f"""SELECT * FROM (SELECT document_id, page, n, line, {_SPLIT.format("line")} AS tokens FROM raw_line)
   WHERE NOT (len(tokens) >= 6 AND len(list_filter(tokens, lambda t: length(t) = 1)) / len(tokens) > 0.5)"""
 CTE["gram"] = """SELECT document_id, ngram, count(DISTINCT page) AS n_pages FROM (
-  SELECT document_id, page, array_to_string(tokens[i:i + n - 1], ' ') AS ngram FROM (SELECT *, unnest(range(1, len(tokens) - n + 2)) AS i FROM line, range(3, 15) AS x(n) WHERE len(tokens) >= n))
+  SELECT document_id, page, array_to_string(tokens[i:i + k - 1], ' ') AS ngram FROM (SELECT *, unnest(range(1, len(tokens) - k + 2)) AS i FROM line, range(3, 15) AS x(k) WHERE len(tokens) >= k))
   GROUP BY document_id, ngram"""
 
+CTE["top"] = """SELECT document_id, ngram FROM gram JOIN (SELECT document_id, max(page) + 1 AS n FROM raw_line GROUP BY document_id) USING (document_id)
+  WHERE n >= 4 AND n_pages >= greatest(3, ceil(n * 0.4))"""
+CTE["header"] = """SELECT document_id, list(ngram ORDER BY -length(ngram), ngram) AS furniture FROM top f
+  WHERE NOT EXISTS (SELECT 1 FROM top g WHERE g.document_id = f.document_id AND g.ngram <> f.ngram AND contains(g.ngram, f.ngram)) GROUP BY document_id"""
+_HEADERS = "d raw_line line gram top header".split()
+# headers go one after the other, longest first; then fragments of capitals join their neighbours
+CTE["clean"] = """SELECT document_id, page, n, line, trim(regexp_replace(list_reduce(list_prepend(line, coalesce(furniture, [])), lambda t, h: replace(t, h, ' ')), '\\s+', ' ', 'g'), ' ') AS c
+  FROM line LEFT JOIN header USING (document_id)"""
+CTE["token"] = f"""SELECT *, list_transform(ts, lambda t, i: length(t) <= 2 AND regexp_full_match(t, '[A-ZÀ-Ý]+') AND NOT list_contains(short, t)) AS fragment,
+    list_transform(ts, lambda t, i: length(t) <= 2 AND regexp_full_match(t, '[A-ZÀ-Ý]+') AND NOT list_contains(short, t) AND i < len(ts) AND NOT list_contains(short, ts[i + 1])) AS eager
+  FROM (SELECT *, {_SPLIT.format("c")} AS ts, [{", ".join(f"'{w}'" for w in SHORT_CAPITALS)}] AS short, {_is_capital("c", 4, 0.8)} AS capital FROM clean)"""
+CTE["joined"] = f"""SELECT document_id, page, n, line, {_undoubled("j")} AS c FROM (
+  SELECT *, CASE WHEN capital AND len(ts) >= 3 THEN array_to_string(list_transform(ts, lambda t, i: CASE WHEN i = 1 OR joins[i - 1] OR (fragment[i] AND NOT joins[i]) THEN '' ELSE ' ' END || t), '') ELSE c END AS j FROM (
+    SELECT *, list_transform(eager, lambda e, i: e AND (i - list_max(list_filter(range(0, i), lambda k: k = 0 OR NOT eager[k]))) % 2 = 1) AS joins FROM token))"""
+CTE["kept"] = """SELECT * FROM (
+  SELECT document_id, page, n, CASE WHEN line = '' THEN '' ELSE c END AS t FROM joined WHERE line = '' OR (c <> '' AND NOT regexp_full_match(c, '[-–—\\s]*[0-9]{1,3}[-–—\\s]*')))"""
+CTE["flag"] = """SELECT *, b AND NOT coalesce(regexp_matches(before, '[a-zà-ÿ]-$') AND regexp_matches(t, '^[a-zà-ÿ]'), FALSE) AS spaced FROM (
+  SELECT *, NOT (before IS NULL OR before = '' OR t = '' OR (regexp_matches(before, '[.!?:»]$') AND regexp_matches(t, '^[•▪●–—-]\\s|^[A-ZÀ-Ý0-9]'))) AS b
+  FROM (SELECT *, lag(t) OVER (PARTITION BY document_id, page ORDER BY n) AS before FROM kept))"""
+CTE["paragraph"] = f"""SELECT document_id, page, no, {_undoubled("text")} AS text FROM (
+  SELECT document_id, page, no, trim(string_agg(CASE WHEN spaced THEN ' ' ELSE '' END || CASE WHEN gives THEN regexp_replace(t, '-$', '') ELSE t END, '' ORDER BY n), ' ') AS text FROM (
+    SELECT *, sum((NOT b)::INTEGER) OVER w AS no, coalesce(lead(b AND NOT spaced) OVER w, FALSE) AS gives FROM flag WINDOW w AS (PARTITION BY document_id, page ORDER BY n))
+  GROUP BY document_id, page, no)"""
+
 _POSTINGS = "d cut p w v post".split()
 _TAGS = [*_POSTINGS, *"kww kwv kw kwn kwm tags".split()]
 _HITS = [*_POSTINGS, *"len stats q qw qv qt found idf hit".split()]
@@ -288,11 +332,10 @@ SQL: dict[str, str] = {
     "referential_check": _with("d cut p".split(), """SELECT passage_id, 'document' AS missing FROM p WHERE document_id IN (SELECT document_id FROM d WHERE collection = 'src1')
       UNION ALL SELECT passage_id, 'section' FROM p WHERE document_id IN (SELECT document_id FROM d WHERE collection IN ('src1', 'src2'))"""),
     "normalize_lines": _with("d cut".split(), f"SELECT document_id, ord::INTEGER AS ord, {_normalized('trim(line, chr(32) || chr(9) || chr(13))')} AS line FROM cut"),
-    "page_ngrams": _with("d line gram".split(), "SELECT document_id, ngram, n_pages FROM gram WHERE n_pages > 1"),
-    "boilerplate": _with("d line gram".split(), """, f AS (SELECT document_id, ngram FROM gram JOIN (SELECT document_id, max(page) + 1 AS n FROM line GROUP BY document_id) USING (document_id)
-        WHERE n >= 4 AND n_pages >= greatest(3, ceil(n * 0.4)))
-      SELECT document_id, string_agg(ngram, '|' ORDER BY -length(ngram), ngram) AS furniture FROM f
-      WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.document_id = f.document_id AND g.ngram <> f.ngram AND contains(g.ngram, f.ngram)) GROUP BY document_id"""),
+    "page_ngrams": _with("d raw_line line gram".split(), "SELECT document_id, ngram, n_pages FROM gram WHERE n_pages > 1"),
+    "boilerplate": _with(_HEADERS, "SELECT document_id, array_to_string(furniture, '|') AS furniture FROM header"),
+    "paged_text": _with([*_HEADERS, *"clean token joined kept flag paragraph".split()], """SELECT d.document_id, coalesce(string_agg(paragraph.text, chr(10) ORDER BY page, no) FILTER (WHERE paragraph.text <> ''), '') || chr(10) AS text
+      FROM d LEFT JOIN paragraph USING (document_id) GROUP BY d.document_id"""),
     "checksums": "SELECT page_id, sha256(html) AS sha256, strlen(html) AS bytes, strlen(html) >= 2048 AS has_format FROM pages",
     "alias_resolution": f"""WITH x AS (SELECT *, strip_accents(lower(trim(label))) AS key FROM ({_values((x,) for x in queries.LABELS)}) AS x(label)),
       a AS (SELECT strip_accents(lower(name)) AS key, arg_min(group_id, (kind, n)) AS group_id FROM ({_values([(g.id, n, 0, g.id) for n, g in enumerate(corpus.GROUPS)] + [(g.id, n, 1, x) for n, g in enumerate(corpus.GROUPS) for x in g.aliases])}) AS y(group_id, n, kind, name) GROUP BY 1)

@@ -38,6 +38,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, with its rows dealt out anew if it has fewer partitions than there are cores: a small file is one row group,
+    and all work on it up to the first shuffle would be one task. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Scratch:
     """Tables of one run in a folder of their own; those that nothing reads any more can be dropped."""
 

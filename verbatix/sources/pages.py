@@ -1,23 +1,22 @@
 """Text of paged documents: cleaning of lines, removal of running headers, and reflow into paragraphs.
 
-A document is a row, its pages an array of arrays of lines, so nothing is shuffled. Line rewrites are Column
-expressions. Running headers are word sequences that stand on 40 % of a document's pages; they are counted
-level by level. Folds whose next step depends on the last (letter-spaced capitals, doubled words, reflow) are
-Arrow functions over these arrays.
+A line is a row of (document_id, n_pages, page, n, line), and every step is an operation on such rows: a document may
+have more pages than one row, or one task, holds. Line rewrites are Column expressions. Running headers are word sequences
+that stand on 40 % of a document's pages: hashes of three words are counted first, and longer sequences are made up only
+where neighbouring ones are common. Paragraphs are runs of lines between breaks; as a break needs no more than the
+line before, and every page ends a paragraph, they are numbered by a running sum within a page.
 
 A null text has no pages; a document of fewer than four pages has no running headers.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import pairwise
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import SPACE, collapse_space_col
+from ..shared import materialise, spread
 
 PAGE_SHARE, LEAST_PAGES, LEAST_COUNT = 0.4, 4, 3
 NGRAM_WORDS = (3, 14)
@@ -62,163 +61,146 @@ def is_page_number_col(line: Column) -> Column:
     return line.rlike(rf"^(?:[-–—]|{SPACE})*[0-9]{{1,3}}(?:[-–—]|{SPACE})*\z")
 
 
-def _capital_share(line: str) -> tuple[int, float]:
-    letters = len(re.sub("[^A-Za-zÀ-ÿ]", "", line))
-    return letters, len(re.sub("[^A-ZÀ-Ý]", "", line)) / letters if letters else 0.0
-
-
-def join_spaced_capitals(line: str) -> str:
-    """Fragments of one or two capitals that are no words join the next token, or the one before where the
-    next is a word of its own. Tokens are marked first: a fragment opens a joint with a follower that is no
-    short word, unless an earlier fragment has taken it; what is marked alike is then put together."""
-    tokens = [t for t in line.split(" ") if t]
-    letters, share = _capital_share(line)
-    if len(tokens) < 3 or letters < 4 or share < 0.8:
-        return line
-    fragment = [len(t) <= 2 and t not in SHORT_CAPITALS and re.fullmatch("[A-ZÀ-Ý]+", t) is not None for t in tokens]
-    joins_next = [False] * len(tokens)
-    for i, follower in enumerate(tokens[1:]):
-        joins_next[i] = fragment[i] and follower not in SHORT_CAPITALS and not (i and joins_next[i - 1])
-    taken = [False, *joins_next[:-1]]
-    joins_last = [f and not j and not t for f, j, t in zip(fragment, joins_next, taken, strict=True)]
-    joins_last[0] = False
-    glue = ["" if t or j else " " for t, j in zip(taken, joins_last, strict=True)]
-    return "".join(g + t for g, t in zip(glue, tokens, strict=True)).lstrip(" ")
-
-
-def collapse_doubled_capitals(line: str) -> str:
-    """In lines mostly of capitals: a token that is one string twice is halved, a repeated token dropped."""
-    letters, share = _capital_share(line)
-    if letters < 6 or share < 0.6:
-        return line
-    out = []
-    for token in filter(None, line.split(" ")):
-        half = len(token) // 2
-        if len(token) >= 6 and token == 2 * token[:half]:
-            token = token[:half]
-        if not out or out[-1].lower() != token.lower():
-            out.append(token)
-    return " ".join(out)
-
+def _words(line: Column) -> Column:
+    return F.filter(F.split(line, " "), lambda t: t != "")
 
-def reflow(lines: list[str]) -> list[str]:
-    """Paragraphs of cleaned lines. A blank line ends one, as does a finished sentence before a bullet,
-    capital or digit; a hyphen between small letters joins two lines without a space."""
-    out, text = [], ""
-    for line in [*lines, ""]:
-        if not line or (text and text[-1] != "-" and text[-1] in ".!?:»" and re.match(rf"[•▪●–—-]{SPACE}|[A-ZÀ-Ý0-9]", line)):
-            out.append(text)
-            text = line
-        elif not text:
-            text = line
-        elif text[-1] == "-" and re.search("[a-zà-ÿ]-$", text) and re.match("[a-zà-ÿ]", line):
-            text = text[:-1] + line
-        else:
-            text = f"{text} {line}"
-    return [t for t in map(str.strip, out) if t]
 
+def _capitals(line: Column, least: int, share: float) -> Column:
+    """Whether a line has ``least`` letters and ``share`` of them, more than half, are capitals. Then two letters in a row
+    are, which most lines do not have: they are not looked at further."""
+    letters = F.length(F.regexp_replace(line, "[^A-Za-zÀ-ÿ]+", ""))
+    counted = (letters >= least) & (F.length(F.regexp_replace(line, "[^A-ZÀ-Ý]+", "")) >= share * letters)
+    return line.rlike("[A-ZÀ-Ý][^A-Za-zÀ-ÿ]*[A-ZÀ-Ý]") & counted
 
-def _per_array(function, returns: str):
-    """An Arrow function over arrays of lines; made when a plan is, as that needs a session."""
 
-    @F.pandas_udf(returns)
-    def applied(arrays: pd.Series) -> pd.Series:
-        return arrays.map(function)
+def join_spaced_capitals_col(line: Column) -> Column:
+    """In lines of capitals: a fragment of one or two capitals that is no word joins the next token, or, where the
+    next is a word of its own, the one before. A token that a fragment has joined is no fragment any more."""
+    is_short = lambda t: t.isin(SHORT_CAPITALS)
 
-    return applied
+    def step(acc: Column, x: Column) -> Column:
+        token, follower, none = x["token"], x["next"], acc["text"] == ""
+        fragment = ~acc["joined"] & token.rlike("^[A-ZÀ-Ý]{1,2}$") & ~is_short(token)
+        joins = fragment & follower.isNotNull() & ~is_short(follower)
+        glued = acc["joined"] | (fragment & ~joins) | none
+        return F.struct(F.concat(acc["text"], F.when(glued, "").otherwise(" "), token).alias("text"), joins.alias("joined"))
 
+    def joined(tokens: Column) -> Column:
+        followers = F.array_append(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), F.lit(None).cast("string"))
+        pairs = F.zip_with(tokens, followers, lambda t, x: F.struct(t.alias("token"), x.alias("next")))
+        return F.aggregate(pairs, F.struct(F.lit("").alias("text"), F.lit(False).alias("joined")), step, lambda acc: acc["text"])
 
-def doubled_capitals_col(pages: Column) -> Column:
-    return _per_array(lambda doc: [[collapse_doubled_capitals(x) for x in page] for page in doc], "array<array<string>>")(pages)
+    return F.when(_capitals(line, 4, 0.8) & (F.size(_words(line)) >= 3), let(_words(line), joined)).otherwise(line)
 
 
-def straightened_col(pages: Column) -> Column:
-    return _per_array(lambda doc: [[collapse_doubled_capitals(join_spaced_capitals(x)) for x in page] for page in doc], "array<array<string>>")(pages)
-
-
-def reflow_col(lines: Column) -> Column:
-    return _per_array(lambda doc: "\n".join(collapse_doubled_capitals(p) for p in reflow(list(doc))) + "\n", "string")(lines)
+def collapse_doubled_capitals_col(line: Column) -> Column:
+    """In lines mostly of capitals: a token that is one string twice is halved, a repeated token dropped."""
+    half = lambda t: F.substr(t, F.lit(1), F.floor(F.length(t) / 2).cast("int"))
+    halved = F.transform(_words(line), lambda t: F.when((F.length(t) >= 6) & (t == F.concat(half(t), half(t))), half(t)).otherwise(t))
+    # of equal neighbours the first one stays; place i counts from 0, element_at from 1
+    single = lambda tokens: F.filter(tokens, lambda t, i: (i == 0) | (F.lower(t) != F.lower(F.element_at(tokens, F.greatest(i, F.lit(1))))))
+    return F.when(_capitals(line, 6, 0.6), F.array_join(let(halved, single), " ")).otherwise(line)
 
 
 def paged_lines(documents: DataFrame) -> DataFrame:
-    """document_id and pages, an array of arrays of lines: form feeds part pages. Lines are cleaned,
-    letter-spaced ones dropped, blank ones kept. A null text has no pages."""
-    cleaned = F.transform(F.split("text", "\f", -1), lambda page: F.transform(F.split(page, "\n", -1), normalize_line_col))
-    straight = documents.filter(F.col("text").isNotNull()).select("document_id", doubled_capitals_col(cleaned).alias("pages"))
-    return straight.withColumn("pages", F.transform("pages", lambda page: F.filter(page, lambda x: ~is_letter_spaced_col(x))))
-
-
-def common_ngrams(pages: list[list[str]], least: int) -> list[tuple[str, int]]:
-    """(words, pages) of the sequences of 3 to 14 words within lines that stand on ``least`` pages or more. A
-    longer sequence is looked at only where the two that it consists of are common."""
-    lines = [(number, [t for t in line.split(" ") if t]) for number, page in enumerate(pages) for line in page]
-    starts = [range(len(tokens) - NGRAM_WORDS[0] + 1) for _, tokens in lines]
-    out: list[tuple[str, int]] = []
-    for n in range(NGRAM_WORDS[0], NGRAM_WORDS[1] + 1):
-        found: dict[str, list[int]] = {}  # pages, and the last one
-        here = [[(i, " ".join(tokens[i : i + n])) for i in own] for (_, tokens), own in zip(lines, starts, strict=True)]
-        for (number, _), own in zip(lines, here, strict=True):
-            for _, words in own:
-                seen = found.setdefault(words, [0, -1])
-                if seen[1] != number:
-                    seen[0], seen[1] = seen[0] + 1, number
-        common = {words: seen[0] for words, seen in found.items() if seen[0] >= least}
-        if not common:
-            break
-        out += common.items()
-        starts = [[i for (i, w), (j, x) in pairwise(own) if j == i + 1 and w in common and x in common] for own in here]
-    return out
-
-
-def page_ngrams(paged: DataFrame, least: Column) -> DataFrame:
-    """document_id, ngram and n_pages of the word sequences on ``least`` pages or more of their document. A
-    document is a row: nothing is shuffled."""
-
-    @F.pandas_udf("array<struct<ngram: string, n_pages: long>>")
-    def common(pages: pd.Series, least: pd.Series) -> pd.Series:
-        return pd.Series([common_ngrams(p, n) for p, n in zip(pages, least, strict=True)])
-
-    return paged.select("document_id", F.explode(common("pages", least.cast("int"))).alias("x")).select("document_id", "x.ngram", "x.n_pages")
-
-
-def maximal(ngrams: list[str]) -> list[str]:
-    """Those that no longer one contains, longest first."""
-    kept: list[str] = []
-    for ngram in sorted(ngrams, key=lambda x: (-len(x), x)):
-        if not any(ngram in longer for longer in kept):
-            kept.append(ngram)
-    return kept
-
-
-def furniture_col(pages: Column) -> Column:
-    """The running headers of a document: its maximal sequences on 40 % of four pages or more."""
-
-    @F.pandas_udf("array<string>")
-    def found(documents: pd.Series) -> pd.Series:
-        least = lambda pages: max(LEAST_COUNT, -(-len(pages) * 2 // 5))
-        return pd.Series([maximal([w for w, _ in common_ngrams(p, least(p))]) if len(p) >= LEAST_PAGES else [] for p in documents])
-
-    return found(pages)
-
-
-def boilerplate(paged: DataFrame) -> DataFrame:
-    """document_id and furniture (longest first) of the documents that have running headers."""
-    return paged.select("document_id", furniture_col(F.col("pages")).alias("furniture")).filter(F.size("furniture") > 0)
+    """document_id, n_pages, page, n and line: form feeds part pages. Lines are cleaned, letter-spaced ones dropped,
+    blank ones kept, and a blank one ends every page. They are cleaned once, into a table that all later steps read."""
+    pages = documents.filter(F.col("text").isNotNull()).select("document_id", F.split("text", "\f", -1).alias("pages"))
+    pages = spread(pages.select("document_id", F.size("pages").alias("n_pages"), F.posexplode("pages").alias("page", "text")))
+    # within the array, as a filter over rows would be moved below the rewrites and make them twice
+    clean = F.transform(F.transform(F.split("text", "\n", -1), normalize_line_col), collapse_doubled_capitals_col)
+    kept = F.filter(clean, lambda line: ~is_letter_spaced_col(line))
+    lines = pages.select("document_id", "n_pages", "page", F.posexplode(F.array_append(kept, F.lit(""))).alias("n", "line"))
+    return materialise(lines, "lines")
+
+
+def common_sequences(lines: DataFrame, least: Column) -> DataFrame:
+    """document_id, ngram, n_words and n_pages of the sequences of 3 to 14 words within lines that stand on ``least`` pages
+    or more of their document. A sequence is common only where all of its three words in a row are."""
+    first, most = NGRAM_WORDS
+    tokens = lines.select("document_id", "page", "n", least.alias("_least"), _words(F.col("line")).alias("_words")).filter(F.size("_words") >= first)
+    word = lambda i, k: F.element_at("_words", i + k)
+    threes = F.transform(F.sequence(F.lit(1), F.size("_words") - (first - 1)), lambda i: F.struct(i.alias("i"), word(i, 0).alias("word"), F.concat_ws(" ", word(i, 0), word(i, 1), word(i, 2)).alias("three")))
+    starts = tokens.select("document_id", "page", "n", "_least", F.inline(threes)).withColumn("_hash", F.xxhash64("three"))
+    on_page = starts.select("document_id", "_hash", "page", "_least").distinct()
+    often = on_page.groupBy("document_id", "_hash").agg(F.count("*").alias("_pages"), F.first("_least").alias("_least")).filter("_pages >= _least").select("document_id", "_hash")
+    common = starts.join(often, ["document_id", "_hash"], "left_semi")
+    # up to twelve common starts from each one on; those that follow it without a gap make up longer sequences
+    ahead = Window.partitionBy("document_id", "page", "n").orderBy("i").rowsBetween(0, most - first)
+    near = common.withColumn("_ahead", F.collect_list(F.struct("i", "word", "three")).over(ahead))
+    sequences = F.transform(
+        F.sequence(F.lit(1), F.size("_ahead")),
+        lambda k: F.when(F.element_at("_ahead", k)["i"] == F.col("i") + k - 1, F.struct((k + first - 1).alias("n_words"), F.concat_ws(" ", F.transform(F.slice("_ahead", F.lit(1), k - 1), lambda x: x["word"]), F.element_at("_ahead", k)["three"]).alias("ngram"))),
+    )
+    rows = near.select("document_id", "page", "_least", F.inline(F.array_compact(sequences))).distinct()
+    counted = rows.groupBy("document_id", "ngram", "n_words").agg(F.count("*").alias("n_pages"), F.first("_least").alias("_least"))
+    return counted.filter("n_pages >= _least").drop("_least")
+
+
+def page_ngrams(lines: DataFrame, least: Column) -> DataFrame:
+    return common_sequences(lines, least).drop("n_words")
+
+
+def maximal(sequences: DataFrame) -> DataFrame:
+    """Those (document_id, ngram) that no other one of the document contains as text. Of two, the inner words of the
+    one stand in the other between words that end and begin like its outer ones: they meet on these, not all with all."""
+    some = sequences.select("document_id", "ngram", F.split("ngram", " ").alias("_w"))
+    last_of, first_of = (lambda t: F.right(t, F.lit(1))), (lambda t: F.left(t, F.lit(1)))
+    key = lambda before, inner, after: F.concat_ws(" ", last_of(before), inner, first_of(after))
+    at = lambda i: F.element_at("_w", i)
+    within = lambda i, j: F.array_join(F.slice("_w", i, j - i + 1), " ")
+    size = F.size("_w")
+    inner = some.select("document_id", "ngram", key(at(F.lit(1)), within(F.lit(2), size - 1), at(size)).alias("_key"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda i: F.transform(F.sequence(i, size - 1), lambda j: key(at(i - 1), within(i, j), at(j + 1)))))
+    outer = some.select("document_id", F.col("ngram").alias("_longer"), F.explode(F.array_distinct(spans)).alias("_key"))
+    inside = inner.join(outer, ["document_id", "_key"]).filter((F.col("_longer") != F.col("ngram")) & F.contains("_longer", "ngram"))
+    return sequences.select("document_id", "ngram").join(inside.select("document_id", "ngram"), ["document_id", "ngram"], "left_anti")
+
+
+def boilerplate(lines: DataFrame) -> DataFrame:
+    """document_id and furniture (running headers, longest first) of the documents that have any: maximal sequences
+    on 40 % of four pages or more."""
+    least = F.greatest(F.lit(LEAST_COUNT), F.ceil(F.col("n_pages") * PAGE_SHARE).cast("int"))
+    headers = maximal(common_sequences(lines.filter(F.col("n_pages") >= LEAST_PAGES), least))
+    longest_first = F.sort_array(F.collect_list(F.struct((-F.length("ngram")).alias("size"), "ngram")))
+    return headers.groupBy("document_id").agg(F.transform(longest_first, lambda x: x["ngram"]).alias("furniture"))
 
 
 def strip_furniture_col(line: Column, furniture: Column) -> Column:
-    return collapse_space_col(F.aggregate(furniture, line, lambda text, ngram: F.replace(text, ngram, F.lit(" "))))
+    """``line`` without the headers that stand in it, each replaced before the next one."""
+    here = F.filter(furniture, lambda ngram: F.contains(line, ngram))
+    return F.when(furniture.isNull(), line).otherwise(collapse_space_col(F.aggregate(here, line, lambda text, ngram: F.replace(text, ngram, F.lit(" ")))))
+
+
+def reflow(lines: DataFrame) -> DataFrame:
+    """document_id, page, paragraph (number) and text of cleaned lines. A blank line ends a paragraph, as does a finished
+    sentence before a bullet, capital or digit; a hyphen between small letters joins two lines without a space. Paragraphs
+    of blank lines are empty."""
+    page = Window.partitionBy("document_id", "page").orderBy("n")
+    before, line = F.col("_before"), F.col("line")
+    finished = before.rlike("[.!?:»]$") & line.rlike(rf"^[•▪●–—-]{SPACE}|^[A-ZÀ-Ý0-9]")
+    begins = before.isNull() | (before == "") | (line == "") | finished
+    rows = lines.withColumn("_before", F.lag("line").over(page)).withColumn("_begins", begins)
+    rows = rows.withColumn("_joined", ~F.col("_begins") & before.rlike("[a-zà-ÿ]-$") & line.rlike("^[a-zà-ÿ]"))
+    rows = rows.withColumns({"paragraph": F.sum(F.col("_begins").cast("int")).over(page), "_gives": F.coalesce(F.lead("_joined").over(page), F.lit(False))})
+    part = F.concat(F.when(F.col("_begins") | F.col("_joined"), "").otherwise(" "), F.when(F.col("_gives"), F.regexp_replace("line", "-$", "")).otherwise(line))
+    texts = F.sort_array(F.collect_list(F.struct("n", part.alias("part"))))
+    return rows.groupBy("document_id", "page", "paragraph").agg(F.trim(F.array_join(F.transform(texts, lambda x: x["part"]), "")).alias("text"))
+
+
+def paragraphs(documents: DataFrame) -> DataFrame:
+    """document_id, page, paragraph and text of paged documents, empty paragraphs included. What documents of any
+    length are read as; ``extract`` puts each together."""
+    lines = paged_lines(documents)
+    stripped = lines.join(boilerplate(lines), "document_id", "left")
+    clean = F.array(let(strip_furniture_col(F.col("line"), F.col("furniture")), lambda x: let(join_spaced_capitals_col(x), collapse_doubled_capitals_col)))
+    left = F.filter(clean, lambda x: (F.col("line") == "") | ((x != "") & ~is_page_number_col(x)))
+    kept = stripped.select("document_id", "page", "n", F.explode(left).alias("line"))
+    return reflow(kept).withColumn("text", collapse_doubled_capitals_col(F.col("text")))
 
 
 def extract(documents: DataFrame) -> DataFrame:
     """document_id and text (a paragraph a line) of paged documents."""
-    paged = paged_lines(documents).withColumn("furniture", furniture_col(F.col("pages")))
-    stripped = F.transform("pages", lambda page: F.transform(page, lambda x: strip_furniture_col(x, F.col("furniture"))))
-    cleaned = paged.withColumn("clean", straightened_col(stripped))
-
-    def kept(page: Column, clean: Column) -> Column:
-        pairs = F.zip_with(page, clean, lambda x, y: F.struct(x.alias("line"), y.alias("clean")))
-        pairs = F.filter(pairs, lambda x: (x["line"] == "") | ((x["clean"] != "") & ~is_page_number_col(x["clean"])))
-        return F.array_append(F.transform(pairs, lambda x: x["clean"]), F.lit(""))
-
-    return cleaned.select("document_id", reflow_col(F.flatten(F.zip_with("pages", "clean", kept))).alias("text"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("page", "paragraph", "text"))))
+    whole = paragraphs(documents).groupBy("document_id").agg(F.transform(parts, lambda x: x["text"]).alias("_parts"))
+    return whole.select("document_id", F.concat(F.array_join("_parts", "\n"), F.lit("\n")).alias("text"))
