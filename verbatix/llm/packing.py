@@ -15,6 +15,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -87,56 +88,102 @@ def plan_bins(sizes: np.ndarray, losses: np.ndarray, limits: Limits) -> list[lis
     lost_from = sizes - losses
     room = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
     bins: list[list[tuple[int, int, int]]] = []
-    begin = np.zeros(len(sizes), np.int64)
+    large = np.flatnonzero((sizes >= limits.tokens) | (losses >= limits.loss_tokens)).tolist()
+    sizes, losses, lost_from, begin = sizes.tolist(), losses.tolist(), lost_from.tolist(), [0] * len(sizes)
 
     def furthest(i: int, tokens: int, loss: int) -> int:
         """Where a piece of example i, from its present begin, has to end at such limits."""
-        return int(min(sizes[i], begin[i] + tokens, max(begin[i], lost_from[i]) + loss))
+        return min(sizes[i], begin[i] + tokens, max(begin[i], lost_from[i]) + loss)
 
-    for i in np.flatnonzero((sizes >= limits.tokens) | (losses >= limits.loss_tokens)):
+    for i in large:
         while (stop := furthest(i, limits.tokens, limits.loss_tokens)) - begin[i] == limits.tokens or (begin[i] < sizes[i] and stop < sizes[i]):
-            bins.append([(int(i), int(begin[i]), stop)])
+            bins.append([(i, begin[i], stop)])
             begin[i] = stop
-    order = np.flatnonzero(begin < sizes)
-    order = order[np.argsort(begin[order] - sizes[order], kind="stable")]
-
-    def demand(i):
-        left = sizes[i] - begin[i]
-        return np.stack([left, np.ones_like(left), np.minimum(left, losses[i])], axis=-1)
-
-    need = demand(order).astype(float)
-    alive = np.ones(len(order), bool)
-    first = 0
-    while True:
-        while first < len(order) and not alive[first]:
-            first += 1
-        if first == len(order):
-            return bins
+    order = sorted((i for i in range(len(sizes)) if begin[i] < sizes[i]), key=lambda i: begin[i] - sizes[i])
+    waiting = _Waiting(room)
+    for place, i in enumerate(order):
+        waiting.add(place, sizes[i] - begin[i], losses[i])
+    while (k := waiting.first()) is not None:
         left, pieces = room.copy(), []
-        k = first
         while True:
-            i = int(order[k])
+            place = waiting.take(k)
+            i = order[place]
             stop = furthest(i, int(left[0]), int(left[2]))
-            pieces.append((i, int(begin[i]), stop))
+            pieces.append((i, begin[i], stop))
             left -= (stop - begin[i], 1, max(0, stop - max(begin[i], lost_from[i])))
             begin[i] = stop
-            if stop == sizes[i]:
-                alive[k] = False
-            else:
-                need[k] = demand(np.array([i]))[0]
-            if left.min() < 1:
+            if stop < sizes[i]:
+                waiting.add(place, sizes[i] - stop, losses[i])
+            if left.min() < 1 or (k := waiting.best(left)) is None:
                 break
-            score = (need[first:] / room) @ (left / room)
-            score[~alive[first:] | (need[first:] > left).any(axis=1)] = -1
-            if len(score) == 0:
-                break
-            k = first + int(score.argmax())
-            if score[k - first] < 0:  # none fits whole: cut the largest
-                rest = np.where(alive[first:], need[first:, 0], 0)
-                k = first + int(rest.argmax())
-                if rest[k - first] == 0 or furthest(int(order[k]), int(left[0]), int(left[2])) == begin[order[k]]:
+            if waiting.needs[k][0] > left[0] or waiting.needs[k][2] > left[2]:  # none fits whole: the largest is cut
+                i = order[waiting.heaps[k][0]]
+                if furthest(i, int(left[0]), int(left[2])) == begin[i]:
                     break
         bins.append(pieces)
+    return bins
+
+
+class _Waiting:
+    """Examples by their demand. All of one demand have one score, so a choice looks at each demand once, and then
+    takes its example of the first place. Places are those of the order by size."""
+
+    def __init__(self, room: np.ndarray):
+        self.room, self.number, self.heaps = room, {}, []
+        self.needs, self.heads = np.zeros((64, 3)), np.zeros(64, np.int64)
+
+    def add(self, place: int, tokens: int, loss: int) -> None:
+        need = (int(tokens), 1, int(min(tokens, loss)))
+        k = self.number.setdefault(need, len(self.heaps))
+        if k == len(self.heaps):
+            self.heaps.append([])
+            if k == len(self.heads):
+                self.needs, self.heads = np.concatenate([self.needs, np.zeros_like(self.needs)]), np.concatenate([self.heads, np.zeros_like(self.heads)])
+            self.needs[k] = need
+        heapq.heappush(self.heaps[k], place)
+        self.heads[k] = self.heaps[k][0]
+
+    def take(self, k: int) -> int:
+        place = heapq.heappop(self.heaps[k])
+        self.heads[k] = self.heaps[k][0] if self.heaps[k] else _NOBODY
+        return place
+
+    def first(self) -> int | None:
+        """The demand of the example of the first place."""
+        heads = self.heads[: len(self.heaps)]
+        k = int(heads.argmin()) if len(heads) else 0
+        return k if len(heads) and heads[k] < _NOBODY else None
+
+    def best(self, left: np.ndarray) -> int | None:
+        """The demand that fits and has the largest dot product with the room that is left, or that of most tokens if none
+        fits; of equal ones that of the first place."""
+        if len(self.heaps) <= _FEW:
+            return self._best_of_few(*left.tolist())
+        needs, heads = self.needs[: len(self.heaps)], self.heads[: len(self.heaps)]
+        share, free = needs / self.room, left / self.room
+        score = share[:, 0] * free[0] + share[:, 1] * free[1] + share[:, 2] * free[2]
+        there = heads < _NOBODY
+        fits = there & (needs <= left).all(axis=1)
+        value = np.where(fits, score, -1.0) if fits.any() else np.where(there, needs[:, 0], -1.0)
+        if not len(value) or value.max() < 0:
+            return None
+        return int(np.where(value == value.max(), heads, _NOBODY).argmin())
+
+    def _best_of_few(self, tokens: float, segments: float, loss: float) -> int | None:
+        """The same by a plain loop."""
+        a, b, c = self.room.tolist()
+        found = None
+        for (n, one, lossy), k in self.number.items():
+            if self.heaps[k]:
+                fits = n <= tokens and one <= segments and lossy <= loss
+                rank = (fits, (n / a) * (tokens / a) + (one / b) * (segments / b) + (lossy / c) * (loss / c) if fits else n, -self.heaps[k][0])
+                if found is None or rank > found[0]:
+                    found = rank, k
+        return found[1] if found else None
+
+
+#: A place behind all others, and so many demands that a loop looks at sooner than arrays do.
+_NOBODY, _FEW = 1 << 62, 8
 
 
 def padded(length: int, most: int) -> int:

@@ -2,8 +2,8 @@
 
 Documents are ordered by doc_id. A task writes a range of doc_id (``shard``) as blocks, cut at document borders,
 of about 2^19 ids; each block is a shard of the grammar. There the most frequent adjacent id pairs are replaced by
-nonterminals, round after round, until no pair pays for its rule or 16 bits hold no further symbol. A block keeps
-the rules, the expansion length of every rule, the remaining sequence (rules and sequence in 16 bits a symbol), anchors (the number of ids before every
+nonterminals, round after round, until no pair pays for its rule. A block keeps the rules, the expansion length of
+every rule, the remaining sequence (rules and sequence in 16 bits a symbol, or 32 where there are more symbols), anchors (the number of ids before every
 1024th symbol) and each document's id and length, so that any range of ids is decoded from the symbols that
 cover it.
 
@@ -36,7 +36,8 @@ FILE = "byte_bpe_50k.json"
 END_ID = 2
 #: A rule takes two symbols of 16 bits and a length of 32; a replacement saves one symbol: a pair pays from here.
 LEAST = 5
-MOST_SYMBOLS = 1 << 16
+#: So many symbols fit into 16 bits; a pair of them is a key of 32 bits, of others one of 64.
+NARROW = 1 << 16
 #: Pairs with this share of the occurrences of the most frequent one are replaced in the same round.
 SHARE = 1 / 8
 #: Symbols between two anchors, which hold the number of ids before them.
@@ -69,8 +70,8 @@ def grammar(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, n
     A round counts all pairs that can still pay, takes those with at least SHARE of the occurrences of the most
     frequent one, and replaces their occurrences from left to right: of two that overlap the first one stands,
     and a pair left with too few is counted again in the next round. If all are left with too few, pairs that
-    cannot overlap each other are taken, the most frequent ones first. Rounds end when no pair pays for its rule,
-    or when 16 bits hold no further symbol. A pair that does not pay never will, as only pairs with a new symbol
+    cannot overlap each other are taken, the most frequent ones first. Rounds end when no pair pays for its rule.
+    Pairs are keys of 32 bits as long as symbols have 16, then of 64. A pair that does not pay never will, as only pairs with a new symbol
     become more frequent: its places are not looked at again until a neighbour is replaced."""
     seq, rules, last = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), len(ids)
     # neighbours of every place; a replaced pair leaves its second place out
@@ -78,9 +79,16 @@ def grammar(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, n
     open_, left = np.ones(last, bool), np.ones(last, bool)
     open_[-1:] = False
     spent: set[int] = set()
-    while (room := MOST_SYMBOLS - vocabulary - len(rules)) > 0:
+    kind, bits = np.uint32, 16
+    while True:
+        room = NARROW - vocabulary - len(rules)
+        if room <= 0:
+            room = (1 << 32) - vocabulary - len(rules)
+            if bits == 16:
+                kind, bits = np.uint64, 32
+                spent = {(pair >> 16) << 32 | pair & 0xFFFF for pair in spent}
         at = np.flatnonzero(open_)
-        keys = (seq[at] << np.uint32(16)) | seq[after[at]]
+        keys = (seq[at].astype(kind) << kind(bits)) | seq[after[at]]
         pairs, seen = _counted(keys, spent)
         if not len(pairs):
             break
@@ -90,13 +98,13 @@ def grammar(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, n
         chosen = _most_frequent(pairs, seen, max(LEAST, SHARE * seen.max()), room)
         places, hit, made = _replaceable(at, keys, chosen, after)
         if not len(made):
-            chosen = _apart(pairs, seen, room)
+            chosen = _apart(pairs, seen, room, bits)
             places, hit, made = _replaceable(at, keys, chosen, after)
             if not len(made):  # runs of one symbol that overlap themselves
                 spent.update(chosen.tolist())
                 continue
         seq[places] = vocabulary + len(rules) + hit
-        rules = np.concatenate([rules, np.stack([chosen[made] >> np.uint32(16), chosen[made] & np.uint32(0xFFFF)], axis=1)])
+        rules = np.concatenate([rules, np.stack([chosen[made] >> kind(bits), chosen[made] & kind((1 << bits) - 1)], axis=1).astype(np.uint32)])
         gone = after[places]
         after[places] = after[gone]
         before[after[gone]] = places
@@ -115,7 +123,7 @@ def _counted(keys: np.ndarray, spent: set[int]) -> tuple[np.ndarray, np.ndarray]
     pays = seen >= LEAST
     pairs, seen = ordered[edge[:-1][pays]], seen[pays]
     if spent:
-        left = ~np.isin(pairs, np.fromiter(spent, np.uint32, len(spent)))
+        left = ~np.isin(pairs, np.fromiter(spent, pairs.dtype, len(spent)))
         pairs, seen = pairs[left], seen[left]
     return pairs, seen
 
@@ -125,21 +133,21 @@ def _most_frequent(pairs: np.ndarray, seen: np.ndarray, least: float, room: int)
     return np.sort(pairs[np.argsort(-seen, kind="stable")[:room]])
 
 
-def _apart(pairs: np.ndarray, seen: np.ndarray, room: int) -> np.ndarray:
+def _apart(pairs: np.ndarray, seen: np.ndarray, room: int, bits: int) -> np.ndarray:
     """Pairs of which none begins with a symbol that another ends with, the most frequent ones first."""
     out, begins, ends = [], set(), set()
     for pair in pairs[np.argsort(-seen, kind="stable")].tolist():
-        a, b = pair >> 16, pair & 0xFFFF
+        a, b = pair >> bits, pair & ((1 << bits) - 1)
         if a not in ends and b not in begins and (a != b or a not in begins and a not in ends):
             out.append(pair)
             begins.add(a)
             ends.add(b)
-    return np.sort(np.array(out[:room], np.uint32))
+    return np.sort(np.array(out[:room], pairs.dtype))
 
 
 def _member(pairs: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys may be among the pairs, by one bit of their hashes: few others are."""
-    slot = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(12)
+    slot = (lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(12)) if keys.dtype == np.uint32 else (lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44))
     table = np.zeros(1 << 20, bool)
     table[slot(pairs)] = True
     return table[slot(keys)]
@@ -229,7 +237,7 @@ def _grammar_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _pack_block(shard: int, block: int, docs: list, parts: list[bytes], vocabulary: int) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(parts), "<u4")
     rules, lengths, symbols = grammar(ids, vocabulary)
-    width = 2 if vocabulary + len(rules) <= MOST_SYMBOLS else 4
+    width = 2 if vocabulary + len(rules) <= NARROW else 4
     nulls = sum(d is None for d in docs)  # they come first
     size = np.concatenate([np.ones(vocabulary, np.int64), lengths.astype(np.int64)])[symbols]
     row = {
