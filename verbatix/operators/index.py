@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LEAST_PREFIX, is_term_col, query_stems, query_stems_col, stem_col, words_col
-from ..shared import materialise
+from ..shared import materialise, spread
 
 
 def words_of(passages: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def vocabulary(words: DataFrame) -> DataFrame:
 def postings(passages: DataFrame) -> DataFrame:
     """passage_id, term, in_text and in_heading (counts)."""
     count = lambda field: F.sum((F.col("in_heading") == field).cast("long"))
-    return words_of(passages).groupBy("passage_id", stem_col(F.col("word")).alias("term")).agg(count(0).alias("in_text"), count(1).alias("in_heading"))
+    return words_of(spread(passages)).groupBy("passage_id", stem_col(F.col("word")).alias("term")).agg(count(0).alias("in_text"), count(1).alias("in_heading"))
 
 
 def passage_lengths(posted: DataFrame) -> DataFrame:

@@ -270,6 +270,11 @@ SQL: dict[str, str] = {
     "bm25_search_group": _search([(0, corpus.SEARCHES[1][1])], 10, "group_id = 'fr'", capped=False),
     "bm25_search_topic": _search([corpus.SEARCHES[0]], 6, "passage_id IN (SELECT passage_id FROM tags WHERE topic = 'things')", extra="kww kwv kw kwn kwm tags".split()),
     "bm25_batch": _search(corpus.SEARCHES, 5),
+    "bm25_block_max": _search(corpus.SEARCHES, 5),
+    "full_hits": _with([*_HITS, *"kww kwv kw kwn kwm tags".split()], _ranking(5) + """
+      SELECT query_id, rank, passage_id, r.document_id, r.group_id, round(score, 6) AS score, coverage, ord, p.text, heading, FALSE AS is_navigation, 0 AS section_ord, title, source_url, checksum, topic_tags
+      FROM r JOIN (SELECT passage_id, ord, text, heading FROM p) p USING (passage_id) JOIN (SELECT document_id, title, source_url, checksum FROM d) USING (document_id)
+      LEFT JOIN (SELECT passage_id, string_agg(topic, ',' ORDER BY topic) AS topic_tags FROM tags GROUP BY passage_id) USING (passage_id)""", q=_queries()),
     "search_not_found": _search([(0, corpus.SEARCHES[5][1])], 10),
     "coverage_filter": _with(_HITS, f"SELECT query_id, passage_id, round(score, 6) AS score, coverage FROM hit WHERE coverage >= {_NEED}", q=_queries()),
     "score_floor": _with(_HITS, _CANDIDATES + " SELECT query_id, passage_id, candidate, round(score, 6) AS score FROM c QUALIFY score >= 0.25 * max(score) OVER (PARTITION BY query_id)", q=_queries()),

@@ -13,34 +13,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import GROUPS, TOPICS, Group, Topic, require_group, require_groups, require_int, require_query, require_topic
+from ..functions.text import query_stems_col
 from ..operators import ranking, statistics, tagging
+from ..operators.blockmax import BlockIndex, top_hits
 from ..operators.index import Index, match
+from ..shared import materialise
 
 HIT = ("query_id", "rank", "passage_id", "document_id", "group_id", "score", "coverage")
 
 
-def candidates(index: Index, queries: DataFrame | tuple[int, str], limit: int, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
+def candidates(index: Index | BlockIndex, queries: DataFrame | tuple[int, str], limit: int, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """The best ``4 * limit`` passages of each query after the filters on group and topic. Term statistics
-    are those of the whole index."""
+    are those of the whole index. A block-max index scores only the blocks that can hold one of them."""
+    k = limit * ranking.CANDIDATES
+    rank = lambda hits: ranking.top(ranking.penalise_navigation(hits), k, name="candidate")
+    if isinstance(index, BlockIndex):
+        if isinstance(queries, tuple):
+            queries = index.blocks.sparkSession.createDataFrame([queries], "query_id int, query string")
+        return top_hits(index, queries, k, rank, group_id=group_id, tagged=tagged)
     hits = match(index, queries)
     if group_id is not None:
         hits = hits.filter(F.col("group_id") == group_id)
     if tagged is not None:
         hits = hits.join(tagged.select("passage_id").distinct(), "passage_id", "left_semi")
-    return ranking.top(ranking.penalise_navigation(hits), limit * ranking.CANDIDATES, name="candidate")
+    return rank(hits)
 
 
-def search_batch(index: Index, queries: DataFrame | tuple[int, str], limit: int = 10, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
+def search_batch(index: Index | BlockIndex, queries: DataFrame | tuple[int, str], limit: int = 10, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """HIT columns for each query of ``queries`` (query_id, query): candidates, coverage, floor, then the
-    cap by group (unless one group is asked for) and the limit."""
+    cap by group (unless one group is asked for) and the limit. Queries of the same terms are answered once."""
     require_int("limit", limit, 1, 25)
+    if isinstance(queries, tuple):
+        return _ranked(index, queries, limit, group_id, tagged)
+    asked = materialise(queries.select("query_id", "query", query_stems_col(F.col("query")).alias("_stems")), "asked")
+    same = asked.groupBy("_stems").agg(F.min("query_id").alias("_first"))
+    first = asked.join(same.select(F.col("_first").alias("query_id")), "query_id", "left_semi").select("query_id", "query")
+    found = _ranked(index, first, limit, group_id, tagged).withColumnRenamed("query_id", "_first")
+    return found.join(asked.join(same, "_stems").select("_first", "query_id"), "_first").select(*HIT)
+
+
+def _ranked(index: Index | BlockIndex, queries: DataFrame | tuple[int, str], limit: int, group_id: str | None, tagged: DataFrame | None) -> DataFrame:
     found = ranking.above_floor(ranking.covered(candidates(index, queries, limit, group_id, tagged)))
     if group_id is None:
         found = ranking.cap_groups(found, limit)
     return ranking.top(found, limit).select(*HIT)
 
 
-def search(index: Index, query: str, limit: int = 10, group: str | None = None, topic: str | None = None, tags: DataFrame | None = None, groups: tuple[Group, ...] = GROUPS, topics: tuple[Topic, ...] = TOPICS) -> DataFrame:
+def search(index: Index | BlockIndex, query: str, limit: int = 10, group: str | None = None, topic: str | None = None, tags: DataFrame | None = None, groups: tuple[Group, ...] = GROUPS, topics: tuple[Topic, ...] = TOPICS) -> DataFrame:
     """One query by a person: labels are resolved, and an unknown one is an error."""
     require_query(query)
     group_id = require_group(group, groups) if group else None
@@ -51,22 +70,19 @@ def search(index: Index, query: str, limit: int = 10, group: str | None = None,
     return search_batch(index, (0, query), limit, group_id, tagged)
 
 
-def full_hits(index: Index, hits: DataFrame, documents: DataFrame, sections: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
+def full_hits(index: Index | BlockIndex, hits: DataFrame, documents: DataFrame, sections: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
     """``hits`` with all that is known of them: the passage (text, place and offsets), its section (heading, and
     ``section_ord``, 0 where there is none), its document's columns and its topic tags, joined by commas, null without any.
-    Hits are at most a limit for each query, and are sent to the tables that they are looked up in."""
-    found = hits.select("query_id", "rank", "passage_id", "score", "coverage")
-    out = index.passages.join(F.broadcast(found), "passage_id")
+    Spark chooses the joins by the size of ``hits``, which grows with the number of queries."""
+    out = index.passages.join(hits.select("query_id", "rank", "passage_id", "score", "coverage"), "passage_id")
     if sections is not None and "section_id" in out.columns:
-        of_section = sections.select("section_id", F.col("ord").alias("section_ord"))
-        out = out.join(of_section.join(F.broadcast(out.select("section_id").distinct()), "section_id", "left_semi"), "section_id", "left")
+        out = out.join(sections.select("section_id", F.col("ord").alias("section_ord")), "section_id", "left")
     else:
         out = out.withColumn("section_ord", F.lit(None).cast("int"))
     known = [c for c in documents.columns if c not in ("text", "group_id") and (c == "document_id" or c not in out.columns)]
-    wanted = F.broadcast(out.select("document_id").distinct())
-    out = out.join(documents.select(*known).join(wanted, "document_id", "left_semi"), "document_id")
+    out = out.join(documents.select(*known), "document_id")
     if tags is not None:
-        own = tags.join(F.broadcast(found.select("passage_id").distinct()), "passage_id", "left_semi")
+        own = tags.join(hits.select("passage_id").distinct(), "passage_id", "left_semi")
         out = out.join(own.groupBy("passage_id").agg(F.concat_ws(",", F.sort_array(F.collect_set("topic"))).alias("topic_tags")), "passage_id", "left")
     return out.withColumn("section_ord", F.coalesce("section_ord", F.lit(0)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import corpus
 from .functions import text as fn
-from .operators import chunking, citations, index, ranking, statistics, tagging
+from .operators import blockmax, chunking, citations, index, ranking, statistics, tagging
 from .plans import catalog, search
 from .sources import files, html, pages
 
@@ -125,6 +125,19 @@ def bm25_batch(spark, sf_dir):
     return _shown(search.search_batch(_index(spark, sf_dir), _searches(spark), limit=5))
 
 
+def bm25_block_max(spark, sf_dir):
+    """The same batch by the block-max index."""
+    return _shown(search.search_batch(blockmax.BlockIndex.of(_index(spark, sf_dir)), _searches(spark), limit=5))
+
+
+def full_hits(spark, sf_dir):
+    """Hits with passage, document and topic tags."""
+    docs, one = _documents(spark, sf_dir), _index(spark, sf_dir)
+    hits = search.search_batch(one, _searches(spark), limit=5)
+    found = search.full_hits(one, hits, docs.select("document_id", "title", "source_url", "checksum"), tags=_tags(spark, one.postings))
+    return _shown(found).select("query_id", "rank", "passage_id", "document_id", "group_id", "score", "coverage", "ord", "text", "heading", "is_navigation", "section_ord", "title", "source_url", "checksum", "topic_tags")
+
+
 def search_not_found(spark, sf_dir):
     return _shown(search.search(_index(spark, sf_dir), corpus.SEARCHES[5][1]))
 
@@ -379,7 +392,7 @@ def truncated(spark, sf_dir):
 
 _NAMES = """
 tokenize_counts stem_vocabulary stem_convergence match_terms postings term_stats doc_lengths corpus_stats
-bm25_scores bm25_search bm25_search_documents bm25_search_group bm25_search_topic bm25_batch search_not_found
+bm25_scores bm25_search bm25_search_documents bm25_search_group bm25_search_topic bm25_batch bm25_block_max full_hits search_not_found
 coverage_filter score_floor group_cap topic_search compare_groups evidence_levels
 tag_topics passage_tags topic_counts topic_counts_group topic_group_crosstab untagged_count group_stats
 coverage_imbalance corpus_meta list_documents list_groups list_sources group_profile group_sources topic_catalog
