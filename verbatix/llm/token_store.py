@@ -88,7 +88,7 @@ def grammar(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, n
                 kind, bits = np.uint64, 32
                 spent = {(pair >> 16) << 32 | pair & 0xFFFF for pair in spent}
         at = np.flatnonzero(open_)
-        keys = (seq[at].astype(kind) << kind(bits)) | seq[after[at]]
+        keys = (seq[at].astype(kind, copy=False) << kind(bits)) | seq[after[at]]
         pairs, seen = _counted(keys, spent)
         if not len(pairs):
             break
