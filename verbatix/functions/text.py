@@ -86,6 +86,24 @@ def truncate_col(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(cut, rf"{SPACE}+\z", ""), F.lit("…")))
 
 
+def fixed_col(number: Column, digits: int = 3) -> Column:
+    """A double at so many decimals, as its exact binary value rounds: half up, away from zero for negative numbers. (SQL's
+    ``round`` works on the shortest decimal form: it makes 1.005 of 1.0045, which is less than that.)
+
+    Below one, a double that does not round to zero has no bit beyond the 66th. These are taken in three parts,
+    all by exact operations, and the rest is whole numbers."""
+    size, part = F.abs(number), float(1 << 22)
+    first = (size - F.floor(size)) * part
+    second = (first - F.floor(first)) * part
+    third = (second - F.floor(second)) * part
+    whole = lambda x: x.cast("decimal(38,0)")
+    exact = lambda n: whole(F.lit(str(n)))
+    bits = (whole(F.floor(first)) * exact(1 << 44)) + (whole(F.floor(second)) * exact(1 << 22)) + whole(F.floor(third))
+    half_up = F.call_function("div", bits * exact(10**digits) + exact(1 << 65), exact(1 << 66))
+    rounded = (F.floor(size) * 10**digits + half_up).cast("double") / float(10**digits)
+    return F.when(size < float(1 << 42), F.when(number < 0, -rounded).otherwise(rounded)).otherwise(number)
+
+
 # ---------------------------------------------------------------------------------------------
 # words, terms, stems
 

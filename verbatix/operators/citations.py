@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..domain import GROUPS, Group
-from ..functions.text import collapse_space_col
+from ..functions.text import collapse_space_col, fixed_col
 
 # Fixed value: the notice that goes with every result.
 NOTICE = (
@@ -51,7 +51,7 @@ def payload(hits: DataFrame, groups: DataFrame, occasion: str = "présidentielle
         citation(F.col("short_name"), F.col("representative"), F.col("title"), F.col("heading"), F.lit(occasion), F.col("source_url")).alias("citation"),
     ]
     if "score" in hits.columns:
-        columns.append(F.round("score", 3).alias("score"))
+        columns.append(fixed_col(F.col("score")).alias("score"))
     return joined.select(*columns)
 
 

@@ -325,9 +325,9 @@ SQL: dict[str, str] = {
     "chunk_summary": _with(_CHUNKS, """SELECT document_id, n_sections, coalesce(n_passages, 0) AS n_passages, avg_chars, coalesce(n_short, 0) AS n_short
       FROM (SELECT document_id, count(*) AS n_sections FROM heads GROUP BY document_id) LEFT JOIN (SELECT document_id, count(*) AS n_passages, avg(char_end - char_start) AS avg_chars, count(*) FILTER (WHERE char_end - char_start < 120) AS n_short FROM chunk GROUP BY document_id) USING (document_id)"""),
     "chunk_search": _with([*_CHUNKS, *"p w v post len stats q qw qv qt found idf hit kww kwv kw kwn kwm tags g".split()], _ranking(5) + """
-      SELECT query_id, rank, passage_id, group_name, group_id, representative, p.text AS quote, heading, coalesce(topic_tags, '') AS topic_tags, title AS document_title, source_url, source_type,
+      SELECT query_id, rank, passage_id, score, group_name, group_id, representative, p.text AS quote, heading, coalesce(topic_tags, '') AS topic_tags, title AS document_title, source_url, source_type,
         concat_ws(' — ', short_name || ' (' || representative || ')', nullif(title, ''), CASE WHEN heading <> '' THEN '« ' || trim(regexp_replace(heading, '\\s+', ' ', 'g')) || ' »' END, '2022', source_url) AS citation
-      FROM (SELECT query_id, rank, passage_id FROM r) JOIN p USING (passage_id) JOIN (SELECT document_id, title, source_url, source_type FROM d) USING (document_id) JOIN g USING (group_id)
+      FROM (SELECT query_id, rank, passage_id, round(score, 3) AS score FROM r) JOIN p USING (passage_id) JOIN (SELECT document_id, title, source_url, source_type FROM d) USING (document_id) JOIN g USING (group_id)
       LEFT JOIN (SELECT passage_id, string_agg(topic, ',' ORDER BY topic) AS topic_tags FROM tags GROUP BY passage_id) USING (passage_id)""", q=_queries(),
       p="""SELECT document_id || '#c' || c.ord AS passage_id, document_id, group_id, c.ord, substr(text, char_start::BIGINT + 1, (char_end - char_start)::BIGINT) AS text, heading
         FROM chunk c JOIN d USING (document_id) JOIN heads h USING (document_id) WHERE h.ord = home"""),

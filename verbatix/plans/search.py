@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import GROUPS, TOPICS, Group, Topic, require_group, require_groups, require_int, require_query, require_topic
-from ..functions.text import query_stems_col
+from ..functions.text import fixed_col, query_stems_col
 from ..operators import ranking, statistics, tagging
 from ..operators.blockmax import BlockIndex, top_hits
 from ..operators.index import Index, match
@@ -117,7 +117,7 @@ def compare(index: Index, tags: DataFrame, topic: str, groups_asked: list[str] |
     # at most so many passages for each group asked for
     shown = index.passages.select("passage_id", "text", "heading").join(F.broadcast(hits.drop("text")), "passage_id")
     best = shown.groupBy("group_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "passage_id", "text", "heading", F.round("score", 3).alias("score")))).alias("passages"),
+        F.sort_array(F.collect_list(F.struct("rank", "passage_id", "text", "heading", fixed_col(F.col("score")).alias("score")))).alias("passages"),
         F.min_by("matched_keywords", "rank").alias("matched_keywords"),
     )
     stats = statistics.group_stats(index.passages, tags).select("group_id", "n_passages", "n_documents")

@@ -325,8 +325,8 @@ def chunk_search(spark, sf_dir):
     tags = _tags(spark, one.postings)
     found = hits.select("query_id", "rank", "passage_id", "score").join(tagging.tag_arrays(cut.drop("ord"), tags), "passage_id").join(docs.select("document_id", "title", "source_url", "source_type"), "document_id")
     shown = citations.payload(found, citations.group_table(spark, corpus.GROUPS), "2022")
-    ranked = hits.select("query_id", "rank", "passage_id")
-    return ranked.join(shown.dropDuplicates(["passage_id"]), "passage_id").withColumn("topic_tags", F.concat_ws(",", "topic_tags")).drop("score")
+    ranked = hits.select("query_id", "rank", "passage_id", fn.fixed_col(F.col("score")).alias("score"))
+    return ranked.join(shown.drop("score").dropDuplicates(["passage_id"]), "passage_id").withColumn("topic_tags", F.concat_ws(",", "topic_tags"))
 
 
 def empty_groups(spark, sf_dir):

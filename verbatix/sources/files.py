@@ -108,12 +108,61 @@ def size_report(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def write_corpus(tables: dict[str, DataFrame], path: str) -> None:
-    """Replaces the tables of a corpus; chunks are parted by group, so that a group filter prunes files."""
-    for name, table in tables.items():
-        writer = table.write.mode("overwrite")
-        (writer.partitionBy("group_id") if name == "chunks" and "group_id" in table.columns else writer).parquet(f"{path}/{name}")
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The names of the files of a folder, which are numbers."""
+    place, files = _folder(spark, path)
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(place)) if files.exists(place) else []
 
 
-def read_corpus(spark: SparkSession, path: str, names: Sequence[str] = ("documents", "sections", "chunks", "chunk_topics", "corpus_meta")) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+def _create(spark: SparkSession, path: str) -> bool:
+    """Whether an empty file could be made: of several that try, one can."""
+    place, files = _folder(spark, path)
+    return files.createNewFile(place)
+
+
+def write_corpus(tables: dict[str, DataFrame], path: str) -> int:
+    """Writes the tables of a corpus as a new snapshot and returns its number; chunks are parted by group, so that a group
+    filter prunes files. A number is claimed first, so two writers never share a folder. When all tables are written, one
+    empty file makes the snapshot the one that is read: readers see all of it or none, and what fails on the way
+    leaves the corpus as it was."""
+    spark = next(iter(tables.values())).sparkSession
+    number = max([0, *_numbers(spark, f"{path}/claimed")]) + 1
+    while not _create(spark, f"{path}/claimed/{number}"):
+        number += 1
+    for name, table in tables.items():
+        writer = table.write.mode("overwrite")
+        (writer.partitionBy("group_id") if name == "chunks" and "group_id" in table.columns else writer).parquet(f"{path}/snapshots/{number}/{name}")
+    _create(spark, f"{path}/complete/{number}")
+    return number
+
+
+def snapshots(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete snapshots, the one that is read last."""
+    return _numbers(spark, f"{path}/complete")
+
+
+def read_corpus(spark: SparkSession, path: str, names: Sequence[str] = ("documents", "sections", "chunks", "chunk_topics", "corpus_meta"), snapshot: int | None = None) -> dict[str, DataFrame]:
+    """The tables of one snapshot, the latest complete one by default: tables read together belong together."""
+    known = snapshots(spark, path)
+    number = snapshot if snapshot is not None else max(known, default=None)
+    if number not in known:
+        raise FileNotFoundError(f"no complete snapshot {number if number is not None else ''} at {path}")
+    return {name: spark.read.parquet(f"{path}/snapshots/{number}/{name}") for name in names}
+
+
+def expire_snapshots(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Drops all complete snapshots but the ``keep`` latest, and what was left unfinished before these; returns the numbers of
+    those that are gone. No reader finds a snapshot any more before its files go; one that has just resolved it needs ``keep`` to be
+    two or more."""
+    kept = snapshots(spark, path)[-max(1, keep) :]
+    gone = [n for n in _numbers(spark, f"{path}/snapshots") if kept and n < kept[0]]
+    for folder in ("complete", "snapshots"):
+        for number in gone:
+            place, files = _folder(spark, f"{path}/{folder}/{number}")
+            files.delete(place, True)
+    return gone
