@@ -155,6 +155,36 @@ def test_html():
     assert html.html_to_text("") == ("", "")
 
 
+def test_html_of_end_tags_that_close_nothing():
+    deep = "<article>" + "<div>" * 4000 + "</b>" * 20_000 + "<p>" + "a" * 401 + "</p></article>"
+    began = time.time()
+    assert html.html_to_text(deep)[1] == "a" * 401 and time.time() - began < 5
+    assert html.html_to_text("<body><div><p>a</span></div><p>b</body>")[1] == "a\nb"
+
+
+def test_pages_of_files(spark, tmp_path):
+    """Files of odd names, with and without a last form feed, empty pages and files, and one that many tasks read."""
+    rng = random.Random(6)
+    long = "\f".join(f"page {i} " + "é𝄞 x\n" * rng.randint(0, 40) for i in range(4_000))
+    texts = {"a b%20ü": "one\ftwo\f", "plain": "one\ntwo", "empty": "", "feed": "\f", "feeds": "\f\fx\f\f", "long": long, "long feed": long + "\f", "mark": "\ufeffone\ftwo\f"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_text(text, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        rows = pages.read_pages(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {}
+    for r in rows:
+        got.setdefault(r["document_id"], {})[r["page"]] = r["text"]
+        assert r["n_pages"] == texts[r["document_id"]].count("\f") + 1
+    assert len(rows) == sum(map(len, got.values()))
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: t.removeprefix("\ufeff").split("\f") for k, t in texts.items() if t}
+    documents = spark.createDataFrame([("one", "Titre\nune phra-\nse.\fdeux\f")], "document_id string, text string")
+    assert pages.extract(pages.pages_of(documents)).collect() == pages.extract(documents).collect()
+
+
 def brute_ngrams(document, least):
     """Every sequence of every line, page by page."""
     pages_of = {}

@@ -3,7 +3,7 @@ table expressions; a twin takes the ones that it needs."""
 
 from __future__ import annotations
 
-from . import corpus, queries
+from . import corpus
 from .functions.text import STOPWORDS, SUFFIXES
 from .operators.ranking import EVIDENCE
 from .plans.catalog import ARCHIVED
@@ -257,9 +257,8 @@ SQL: dict[str, str] = {
       FROM d LEFT JOIN (SELECT passage_id, count(*) AS n_terms, count(DISTINCT term) AS n_stems FROM w JOIN v USING (word) GROUP BY passage_id) ON passage_id = document_id""",
       p="SELECT document_id AS passage_id, text, '' AS heading FROM d"),
     "stem_vocabulary": _with("d cut p w v".split(), "SELECT word, term FROM v"),
-    "stem_convergence": _with(["x", "s"], "SELECT group_no, string_agg(DISTINCT term, '+' ORDER BY term) AS stems, count(DISTINCT term) = 1 AS converges FROM x JOIN s USING (word) GROUP BY group_no",
-      x=f"SELECT * FROM ({_values((n, w) for n, g in enumerate(queries.VARIANTS) for w in g.split())}) AS x(group_no, word)", s=_stemmed("x")),
-    "match_terms": _with("q qw qv qt".split(), f"SELECT query_id, q, stem, is_prefix, n_terms, ({_NEED})::INTEGER AS required FROM qt", q=_queries()),
+    "stem_convergence": _with("d cut p w v".split(), "SELECT left(word, 6) AS group_no, string_agg(DISTINCT term, '+' ORDER BY term) AS stems, count(DISTINCT term) = 1 AS converges FROM v WHERE length(word) >= 6 GROUP BY 1"),
+    "match_terms": _with("q qw qv qt".split(), f"SELECT query_id, q, stem, is_prefix, n_terms, ({_NEED})::INTEGER AS required FROM qt", q="SELECT item_id AS query_id, text AS query FROM benchmark"),
     "postings": _with(_POSTINGS, "SELECT * FROM post"),
     "term_stats": _with([*_POSTINGS, "terms"], "SELECT * FROM terms"),
     "doc_lengths": _with([*_POSTINGS, "len"], "SELECT * FROM len"),
@@ -310,7 +309,7 @@ SQL: dict[str, str] = {
     "topic_catalog": _with(_TAGS, f"SELECT topic, ordinal, label, description, keywords, coalesce(n, 0) AS n_passages FROM ({_values((t.id, n, t.label, t.description, ','.join(t.keywords)) for n, t in enumerate(corpus.TOPICS))}) AS x(topic, ordinal, label, description, keywords) LEFT JOIN (SELECT topic, count(*) AS n FROM tags GROUP BY topic) USING (topic)"),
     "blocks": _with("d cut".split(), "SELECT document_id, ord::INTEGER AS ord, trim(line, ' ' || chr(9) || chr(13)) AS text, start::INTEGER AS start, (start + length(line))::INTEGER AS \"end\" FROM cut"),
     "heading_flags": _with("d cut".split(), f"SELECT document_id, ord::INTEGER AS ord, {_HEADING} AS is_heading FROM (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM cut)"),
-    "navigation_flags": f"SELECT no, len(regexp_extract_all(text, '[0-9]{{1,3}}\\s*_\\s*[A-ZÀ-Ý]')) >= 2 AS is_navigation FROM ({_values(enumerate(queries.NAVIGATION))}) AS x(no, text)",
+    "navigation_flags": _with("d cut".split(), "SELECT document_id, ord::INTEGER AS ord, len(regexp_extract_all(replace(trim(line, ' ' || chr(9) || chr(13)), '. ', ' 7 _ '), '[0-9]{1,3}\\s*_\\s*[A-ZÀ-Ý]')) >= 2 AS is_navigation FROM cut"),
     "passage_context": _with("d cut p".split(), """SELECT c.passage_id AS wanted_id, p.passage_id, p.document_id, p.ord, CASE WHEN p.ord = c.ord THEN 'self' WHEN p.ord < c.ord THEN 'before' ELSE 'after' END AS position, p.text
       FROM p JOIN (SELECT passage_id, document_id, ord FROM p) c ON p.document_id = c.document_id AND p.ord BETWEEN c.ord - 1 AND c.ord + 1"""),
     "neighbour_window": _with("d cut p".split(), "SELECT passage_id, ord, string_agg(passage_id, ',') OVER (PARTITION BY document_id ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM p"),
@@ -342,9 +341,10 @@ SQL: dict[str, str] = {
     "paged_text": _with([*_HEADERS, *"clean token joined kept flag paragraph".split()], """SELECT d.document_id, coalesce(string_agg(paragraph.text, chr(10) ORDER BY page, no) FILTER (WHERE paragraph.text <> ''), '') || chr(10) AS text
       FROM d LEFT JOIN paragraph USING (document_id) GROUP BY d.document_id"""),
     "checksums": "SELECT page_id, sha256(html) AS sha256, strlen(html) AS bytes, strlen(html) >= 2048 AS has_format FROM pages",
-    "alias_resolution": f"""WITH x AS (SELECT *, strip_accents(lower(trim(label))) AS key FROM ({_values((x,) for x in queries.LABELS)}) AS x(label)),
+    "alias_resolution": _with(["d"], f""", x AS (SELECT *, strip_accents(lower(trim(label))) AS key FROM (SELECT unnest([' ' || upper(group_id) || ' ',
+        CASE group_id WHEN 'fr' THEN 'FRANCAIS' WHEN 'de' THEN ' Allemand' WHEN 'es' THEN 'espanol ' ELSE 'Anglais' END, collection]) AS label FROM d)),
       a AS (SELECT strip_accents(lower(name)) AS key, arg_min(group_id, (kind, n)) AS group_id FROM ({_values([(g.id, n, 0, g.id) for n, g in enumerate(corpus.GROUPS)] + [(g.id, n, 1, x) for n, g in enumerate(corpus.GROUPS) for x in g.aliases])}) AS y(group_id, n, kind, name) GROUP BY 1)
-      SELECT label, group_id FROM x LEFT JOIN a USING (key)""",
+      SELECT label, group_id FROM x LEFT JOIN a USING (key)"""),
     "citations_of_documents": _with("d g".split(), """SELECT document_id, concat_ws(' — ', short_name || ' (' || representative || ')', nullif(title, ''),
       CASE WHEN collection <> 'src5' AND title <> '' THEN '« ' || trim(regexp_replace(title, '\\s+', ' ', 'g')) || ' »' END, '2022', source_url) AS citation FROM d JOIN g USING (group_id)"""),
     "truncated": _with(["d"], """SELECT document_id, CASE WHEN length(text) <= 80 THEN text ELSE rtrim(CASE WHEN place > 48 THEN left(h, place) ELSE h END, ' ' || chr(10)) || '…' END AS short

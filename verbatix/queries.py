@@ -58,23 +58,15 @@ def stem_vocabulary(spark, sf_dir):
     return index.vocabulary(index.words_of(_passages(spark, sf_dir)))
 
 
-VARIANTS = (  # fixed values: inflections that should share a stem, accent-free
-    "retraite retraites", "immigration immigre immigres", "ecologie ecologiste ecologistes", "hopital hopitaux", "policier policiers", "travailleur travailleurs",
-    "salaire salaires", "impot impots", "cotisation cotisations", "europeen europeenne europeens europeennes",
-    "national nationaux nationale nationales", "enseignant enseignants enseignante", "fiscalite fiscalites", "logement logements",
-    "pension pensions", "nucleaire nucleaires", "chomeur chomeurs", "gouvernement gouvernements", "republique republiques",
-    "etranger etrangers etrangere", "renouvelable renouvelables", "magistrat magistrats",
-)
-
-
 def stem_convergence(spark, sf_dir):
-    rows = [(n, w) for n, group in enumerate(VARIANTS) for w in group.split()]
-    return statistics.stem_convergence(spark.createDataFrame(rows, "group_no int, word string"))
+    """Words that begin alike: whether they share a stem."""
+    words = index.words_of(_passages(spark, sf_dir)).select("word").distinct().filter(F.length("word") >= 6)
+    return statistics.stem_convergence(words.select(F.substring("word", 1, 6).alias("group_no"), "word"))
 
 
 def match_terms(spark, sf_dir):
-    """The analysed queries: stems in order, prefix flags and the coverage that they require."""
-    terms = index.query_terms(_searches(spark))
+    """The benchmark's items as queries: stems in order, prefix flags and the coverage that they require."""
+    terms = index.query_terms(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
     return terms.select("query_id", "q", "stem", "is_prefix", "n_terms", fn.required_coverage_col(F.col("n_terms")).alias("required"))
 
 
@@ -265,12 +257,11 @@ def heading_flags(spark, sf_dir):
     return found.select("document_id", "ord", chunking.is_heading_col(F.col("text"), F.col("title")).alias("is_heading"))
 
 
-NAVIGATION = ("12 _ Santé 13 _ Travail", "12 _ Santé", "3_A 4 _B 5 _ c", "", "Le 12 mai _ fin")
-
-
 def navigation_flags(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(NAVIGATION)), "no int, text string")
-    return rows.select("no", chunking.is_navigation_col(F.col("text")).alias("is_navigation"))
+    """Lines whose sentences are numbered as entries of a table of contents are."""
+    lines = chunking.blocks(_documents(spark, sf_dir))
+    entries = F.replace("text", F.lit(". "), F.lit(" 7 _ "))
+    return lines.select("document_id", "ord", chunking.is_navigation_col(entries).alias("is_navigation"))
 
 
 def passage_context(spark, sf_dir):
@@ -372,11 +363,11 @@ def paged_text(spark, sf_dir):
     return pages.extract(corpus.paged(_documents(spark, sf_dir)))
 
 
-LABELS = (" Anglais ", "FRANÇAIS", "de", "Español", "espanol", "klingon", "")
-
-
 def alias_resolution(spark, sf_dir):
-    labels = spark.createDataFrame([(x,) for x in LABELS], "label string")
+    """The group of each document's language as written in several ways, and of its source, which names none."""
+    lang = F.col("group_id")
+    named = F.when(lang == "fr", "FRANCAIS").when(lang == "de", " Allemand").when(lang == "es", "espanol ").otherwise("Anglais")
+    labels = _documents(spark, sf_dir).select(F.explode(F.array(F.concat(F.lit(" "), F.upper(lang), F.lit(" ")), named, "collection")).alias("label"))
     return catalog.resolve_labels(labels, citations.group_table(spark, corpus.GROUPS))
 
 

@@ -10,6 +10,7 @@ declaration is a comment.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -93,27 +94,33 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.root = self.at = Element("", {}, None)
+        self.open: Counter[str] = Counter()  # elements between the root and here, by tag
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
 
     def handle_starttag(self, tag, attrs):
         if self.at.tag in CLOSED_BY and tag in CLOSED_BY[self.at.tag]:
-            self.at = self.at.parent
+            self.leave()
         one = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(one)
         if tag not in VOID:
             self.at = one
+            self.open[tag] += 1
+
+    def leave(self) -> str:
+        tag = self.at.tag
+        self.open[tag] -= 1
+        self.at = self.at.parent
+        return tag
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Element(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        one = self.at
-        while one is not None and one.tag != tag:
-            one = one.parent
-        if one is not None and one.parent is not None:
-            self.at = one.parent
+        if self.open[tag]:  # else it closes nothing
+            while self.leave() != tag:
+                pass
 
     def handle_data(self, data):
         self.at.children.append(data)

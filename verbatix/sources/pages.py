@@ -6,12 +6,14 @@ that stand on 40 % of a document's pages: hashes of three words are counted firs
 where neighbouring ones are common. Paragraphs are runs of lines between breaks; as a break needs no more than the
 line before, and every page ends a paragraph, they are numbered by a running sum within a page.
 
+Pages come from texts with form feeds, or from files that are read page by page.
+
 A null text has no pages; a document of fewer than four pages has no running headers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
@@ -102,11 +104,40 @@ def collapse_doubled_capitals_col(line: Column) -> Column:
     return F.when(_capitals(line, 6, 0.6), F.array_join(let(halved, single), " ")).otherwise(line)
 
 
-def paged_lines(documents: DataFrame) -> DataFrame:
-    """document_id, n_pages, page, n and line: form feeds part pages. Lines are cleaned, letter-spaced ones dropped,
-    blank ones kept, and a blank one ends every page. They are cleaned once, into a table that all later steps read."""
+def pages_of(documents: DataFrame) -> DataFrame:
+    """document_id, n_pages, page and text of documents whose text has a form feed between pages."""
     pages = documents.filter(F.col("text").isNotNull()).select("document_id", F.split("text", "\f", -1).alias("pages"))
-    pages = spread(pages.select("document_id", F.size("pages").alias("n_pages"), F.posexplode("pages").alias("page", "text")))
+    return pages.select("document_id", F.size("pages").alias("n_pages"), F.posexplode("pages").alias("page", "text"))
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of the text files of a folder, whose names without ``.txt`` are the documents. The scan cuts at form feeds and
+    splits files by bytes: no file is one value, and one file may be read by many tasks. Pages are numbered by their
+    order in a split and the pages of the splits before. Spark lists no file without bytes: it is no document."""
+    file = F.col("_metadata.file_path").alias("_file")
+    rows = spark.read.option("lineSep", "\f").text(folder).select(file, F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    rows = materialise(rows, "pages")
+    splits = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"), F.sum(F.octet_length("text")).alias("_bytes"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialise(splits.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")), "splits")
+    placed = rows.join(splits.select("_file", "_start", "_shift"), ["_file", "_start"]).select("_file", (F.col("_id") + F.col("_shift")).cast("int").alias("page"), "text")
+    # a last page without text has no row in the scan: that of a file which is as long as its pages and a feed for each,
+    # but for a byte order mark
+    listed = spark.read.format("binaryFile").load(folder).select(file, F.col("length").alias("_length"))
+    sizes = splits.groupBy("_file").agg(F.sum("_n").alias("_n"), F.sum("_bytes").alias("_bytes"))
+    sizes = listed.join(sizes, "_file")
+    ends = (F.col("_bytes") + F.col("_n")).isin(F.col("_length"), F.col("_length") - 3)
+    sizes = sizes.select("_file", (F.col("_n") + ends.cast("long")).cast("int").alias("n_pages"), ends.alias("_ends"), "_n")
+    last = sizes.filter("_ends").select("_file", F.col("_n").cast("int").alias("page"), F.lit("").alias("text"))
+    name = F.regexp_replace(F.url_decode(F.element_at(F.split("_file", "/"), -1)), r"\.txt$", "")
+    return placed.unionByName(last).join(sizes.select("_file", "n_pages"), "_file").select(name.alias("document_id"), "n_pages", "page", "text")
+
+
+def paged_lines(pages: DataFrame) -> DataFrame:
+    """document_id, n_pages, page, n and line of pages, or of documents whose text has form feeds. Lines are cleaned,
+    letter-spaced ones dropped, blank ones kept, and a blank one ends every page. They are cleaned once, into a table
+    that all later steps read."""
+    pages = spread(pages if "page" in pages.columns else pages_of(pages))
     # within the array, as a filter over rows would be moved below the rewrites and make them twice
     clean = F.transform(F.transform(F.split("text", "\n", -1), normalize_line_col), collapse_doubled_capitals_col)
     kept = F.filter(clean, lambda line: ~is_letter_spaced_col(line))
@@ -188,10 +219,10 @@ def reflow(lines: DataFrame) -> DataFrame:
     return rows.groupBy("document_id", "page", "paragraph").agg(F.trim(F.array_join(F.transform(texts, lambda x: x["part"]), "")).alias("text"))
 
 
-def paragraphs(documents: DataFrame) -> DataFrame:
-    """document_id, page, paragraph and text of paged documents, empty paragraphs included. What documents of any
-    length are read as; ``extract`` puts each together."""
-    lines = paged_lines(documents)
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """document_id, page, paragraph and text of pages, or of documents whose text has form feeds; empty paragraphs
+    included. What documents of any length are read as; ``extract`` puts each together."""
+    lines = paged_lines(pages)
     stripped = lines.join(boilerplate(lines), "document_id", "left")
     clean = F.array(let(strip_furniture_col(F.col("line"), F.col("furniture")), lambda x: let(join_spaced_capitals_col(x), collapse_doubled_capitals_col)))
     left = F.filter(clean, lambda x: (F.col("line") == "") | ((x != "") & ~is_page_number_col(x)))
@@ -199,8 +230,8 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     return reflow(kept).withColumn("text", collapse_doubled_capitals_col(F.col("text")))
 
 
-def extract(documents: DataFrame) -> DataFrame:
-    """document_id and text (a paragraph a line) of paged documents."""
+def extract(pages: DataFrame) -> DataFrame:
+    """document_id and text (a paragraph a line) of pages, or of documents whose text has form feeds."""
     parts = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("page", "paragraph", "text"))))
-    whole = paragraphs(documents).groupBy("document_id").agg(F.transform(parts, lambda x: x["text"]).alias("_parts"))
+    whole = paragraphs(pages).groupBy("document_id").agg(F.transform(parts, lambda x: x["text"]).alias("_parts"))
     return whole.select("document_id", F.concat(F.array_join("_parts", "\n"), F.lit("\n")).alias("text"))
