@@ -191,6 +191,10 @@ def padded(length: int, most: int) -> int:
     return min(most, 1 << (length - 1).bit_length())
 
 
+#: Sequences in a frame that goes to Spark.
+_FRAME = 512
+
+
 class _Block:
     """Examples of one task that wait to be packed together."""
 
@@ -210,26 +214,28 @@ class _Block:
         self.size += len(data) // 4
         return self.size >= self.most_tokens or len(self.parts) >= self.most_examples
 
-    def sequences(self) -> pd.DataFrame:
+    def sequences(self) -> Iterator[pd.DataFrame]:
         sizes, losses = np.array([len(p) // 4 for p in self.parts], np.int64), np.array(self.losses, np.int64)
-        rows = []
-        for found in plan_bins(sizes, losses, self.limits):
-            total, offset = sum(stop - start for _, start, stop in found), 0
-            for segment, (i, start, stop) in enumerate(found):
-                loss = max(0, stop - max(start, int(sizes[i] - losses[i])))
-                rows.append((self.docs[i], start, stop - start, self.parts[i][4 * start : 4 * stop], int(sizes[i]), loss, self.sequence, offset, segment, total, padded(total, self.limits.tokens)))
-                offset += stop - start
-            self.sequence += 1
+        bins = plan_bins(sizes, losses, self.limits)
+        for first in range(0, len(bins), _FRAME):
+            rows = []
+            for found in bins[first : first + _FRAME]:
+                total, offset = sum(stop - start for _, start, stop in found), 0
+                for segment, (i, start, stop) in enumerate(found):
+                    loss = max(0, stop - max(start, int(sizes[i] - losses[i])))
+                    rows.append((self.docs[i], start, stop - start, self.parts[i][4 * start : 4 * stop], int(sizes[i]), loss, self.sequence, offset, segment, total, padded(total, self.limits.tokens)))
+                    offset += stop - start
+                self.sequence += 1
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
         self._empty()
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
 
 def _pack(rows: Iterator[tuple[int | None, bytes, int]], block: _Block) -> Iterator[pd.DataFrame]:
     for row in rows:
         if block.add(*row):
-            yield block.sequences()
+            yield from block.sequences()
     if block.parts:
-        yield block.sequences()
+        yield from block.sequences()
 
 
 def _doc_ids(batch: pd.DataFrame) -> list[int | None]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 #: Bytes of remembered words and ids.
 MEMO_BYTES = 1 << 25
 # Letters of the Latin blocks, on whose class all libraries agree and whose lower case is one letter: not U+0130, not U+0149.
