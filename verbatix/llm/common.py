@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -112,6 +113,17 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """The same while a block of code runs its jobs; then the session is as it was."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def give_back() -> None:
     """Returns to the system what a process has freed: idle workers stay beside the next stage."""
     pa.default_memory_pool().release_unused()

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back
+from .common import Scratch, bounded_batches, give_back
 from .terms import counted_terms
 
 #: Bytes of text in a shard, one document at least, and most documents in one.
@@ -148,7 +148,8 @@ class Index:
 def build(docs: DataFrame, scratch: Scratch) -> Index:
     """The index of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_indexed, INDEX)
-    return opened(scratch.table(rows, "index"))
+    with bounded_batches(docs.sparkSession):
+        return opened(scratch.table(rows, "index"))
 
 
 def opened(rows: DataFrame) -> Index:
@@ -277,11 +278,12 @@ def search(index: Index, queries: DataFrame, scratch: Scratch, k: int = 20) -> D
     numbered = scratch.table(queries.drop("rank", "doc_id", "score").withColumn("_no", F.monotonically_increasing_id()), "queries")
     out = None
     for block, names in _blocks(numbered):
-        found = scratch.table(index.rows.mapInArrow(_looked_up(names), "shard long, term int, df long, data binary"), "found")
-        # one row for each term of the block
-        weights = {t: weight(index.n_docs, df) for t, df in found.filter("term >= 0").groupBy("term").agg(F.sum("df")).collect()}
-        lists = found.select("shard", "term", "data").repartition("shard").sortWithinPartitions("shard", "term")
-        hits = scratch.table(lists.mapInArrow(_searched(block, weights, index.n_docs, index.n_terms, k), "_no long, doc_id long, score long"), "hits")
+        with bounded_batches(numbered.sparkSession):
+            found = scratch.table(index.rows.mapInArrow(_looked_up(names), "shard long, term int, df long, data binary"), "found")
+            # one row for each term of the block
+            weights = {t: weight(index.n_docs, df) for t, df in found.filter("term >= 0").groupBy("term").agg(F.sum("df")).collect()}
+            lists = found.select("shard", "term", "data").repartition("shard").sortWithinPartitions("shard", "term")
+            hits = scratch.table(lists.mapInArrow(_searched(block, weights, index.n_docs, index.n_terms, k), "_no long, doc_id long, score long"), "hits")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = numbered.select("_no", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("score")).filter("false")
