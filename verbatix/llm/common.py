@@ -105,7 +105,7 @@ def blocks_of(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[
 
 
 #: Bytes of an Arrow batch between Spark and Python.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 
 
 def bound_batches(spark: SparkSession) -> None:
