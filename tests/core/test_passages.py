@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from verbatix.operators import chunking
 from verbatix.sources import files, html, pages
 
+from .html_by_tree import html_to_text
+
 WORD = st.text(alphabet="abcdeé", min_size=1, max_size=9)
 LINE = st.lists(WORD, max_size=200).map(" ".join).map(lambda x: re.sub("e ", "e. ", x)) | st.sampled_from(["", "  ", "Une Section", "12 _ Santé", "PARTIE DEUX", " x. "])
 
@@ -145,21 +147,58 @@ def test_running_headers(spark):
     assert "titre courant" not in text["three"] and "titre courant" in text["two"] and "none" not in text
 
 
-def test_html():
+def read_html(spark, *cases):
+    """(title, text) of each case by the operator, which the plain form has to give as well."""
+    rows = spark.createDataFrame(list(enumerate(cases)), "page_id int, html string")
+    found = {r["page_id"]: (r["title"], r["text"]) for r in html.extract(rows).collect()}
+    assert found == {k: html_to_text(c or "") for k, c in enumerate(cases)}
+    return [found[k] for k in range(len(cases))]
+
+
+def test_html(spark):
     page = "<html><head><title>A &amp; B</title></head><body><nav><p>menu</p></nav><article>{}</article><p>dehors</p><footer><p>pied</p></footer></body></html>"
     long = page.format("<h2>Titre</h2><p>" + "a" * 401 + "</p><ul><li>un<ul><li>deux</li></ul></li></ul><p>pic.twitter.com/x</p>")
-    assert html.html_to_text(long) == ("A & B", "Titre\n\n" + "a" * 401 + "\ndeux")
     short = page.format("<p>" + "a" * 399 + "</p>")
-    assert html.html_to_text(short)[1].endswith("dehors")
-    assert html.html_to_text("<p>a &amp;lt; b&#33;&#x41;</p>") == ("", "a < b!A")
-    assert html.html_to_text("") == ("", "")
+    found = read_html(spark, long, short, "<p>a &amp;lt; b&#33;&#x41;</p>", "", None)
+    assert found[0] == ("A & B", "Titre\n\n" + "a" * 401 + "\ndeux")
+    assert found[1][1].endswith("dehors")
+    assert found[2:] == [("", "a < b!A"), ("", ""), ("", "")]
 
 
-def test_html_of_end_tags_that_close_nothing():
+def test_html_of_end_tags_that_close_nothing(spark):
     deep = "<article>" + "<div>" * 4000 + "</b>" * 20_000 + "<p>" + "a" * 401 + "</p></article>"
     began = time.time()
-    assert html.html_to_text(deep)[1] == "a" * 401 and time.time() - began < 5
-    assert html.html_to_text("<body><div><p>a</span></div><p>b</body>")[1] == "a\nb"
+    found = read_html(spark, deep, "<body><div><p>a</span></div><p>b</body>")
+    assert found[0][1] == "a" * 401 and found[1][1] == "a\nb" and time.time() - began < 30
+
+
+def test_html_of_random_pages(spark):
+    """Pages of random tags, mostly not well formed, against the plain form."""
+    rng = random.Random(11)
+    tags = "div p li ul h1 h2 td table section main article br img span b".split() * 12 + ["nav", "footer", "title", "body"]
+    attributes = [*[""] * 60, ' class="content"', ' class="x entry-content"', ' id="content"', ' role="main"', ' role="banner"', ' class="Menu menu"', " hidden", ' class=""']
+    words = ["un", "deux", " ", "\n\n", "\u00a0", "&amp;", "&#233;", "&#x1F600;", "t.co/x", "a" * 150, "é𝄞", "&bogus;", "<", "<!-- x -->"]
+
+    def page():
+        parts = []
+        for _ in range(rng.randint(0, 120)):
+            tag = rng.choice(tags)
+            parts.append(rng.choice([f"<{tag}{rng.choice(attributes)}>", f"<{tag}/>", f"</{tag}>", *[rng.choice(words)] * 3]))
+        return rng.choice(["", "<title>t &amp; <b>u</b></title>"]) + "".join(parts)
+
+    found = read_html(spark, *(page() for _ in range(600)))
+    assert sum(text != "" for _, text in found) > 200 and sum(title != "" for title, _ in found) > 50
+
+
+def test_html_plan_and_columns(spark):
+    """One shuffle; repeated and null rows and columns of clashing names are kept; no rows, no rows."""
+    kind = "`_row` int, at string, tag string, `a.b` string, title string, html string"
+    rows = spark.createDataFrame([(1, "x", None, "y", "old", "<title>T</title><p>a</p>")] * 2 + [(None, None, None, None, None, None)], kind)
+    found = html.extract(rows)
+    assert found.columns == ["_row", "at", "tag", "a.b", "title", "text"]
+    assert len(re.findall(r"[-+] Exchange", found._jdf.queryExecution().executedPlan().toString())) == 1
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "x", None, "y", "T", "a")] * 2 + [(None, None, None, None, "", "")]
+    assert html.extract(rows.limit(0)).collect() == []
 
 
 def test_pages_of_files(spark, tmp_path):
@@ -235,10 +274,9 @@ def test_html_of_odd_pages(spark):
         "<p>a</p><!": "a",
         "<": "",
     }
-    rows = spark.createDataFrame(list(enumerate(cases)), "page_id int, html string")
-    assert {r["page_id"]: r["text"] for r in html.extract(rows).collect()} == dict(enumerate(cases.values()))
     deep = "<div>" * 3000 + "<p>x</p>" + "</div>" * 3000 + "<nav>y</nav>" * 3000
-    assert html.html_to_text(deep)[1] == "x"
+    found = read_html(spark, *cases, deep)
+    assert [text for _, text in found] == [*cases.values(), "x"]
 
 
 def test_long_documents(spark):
