@@ -234,6 +234,20 @@ def test_wrapped_headers_and_licence_texts(spark):
     assert got == want
 
 
+def test_licence_texts_below_other_lines(spark):
+    """A full text is found wherever it begins: below blank lines, or below notes without any word of a licence."""
+    want, files = {}, []
+    for name, text in license_scan.TEXTS:
+        for kind, above in (("blank", "\n" * 25), ("notes", "see below\n" * 60)):
+            files.append((f"{kind}/{name}", above + text))
+            want[f"{kind}/{name}"] = (name, 0)
+    files.append(("prose", PROSE + "the license"))
+    want["prose"] = (None, None)
+    rows = spark.createDataFrame(files, "path string, text string").repartition(4)
+    got = {r["path"]: (r["licence"], r["licence_line"]) for r in license_scan.scan(rows, license_scan.corpus_weights(rows)).collect()}
+    assert got == want
+
+
 def test_licence_files_of_packages(spark):
     """Licence files as published, of packages that these tests use: by name and by opening."""
     want = {"pytest": "MIT", "duckdb": "MIT", "tiktoken": "MIT", "hypothesis": "MPL-2.0", "psutil": "BSD-3-Clause"}

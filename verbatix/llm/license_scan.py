@@ -8,9 +8,11 @@ text is a unit too. A unit matches the template of largest cosine if that reache
 hold one of the ``gate`` terms are scored: by the Cauchy-Schwarz inequality the other terms of a template cannot
 reach the threshold together, so the gate loses no match.
 
-Licence files and files that open with words of a licence are compared as a whole with full licence texts. These
+Every file is compared as a whole with full licence texts, wherever in it these begin. These
 cosines damp counts to 1 + ln(count), so that function words do not decide, and give the file a dimension for
 each of its other terms as well, weighed as if one file held it: prose around a licence is not that licence.
+Files are left out by the same inequality alone: those without a heavy term of a text, and those with fewer of its
+terms than its heaviest ones that reach the threshold.
 A full text that matches decides before any header, as licences quote each other's headers.
 
 Files that speak for their directory (by name: LICENSE, COPYING, NOTICE) hand their licence down: a file
@@ -30,7 +32,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import reduce
 from importlib import resources
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +64,6 @@ TEMPLATES = (
 TEXTS = tuple((f.name.removesuffix(".txt"), f.read_text()) for f in sorted(resources.files(__package__).joinpath("licences").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt"))
 THRESHOLD = 0.75
 RUN_LINES = 12
-#: A file opens with a licence if one of its first lines holds such a word.
-OPENING_LINES = 20
-OPENING = r"(?i)(?<![a-z0-9])(?:(?:un|sub)?licen[cs]e[ds]?|copying|copyright|permission|redistribution)(?![a-z0-9])"
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)([.-][^/]*)?$"
 COLUMNS = ("licence", "licence_score", "licence_line", "licence_via", "licence_from")
 
@@ -83,6 +84,17 @@ def _terms(text: Column) -> Column:
     return F.split(F.translate(text, upper, lower), _BREAK)
 
 
+def needed(vector: dict[str, float], least: float) -> list[str]:
+    """The heaviest terms of a vector without which the squares of the others do not sum up to ``least``."""
+    left, out = 1.0, []
+    for t, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        if left < least:
+            break
+        out.append(t)
+        left -= w * w
+    return out
+
+
 class Weights:
     """Template vectors of length one under given document frequencies."""
 
@@ -95,24 +107,11 @@ class Weights:
             raw = {t: n * self.idf[t] for t, n in c.items()}
             norm = math.sqrt(sum(w * w for w in raw.values()))
             self.vectors.append({t: w / norm for t, w in raw.items()})
-        self.gate = sorted({t for v in self.vectors for t in self._needed(v)})
+        self.gate = sorted({t for v in self.vectors for t in needed(v, threshold**2 - 1e-8)})
         self.run_terms = 2 * max((c.total() for c in counts), default=0)
         #: Weights of the full texts, if files are compared with those as well.
         self.texts: TextWeights | None = None
 
-    def _needed(self, vector: dict[str, float]) -> list[str]:
-        """The heaviest terms without which a cosine of ``threshold`` is out of reach."""
-        left, out = 1.0, []
-        for t, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-            if left < self.threshold**2 - 1e-9:
-                break
-            out.append(t)
-            left -= w * w
-        return out
-
-    def gate_pattern(self) -> str:
-        return rf"(?i)(?<![a-z0-9])(?:{'|'.join(self.gate)})(?![a-z0-9])"
-
     def known(self, unit: Column) -> Column:
         """The terms of a unit that templates have, repeats included."""
         return F.filter(_terms(unit), lambda t: t.isin(*self.idf))
@@ -137,7 +136,7 @@ class Weights:
 class TextWeights:
     """Vectors of length one of full texts, with damped counts, under given document frequencies."""
 
-    def __init__(self, texts: Sequence[tuple[str, str]], df: dict[str, int], n_files: int):
+    def __init__(self, texts: Sequence[tuple[str, str]], df: dict[str, int], n_files: int, threshold: float):
         self.names = [name for name, _ in texts]
         counts = [Counter(terms_of(text)) for _, text in texts]
         idf = {t: math.log((1 + n_files) / (1 + df.get(t, 0))) + 1 for c in counts for t in c}
@@ -149,6 +148,15 @@ class TextWeights:
             vectors.append({t: w / norm for t, w in raw.items()})
         #: term -> its weight in a file, then its part of the cosine with each text
         self.weights = {t: [w, *(w * v.get(t, 0.0) for v in vectors)] for t, w in idf.items()}
+        least = threshold**2 - 1e-8
+        self.gate = sorted({t for v in vectors for t in needed(v, least)})
+        #: the terms of each text, and how many of them a file that matches has at least
+        self.shared = [(sorted(v), next((n for n, sum_ in enumerate(accumulate(sorted((w * w for w in v.values()), reverse=True)), 1) if sum_ >= least), len(v))) for v in vectors]
+
+    def within_reach(self, text: Column) -> Column:
+        """Whether a file has so many terms of a full text that their cosine can reach the threshold."""
+        enough = lambda terms: [F.size(F.array_intersect(terms, _words(known))) >= least for known, least in self.shared]
+        return _let(F.array_distinct(_terms(text)), lambda terms: reduce(Column.__or__, enough(terms)))
 
     def best(self, text: Column) -> Column:
         """struct<score, template> of the best full text of a file."""
@@ -185,6 +193,10 @@ def _damped(terms: Column) -> Column:
     return _let(F.array_sort(terms), runs)
 
 
+def _words(terms: Sequence[str]) -> Column:
+    return F.split(F.lit(" ".join(terms)), " ")
+
+
 def _table(weights: dict[str, list[float]]) -> Column:
     return F.from_json(F.lit(json.dumps(weights)), "map<string, array<double>>")
 
@@ -192,11 +204,11 @@ def _table(weights: dict[str, list[float]]) -> Column:
 def corpus_weights(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, texts: Sequence[tuple[str, str]] = TEXTS) -> Weights:
     """Counts, over all files, how many hold each term of the templates and texts: as many rows reach the driver."""
     vocabulary = sorted({t for _, text in (*templates, *texts) for t in terms_of(text)})
-    here = F.array_intersect(_terms(F.coalesce("text", F.lit(""))), F.split(F.lit(" ".join(vocabulary)), " "))
+    here = F.array_intersect(_terms(F.coalesce("text", F.lit(""))), _words(vocabulary))
     rows = files.select(F.explode(F.array_append(here, F.lit(""))).alias("term")).groupBy("term").count().collect()
     df = {r["term"]: r["count"] for r in rows}
     weights = Weights(templates, df, df.get("", 0), threshold)
-    weights.texts = TextWeights(texts, df, df.get("", 0)) if texts else None
+    weights.texts = TextWeights(texts, df, df.get("", 0), threshold) if texts else None
     return weights
 
 
@@ -231,20 +243,21 @@ def scan(files: DataFrame, weights: Weights) -> DataFrame:
     """``files`` (path, text, ...) with licence, licence_score (cosine) and licence_line (from 1, of a run its
     first line; 0 for a whole text). No shuffle."""
     text, is_licence = F.coalesce("text", F.lit("")), F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    full, out = F.lit(False), files.drop(*COLUMNS)
+    gates = [weights.gate, *([] if weights.texts is None else [weights.texts.gate])]
+    full, out = F.lit(False), files.drop(*COLUMNS).withColumn("_held", F.array_intersect(_terms(text), _words(sorted({t for gate in gates for t in gate}))))
     if weights.texts is not None:
-        opens = is_licence | F.substring_index(text, "\n", OPENING_LINES).rlike(OPENING)
-        out = out.withColumn("_text", F.when(opens, weights.texts.best(text)))
+        near = F.arrays_overlap("_held", _words(weights.texts.gate))
+        out = out.withColumn("_text", F.when(near, F.when(weights.texts.within_reach(text), weights.texts.best(text))))
         full = F.coalesce(F.col("_text.score") >= weights.threshold - 1e-9, F.lit(False))
     # texts without a gate term are not cut into lines
-    out = out.withColumn("_found", F.when(~full & text.rlike(weights.gate_pattern()), _headers(text, is_licence, weights)))
+    out = out.withColumn("_found", F.when(~full & F.arrays_overlap("_held", _words(weights.gate)), _headers(text, is_licence, weights)))
     names = F.array(*(F.lit(name) for name, _ in weights.templates))
     hit = F.col("_found.best.score") >= weights.threshold - 1e-9
     licence, score, line = F.when(hit, F.element_at(names, 1 - F.col("_found.best.template"))), F.when(hit, F.col("_found.best.score")), F.when(hit, F.col("_found.line"))
     if weights.texts is not None:
         texts = F.array(*map(F.lit, weights.texts.names))
         licence, score, line = F.when(full, F.element_at(texts, 1 - F.col("_text.template"))).otherwise(licence), F.when(full, F.col("_text.score")).otherwise(score), F.when(full, F.lit(0)).otherwise(line)
-    return out.withColumns({"licence": licence, "licence_score": score, "licence_line": line}).drop("_found", "_text")
+    return out.withColumns({"licence": licence, "licence_score": score, "licence_line": line}).drop("_found", "_text", "_held")
 
 
 def directory_of(path: Column) -> Column:
