@@ -484,6 +484,34 @@ def test_a_large_group_of_near_copies(spark):
     assert sum(asked) <= 60 * 59 / 2
 
 
+def test_near_copies_meet_once(spark, monkeypatch):
+    """Copies that differ in a few words of a common stock share many lists, and a pair comes out of one of them."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(90)]
+    texts = []
+    for _ in range(400):
+        own = list(base)
+        for _ in range(3):
+            own[rng.randrange(90)] = f"own{rng.randrange(12)}"
+        texts.append(" ".join(own))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    met, pairs, real = [], [], type(rows).dropDuplicates
+
+    def counted(self, subset=None):
+        out = real(self, subset)
+        if subset == ["a", "b"]:
+            met.append(self.count())
+            pairs.append(out)
+        return out
+
+    monkeypatch.setattr(type(rows), "dropDuplicates", counted)
+    monkeypatch.setattr(jaccard_join.Scratch, "drop", lambda *tables: None)  # pairs are read again below
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(rows).collect()}
+    found = [tuple(r) for p in pairs for r in p.select("a", "b").collect()]
+    assert sum(met) == len(found) == len(set(found)) > 50
+    assert got == brute_groups(list(range(400)), brute_sets(texts, 5), 80)
+
+
 def test_jaccard_of_odd_rows(odd, none):
     got = sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard_join.jaccard_groups(odd).collect())
     assert got == sorted([("1", 1), ("2", 2), ("3", 3), ("None", None), ("5", 5), ("5", 5), ("7", 7), ("8", 7), ("9", 9), ("10", 10)], key=lambda x: (x[0], x[1] or 0))

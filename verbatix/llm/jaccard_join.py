@@ -12,9 +12,12 @@
 4. Prefix postings of the classes' cores are joined to candidate pairs under a length, a positional and a suffix
    filter, and each pair is verified once by counting the intersection.
 5. Only groups are asked for, so a pair within one group needs no check. A round compares the members of each
-   posting list with some of them, its centres, and merges what is linked. The number of centres grows eightfold
-   with each round, until no list spans two groups or all members of every list have been centres; pairs that were
-   refused are not verified again. No candidate is left out.
+   posting list with some of them, its new centres, and merges what is linked. The members of a list become centres
+   in one order, eight times as many with each round, until no list spans two groups or all members of every list have
+   been centres; a list meets a pair once, when the first of the two is a new centre. A pair is met in the first list
+   that it has in common: postings carry the n-grams before them, ``CARRIED`` at most, and where those tell that
+   nothing before is shared, the positional and the suffix filter count from there. Pairs of longer prefixes may meet
+   again; those that were refused are not verified again. No candidate is left out.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. A text with fewer words than n is one
 n-gram; one without words has the empty set and no links.
@@ -44,6 +47,8 @@ from .common import Scratch, arrow_schema, blocks_of, mix, word_hashes
 RANGES = 16
 #: Counters for n-grams (four bytes each), in slices that are summed apart: a table of 4 MB at any input.
 COUNTERS, SLICES = 1 << 20, 256
+#: A posting carries so many n-grams (8 bytes each) of the lists that its class has before.
+CARRIED = 32
 #: So many ids (8 bytes each) and pairs (two ids each) are sent to all executors; more are joined by shuffle.
 FEW_IDS, FEW_PAIRS = 500_000, 200_000
 
@@ -285,6 +290,19 @@ def distinct_lists(postings: DataFrame) -> DataFrame:
     return postings.join(kept, "item", "left_semi")
 
 
+def ranked(postings: DataFrame) -> DataFrame:
+    """``postings`` with rank (from 1, the turn of a member to be a centre of its list), before (the last ``CARRIED`` n-grams
+    that the class has before) and unseen (how many come before those)."""
+    own = Window.partitionBy("cls").orderBy("item")
+    return postings.withColumns(
+        {
+            "rank": F.row_number().over(Window.partitionBy("item").orderBy(F.xxhash64("cls"), "cls")),
+            "before": F.collect_list("item").over(own.rowsBetween(-CARRIED, -1)),
+            "unseen": F.greatest(F.row_number().over(own) - 1 - CARRIED, F.lit(0)),
+        }
+    )
+
+
 # ---------------------------------------------------------------------------------------------
 # pairs
 
@@ -294,22 +312,23 @@ def _linked(common: Column, like: Likeness) -> Column:
 
 
 def _bounds(like: Likeness) -> Column:
-    """Length, positional and suffix filter of a pair (a, b) that share an n-gram at their positions; that of the smaller
-    set, by id if they are equal, is an early one."""
+    """Length, positional and suffix filter of a pair (a, b) that share an n-gram at their positions, and none of those
+    carried from before; that of the smaller set, by id if they are equal, is an early one."""
     after = F.least(F.col("ma") - F.col("pa") - 1, F.col("mb") - F.col("pb") - 1)
     alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    head = F.least("pa", "pb") + 1
+    head = F.least("pa", "pb", F.col("ua") + F.col("ub")) + 1
     length = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * like.percent
     early = F.when(F.struct("na", "a") < F.struct("nb", "b"), F.col("ea")).otherwise(F.col("eb"))
-    return early & length & _linked(head + after, like) & _linked(head + alike, like)
+    return early & length & _linked(head + after, like) & ~F.arrays_overlap("ba", "bb") & _linked(head + alike, like)
 
 
-def candidates(lists: DataFrame, centres: int, turn: int, like: Likeness) -> DataFrame:
-    """Each list's members against its centres, as pairs a < b of two labels."""
-    chosen = F.row_number().over(Window.partitionBy("item").orderBy(F.xxhash64("cls", F.lit(turn)), "cls"))
-    picked = lists.withColumn("_k", chosen).filter(F.col("_k") <= centres)
-    side = lambda df, x: df.select("item", F.col("cls").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("n", "m", "pos", "early", "suffix", "label")))
-    met = side(lists, "a").join(side(picked, "b"), "item").filter("la <> lb").filter(_bounds(like))
+def candidates(lists: DataFrame, done: int, centres: int, like: Likeness) -> DataFrame:
+    """Each list's members against those of its centres that come before them and were none so far (``done`` were), as
+    pairs a < b of two labels."""
+    columns = ("n", "m", "pos", "early", "suffix", "label", "rank", "before", "unseen")
+    side = lambda df, x: df.select("item", F.col("cls").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in columns))
+    new = lists.filter((F.col("rank") > done) & (F.col("rank") <= centres))
+    met = side(lists.filter(F.col("rank") > done + 1), "a").join(side(new, "b"), "item").filter((F.col("ra") > F.col("rb")) & (F.col("la") != F.col("lb"))).filter(_bounds(like))
     swap = F.col("a") > F.col("b")
     ordered = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
     pairs = met.select(ordered("a", "b", "a"), ordered("b", "a", "b"), ordered("la", "lb", "la"), ordered("lb", "la", "lb"))
@@ -360,9 +379,10 @@ def group_classes(classes: DataFrame, postings: DataFrame, like: Likeness, scrat
     """cls, label of all classes in ``postings``; classes with one label are linked."""
     labels = scratch.table(postings.select("cls").distinct().withColumn("label", F.col("cls")), "groups")
     few_labels = labels.count() <= FEW_IDS
+    postings = scratch.table(ranked(postings), "ranked")
     refused: DataFrame | None = None
     n_refused = turn = 0
-    done: list[DataFrame] = []  # tables of the round before, which the next lists are made of
+    done: list[DataFrame] = [postings]  # tables of the round before, which the next lists are made of
     while True:
         # groups only grow: a list within one group is done with
         named = postings.join(_sent(labels, few_labels), "cls")
@@ -372,7 +392,7 @@ def group_classes(classes: DataFrame, postings: DataFrame, like: Likeness, scrat
         longest = lists.agg(F.max("size")).first()[0]
         if longest is None:
             return labels
-        pairs = candidates(lists, 8**turn, turn, like)
+        pairs = candidates(lists, 8 ** (turn - 1) if turn else 0, 8**turn, like)
         if refused is not None:
             pairs = pairs.join(_sent(refused, n_refused <= FEW_PAIRS), ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, "pairs")
