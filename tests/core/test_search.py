@@ -1,11 +1,13 @@
 """Index, ranking and plans on small corpora; BM25 against an independent full-text engine."""
 
+import random
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
-from verbatix import corpus, domain
+from verbatix import corpus, domain, queries
+from verbatix.functions import text
 from verbatix.operators import citations, index, ranking, statistics, tagging
 from verbatix.plans import catalog, prompts, search
 
@@ -186,3 +188,31 @@ def test_catalog_and_citations(spark, small):
     tags = tagging.tags(small[1].postings, tagging.keyword_terms(spark, domain.TOPICS))
     assert {r["topic"]: r["n_passages"] for r in catalog.topic_catalog(tags).collect()}["immigration"] == 1
     assert catalog.group_profile("nobody", groups, small[0].select("document_id", "group_id").distinct(), small[0], tags).count() == 0
+
+
+def test_index_of_known_queries(spark):
+    """Postings of the asked terms, lengths and statistics are those of the whole index, where words are numbers, stopwords or
+    accented, stems are short or end in -al of -aux, and passages are empty or repeated."""
+    rng = random.Random(7)
+    stock = "canal canaux beaux beal national nationaux Nationalité nationalités climat climats climatique être été énergie energies le les notre 2022 20222 123456 12ab a1 cœur l'eau mesure_climat zone Zones bellle the theme thème baux bal".split()
+    rows = [(f"p{i}", f"d{i // 5}", "g", i % 5, rng.choice([" ", "_", ", ", "\n"]).join(rng.choices(stock, k=rng.randint(0, 12))) or None, rng.choice([None, "", "Les canaux", "climat 2022"]), False) for i in range(400)]
+    passages = table(spark, rows + rows[:3])
+    whole = index.build(passages)
+    for searches, keywords in ((["canal national climat", "bal the 2022", "beal zone", "eau"], ["énergie climats", "canaux"]), ([], ["beaux"]), (["les", ""], [])):
+        part = index.of_texts(passages, searches, keywords)
+        asked = {s for q in searches for s in text.query_stems(q)}
+        exact = {s for k in keywords for s in text.stems(k)}
+        wanted = lambda t: t in exact or any(t.startswith(s) if len(s) >= 5 else t == s for s in asked)  # noqa: B023, E731
+        every = {tuple(r) for r in whole.located().select("passage_id", "term", "in_text", "in_heading", *index.LOCATED).collect()}
+        assert {tuple(r) for r in part.located().select("passage_id", "term", "in_text", "in_heading", *index.LOCATED).collect()} == {r for r in every if wanted(r[1])}
+        assert sorted(map(tuple, part.lengths.collect())) == sorted(map(tuple, whole.lengths.collect()))
+        assert part.stats.first() == whole.stats.first()
+        assert {r["term"]: r["df"] for r in part.terms.collect()} == {r["term"]: r["df"] for r in whole.terms.collect() if wanted(r["term"])}
+    assert any(wanted(r[1]) for r in every) is False and len(every) > 1_000
+
+
+@pytest.mark.parametrize("name", ["chunk_search"])
+def test_queries_post_no_other_terms(spark, monkeypatch, name):
+    """A query that knows its searches does not write the postings of every word."""
+    monkeypatch.setattr(index, "build", None)
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0

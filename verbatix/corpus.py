@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .domain import Group, Topic
-from .operators.chunking import blocks, is_navigation_col
+from .operators.chunking import is_navigation_col, lines
 
 GROUPS = (
     Group("en", "English", "EN", "Reader E", "west", ("english", "anglais")),
@@ -43,7 +43,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Passages by line: the plain unit that SQL can cut as well."""
-    cut = blocks(docs, "group_id", "title")
+    cut = lines(docs, "group_id", "title")
     return cut.select(F.concat_ws(":", "document_id", "ord").alias("passage_id"), "document_id", "group_id", "ord", "text", F.col("title").alias("heading"), is_navigation_col(F.col("text")).alias("is_navigation"))
 
 

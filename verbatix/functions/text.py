@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -145,6 +146,40 @@ def stem_col(word: Column) -> Column:
     return F.when(F.length(word) < 5, word).otherwise(single)
 
 
+def any_of(words: Iterable[str]) -> str:
+    """A pattern of ``words`` (of a-z and 0-9) in which common beginnings are tried once, the longer word first."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        ways = [c + pattern(rest) for c, rest in sorted(at.items()) if c]
+        inner = ways[0] if len(ways) == 1 and "" not in at else f"(?:{'|'.join(ways)})" if ways else ""
+        return inner + "?" if ways and "" in at else inner
+
+    return pattern(tree)
+
+
+def n_terms_col(plain: Column) -> Column:
+    """How many words of a text without capitals and accents are terms. A count by one pattern, which makes no words."""
+    stop = any_of(w for w in STOPWORDS if len(w) >= 2)
+    return F.regexp_count(plain, F.lit(f"(?<![a-z0-9])(?!(?:{stop}|[0-9]{{5,}})(?![a-z0-9]))[a-z0-9]{{2,}}+"))
+
+
+def words_of_stems(stems: Iterable[str], prefixes: Iterable[str]) -> str | None:
+    """A pattern of the words whose stem may be one of ``stems`` or begin with one of ``prefixes``; None if there is none.
+    A stem is the beginning of its word, but for -al of -aux."""
+    wanted = {*stems, *prefixes}
+    short = {s for s in wanted if len(s) < LEAST_STEM}  # of the word itself
+    whole = short | {s[:-2] + "aux" for s in wanted if s.endswith("al")}
+    ways = [any_of(wanted - short) + "[a-z0-9]*+"] if wanted - short else []
+    ways += [any_of(whole) + "(?![a-z0-9])"] if whole else []
+    return f"(?<![a-z0-9])(?:{'|'.join(ways)})" if ways else None
+
+
 def is_term(word: str) -> bool:
     return len(word) >= 2 and word not in STOPWORDS and not (word.isdigit() and len(word) > 4)
 

@@ -38,6 +38,8 @@ NOT_HEADINGS = (
     r"^\p{Lu}[\p{L}'’-]+ \p{Lu}[\p{L}'’-]+, [a-zà-ÿ]",
     r"^\p{Lu}[\p{L}'’-]+ \p{Lu}[\p{L}'’-]+,? ?(20[0-9][0-9])$",
 )
+# JavaScript's white space, of which SPACE is the class
+_STRIP = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 INLINE_ITEM = r"[0-9]{1,3}\s*_\s*[A-ZÀ-Ý]"
 
 
@@ -49,15 +51,24 @@ def _java(pattern: str) -> str:
 # Column forms
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(_STRIP))
+
+
+def lines(documents: DataFrame, *carried: str) -> DataFrame:
+    """``blocks`` without their places: document_id, ord, text and the ``carried`` columns."""
+    cut = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _trimmed)
+    return documents.select("document_id", *carried, F.posexplode(F.filter(cut, lambda line: line != "")).alias("ord", "_line")).select("document_id", "ord", F.col("_line").alias("text"), *carried)
+
+
 def blocks(documents: DataFrame, *carried: str) -> DataFrame:
     """document_id, ord, text (trimmed), start and end (of the untrimmed line) of every non-blank line, and the
     ``carried`` columns of its document. No shuffle; the work grows with the number of lines."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    trimmed = lambda line: F.regexp_replace(line, rf"^{SPACE}+|{SPACE}+\z", "")
 
     def placed(lines: Column) -> Column:
         starts = sums_before(F.transform(lines, lambda line: F.length(line) + 1))
-        return F.zip_with(lines, starts, lambda line, at: F.struct(trimmed(line).alias("text"), at.alias("start"), (at + F.length(line)).alias("end")))
+        return F.zip_with(lines, starts, lambda line, at: F.struct(_trimmed(line).alias("text"), at.alias("start"), (at + F.length(line)).alias("end")))
 
     kept = F.filter(let(lines, placed), lambda x: x["text"] != "")
     return documents.select("document_id", *carried, F.posexplode(kept).alias("ord", "b")).select("document_id", "ord", "b.text", "b.start", "b.end", *carried)
@@ -85,7 +96,6 @@ def is_navigation_col(text: Column) -> Column:
 
 _SPACES = re.compile(SPACE + "+")
 _SENTENCES = re.compile(f"(?<=[.!?]){SPACE}+")
-_STRIP = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _python(pattern: str) -> regex.Pattern:

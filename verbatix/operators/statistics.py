@@ -11,9 +11,14 @@ IMBALANCE = 3.0
 LEAST_COVERAGE = 0.95
 
 
+def group_counts(passages: DataFrame) -> DataFrame:
+    """group_id, n_passages and n_documents of every group that has passages."""
+    return passages.groupBy("group_id").agg(F.countDistinct("passage_id").alias("n_passages"), F.countDistinct("document_id").alias("n_documents"))
+
+
 def group_stats(passages: DataFrame, tags: DataFrame) -> DataFrame:
     """group_id, n_passages, n_documents and topics (sorted) of every group that has passages."""
-    counts = passages.groupBy("group_id").agg(F.countDistinct("passage_id").alias("n_passages"), F.countDistinct("document_id").alias("n_documents"))
+    counts = group_counts(passages)
     topics = tags.join(passages.select("passage_id", "group_id"), "passage_id").groupBy("group_id").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
     return counts.join(topics, "group_id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
 

@@ -16,20 +16,20 @@ from ..domain import GROUPS, TOPICS, Group, Topic, require_group, require_groups
 from ..functions.text import fixed_col, query_stems_col
 from ..operators import ranking, statistics, tagging
 from ..operators.blockmax import BlockIndex, top_hits
-from ..operators.index import Index, match
+from ..operators.index import Index, as_table, match
 from ..shared import materialise
 
 HIT = ("query_id", "rank", "passage_id", "document_id", "group_id", "score", "coverage")
 
 
-def candidates(index: Index | BlockIndex, queries: DataFrame | tuple[int, str], limit: int, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
+def candidates(index: Index | BlockIndex, queries: DataFrame | Sequence[tuple], limit: int, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """The best ``4 * limit`` passages of each query after the filters on group and topic. Term statistics
     are those of the whole index. A block-max index scores only the blocks that can hold one of them."""
     k = limit * ranking.CANDIDATES
     rank = lambda hits: ranking.top(ranking.penalise_navigation(hits), k, name="candidate")
     if isinstance(index, BlockIndex):
-        if isinstance(queries, tuple):
-            queries = index.blocks.sparkSession.createDataFrame([queries], "query_id int, query string")
+        if not isinstance(queries, DataFrame):
+            queries = as_table(index.blocks.sparkSession, queries)
         return top_hits(index, queries, k, rank, group_id=group_id, tagged=tagged)
     hits = match(index, queries)
     if group_id is not None:
@@ -39,11 +39,11 @@ def candidates(index: Index | BlockIndex, queries: DataFrame | tuple[int, str],
     return rank(hits)
 
 
-def search_batch(index: Index | BlockIndex, queries: DataFrame | tuple[int, str], limit: int = 10, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
-    """HIT columns for each query of ``queries`` (query_id, query): candidates, coverage, floor, then the
-    cap by group (unless one group is asked for) and the limit. Queries of the same terms are answered once."""
+def search_batch(index: Index | BlockIndex, queries: DataFrame | Sequence[tuple], limit: int = 10, group_id: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
+    """HIT columns for each query of ``queries`` (query_id, query), a table or a list of a few: candidates, coverage, floor, then
+    the cap by group (unless one group is asked for) and the limit. Queries of a table that have the same terms are answered once."""
     require_int("limit", limit, 1, 25)
-    if isinstance(queries, tuple):
+    if not isinstance(queries, DataFrame):
         return _ranked(index, queries, limit, group_id, tagged)
     asked = materialise(queries.select("query_id", "query", query_stems_col(F.col("query")).alias("_stems")), "asked")
     same = asked.groupBy("_stems").agg(F.min("query_id").alias("_first"))
@@ -52,7 +52,7 @@ def search_batch(index: Index | BlockIndex, queries: DataFrame | tuple[int, str]
     return found.join(asked.join(same, "_stems").select("_first", "query_id"), "_first").select(*HIT)
 
 
-def _ranked(index: Index | BlockIndex, queries: DataFrame | tuple[int, str], limit: int, group_id: str | None, tagged: DataFrame | None) -> DataFrame:
+def _ranked(index: Index | BlockIndex, queries: DataFrame | Sequence[tuple], limit: int, group_id: str | None, tagged: DataFrame | None) -> DataFrame:
     found = ranking.above_floor(ranking.covered(candidates(index, queries, limit, group_id, tagged)))
     if group_id is None:
         found = ranking.cap_groups(found, limit)
@@ -67,13 +67,15 @@ def search(index: Index | BlockIndex, query: str, limit: int = 10, group: str |
     if topic:
         topic_id = require_topic(topic, topics).id
         tagged = tags.filter(F.col("topic") == topic_id)
-    return search_batch(index, (0, query), limit, group_id, tagged)
+    return search_batch(index, [(0, query)], limit, group_id, tagged)
 
 
 def full_hits(index: Index | BlockIndex, hits: DataFrame, documents: DataFrame, sections: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
     """``hits`` with all that is known of them: the passage (text, place and offsets), its section (heading, and
     ``section_ord``, 0 where there is none), its document's columns and its topic tags, joined by commas, null without any.
-    Spark chooses the joins by the size of ``hits``, which grows with the number of queries."""
+    Spark chooses the joins by the size of ``hits``, which grows with the number of queries; they are searched once, and written."""
+    hits = materialise(hits, "hits")
+    documents = documents.join(hits.select("document_id"), "document_id", "left_semi")
     out = index.passages.join(hits.select("query_id", "rank", "passage_id", "score", "coverage"), "passage_id")
     if sections is not None and "section_id" in out.columns:
         out = out.join(sections.select("section_id", F.col("ord").alias("section_ord")), "section_id", "left")
@@ -87,13 +89,16 @@ def full_hits(index: Index | BlockIndex, hits: DataFrame, documents: DataFrame,
     return out.withColumn("section_ord", F.coalesce("section_ord", F.lit(0)))
 
 
+def topic_queries(topics: Sequence[Topic]) -> list[tuple[str, str]]:
+    return [(t.id, " ".join(t.keywords)) for t in topics]
+
+
 def topic_search(index: Index, topics: Sequence[Topic], per_group: int, group_ids: Sequence[str] | None = None) -> DataFrame:
     """topic, rank, passage_id, document_id, group_id, score and matched_keywords: for each topic and group
     the best passages on the topic's keywords, boosted by the keywords that they hold. There is no coverage
     rule here, and the floor is each group's own."""
     spark = index.postings.sparkSession
-    queries = spark.createDataFrame([(t.id, " ".join(t.keywords)) for t in topics], "query_id string, query string")
-    hits = match(index, queries)
+    hits = match(index, topic_queries(topics))
     if group_ids is not None:
         hits = hits.filter(F.col("group_id").isin(list(group_ids)))
     by = ("query_id", "group_id")
@@ -107,7 +112,8 @@ def topic_search(index: Index, topics: Sequence[Topic], per_group: int, group_id
 def compare(index: Index, tags: DataFrame, topic: str, groups_asked: list[str] | None = None, passages_per_group: int = 2, groups: tuple[Group, ...] = GROUPS, topics: tuple[Topic, ...] = TOPICS) -> DataFrame:
     """One row for each group asked for, in that order (``position``; duplicates stay): evidence_level, its
     explanation, matched_keywords of the best passage, passages (rank, id, text, heading and score), the group's
-    n_passages and n_documents, and coverage_warning, the same text for all, null where groups are about alike."""
+    n_passages and n_documents, and coverage_warning, the same text for all, null where groups are about alike. None of
+    them hangs on ``tags``, which are not read."""
     require_int("passages_per_group", passages_per_group, 1, 5)
     wanted = require_topic(topic, topics)
     ids = require_groups(groups_asked, groups)
@@ -120,7 +126,7 @@ def compare(index: Index, tags: DataFrame, topic: str, groups_asked: list[str] |
         F.sort_array(F.collect_list(F.struct("rank", "passage_id", "text", "heading", fixed_col(F.col("score")).alias("score")))).alias("passages"),
         F.min_by("matched_keywords", "rank").alias("matched_keywords"),
     )
-    stats = statistics.group_stats(index.passages, tags).select("group_id", "n_passages", "n_documents")
+    stats = materialise(statistics.group_counts(index.passages), "counts")  # read twice, a row for each group
     joined = asked.join(best, "group_id", "left").join(stats, "group_id", "left")
     level = ranking.evidence_level(F.when(F.col("passages").isNotNull(), F.size("matched_keywords")))
     none = F.array().cast("array<string>")
