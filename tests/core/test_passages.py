@@ -326,3 +326,15 @@ def test_raw_files(spark, tmp_path):
     slugs = spark.createDataFrame(pd.DataFrame({"slug": ["plan-climat"]}))
     row = files.catalog([files.catalog_from_slugs(slugs, "lfi", "https://x.example/")]).first()
     assert (row["id"], row["title"], row["source_url"]) == ("lfi-plan-climat", "Plan climat", "https://x.example/plan-climat")
+
+
+def test_words_in_a_row_go_through_one_shuffle(spark):
+    """Three words in a row are shuffled once, as numbers; pages that are too few for a sequence are not looked at."""
+    rows = [("d", 4, page, n, line) for page in range(4) for n, line in enumerate(["a b c d", f"x{page} b c d e", "a b c d", ""])] + [("e", 1, 0, 0, "a b c d"), ("e", 1, 0, 1, "a b c d")]
+    lines = spark.createDataFrame(rows, "document_id string, n_pages int, page int, n int, line string")
+    found = pages.common_sequences(lines, F.lit(2))
+    shuffles = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "_hash" in x]
+    assert len(shuffles) == 1 and "three" not in shuffles[0]
+    want = {("d", g, len(g.split()), 4) for g in ("a b c", "b c d", "a b c d")} | {("d", "c d e", 3, 4), ("d", "b c d e", 4, 4)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert pages.common_sequences(lines, F.lit(5)).count() == 0

@@ -147,23 +147,29 @@ def paged_lines(pages: DataFrame) -> DataFrame:
 
 def common_sequences(lines: DataFrame, least: Column) -> DataFrame:
     """document_id, ngram, n_words and n_pages of the sequences of 3 to 14 words within lines that stand on ``least`` pages
-    or more of their document. A sequence is common only where all of its three words in a row are."""
+    or more of their document. A sequence is common only where all of its three words in a row are.
+
+    Three words go as a hash with their document, with the hash of their line and their place in it, in one shuffle; the text
+    of lines goes once, to the places that are common. Where hashes meet by chance, a place is looked at in vain: sequences are
+    counted as they are written. Nothing is gathered by document."""
     first, most = NGRAM_WORDS
-    tokens = lines.select("document_id", "page", "n", least.alias("_least"), _words(F.col("line")).alias("_words")).filter(F.size("_words") >= first)
+    # no sequence stands on more pages than there are
+    lines = lines.withColumns({"_least": least, "_line": F.xxhash64("document_id", "page", "n")}).filter(F.col("n_pages") >= F.col("_least"))
     word = lambda i, k: F.element_at("_words", i + k)
-    threes = F.transform(F.sequence(F.lit(1), F.size("_words") - (first - 1)), lambda i: F.struct(i.alias("i"), word(i, 0).alias("word"), F.concat_ws(" ", word(i, 0), word(i, 1), word(i, 2)).alias("three")))
-    starts = tokens.select("document_id", "page", "n", "_least", F.inline(threes)).withColumn("_hash", F.xxhash64("three"))
-    on_page = starts.select("document_id", "_hash", "page", "_least").distinct()
-    often = on_page.groupBy("document_id", "_hash").agg(F.count("*").alias("_pages"), F.first("_least").alias("_least")).filter("_pages >= _least").select("document_id", "_hash")
-    common = starts.join(often, ["document_id", "_hash"], "left_semi")
+    tokens = lines.select("document_id", "page", "_line", "_least", _words(F.col("line")).alias("_words")).filter(F.size("_words") >= first)
+    threes = F.transform(F.sequence(F.lit(1), F.size("_words") - (first - 1)), lambda i: F.xxhash64("document_id", word(i, 0), word(i, 1), word(i, 2)))
+    starts = tokens.select("page", "_line", "_least", F.posexplode(threes).alias("_i", "_hash"))
+    same = Window.partitionBy("_hash")
+    several = starts.withColumns({"_from": F.min("page").over(same), "_to": F.max("page").over(same)}).filter("_from < _to OR _least < 2").drop("_from", "_to")
+    ranked = several.withColumn("_rank", F.dense_rank().over(same.orderBy("page"))).withColumn("_pages", F.max("_rank").over(same)).filter("_pages >= _least")
+    marks = ranked.groupBy("_line").agg(F.sort_array(F.collect_set("_i")).alias("_at"))
+    common = lines.select("document_id", "page", "_least", "_line", "line").join(marks, "_line").withColumn("_words", _words(F.col("line")))
     # up to twelve common starts from each one on; those that follow it without a gap make up longer sequences
-    ahead = Window.partitionBy("document_id", "page", "n").orderBy("i").rowsBetween(0, most - first)
-    near = common.withColumn("_ahead", F.collect_list(F.struct("i", "word", "three")).over(ahead))
-    sequences = F.transform(
-        F.sequence(F.lit(1), F.size("_ahead")),
-        lambda k: F.when(F.element_at("_ahead", k)["i"] == F.col("i") + k - 1, F.struct((k + first - 1).alias("n_words"), F.concat_ws(" ", F.transform(F.slice("_ahead", F.lit(1), k - 1), lambda x: x["word"]), F.element_at("_ahead", k)["three"]).alias("ngram"))),
-    )
-    rows = near.select("document_id", "page", "_least", F.inline(F.array_compact(sequences))).distinct()
+    run = lambda i, j: F.size(F.filter(F.sequence(F.lit(0), F.lit(most - first)), lambda d: F.get("_at", j + d) == i + d))
+    runs = F.transform("_at", lambda i, j: F.slice("_words", i + 1, run(i, j) + (first - 1)))
+    own = common.select("document_id", "page", "_least", F.explode(runs).alias("_own"))
+    sequences = F.transform(F.sequence(F.lit(first), F.size("_own")), lambda k: F.struct(k.alias("n_words"), F.array_join(F.slice("_own", F.lit(1), k), " ").alias("ngram")))
+    rows = own.filter(F.size("_own") >= first).select("document_id", "page", "_least", F.inline(sequences)).repartition("document_id", "ngram").distinct()
     counted = rows.groupBy("document_id", "ngram", "n_words").agg(F.count("*").alias("n_pages"), F.first("_least").alias("_least"))
     return counted.filter("n_pages >= _least").drop("_least")
 
