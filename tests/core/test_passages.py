@@ -338,3 +338,13 @@ def test_words_in_a_row_go_through_one_shuffle(spark):
     want = {("d", g, len(g.split()), 4) for g in ("a b c", "b c d", "a b c d")} | {("d", "c d e", 3, 4), ("d", "b c d e", 4, 4)}
     assert {tuple(r) for r in found.collect()} == want
     assert pages.common_sequences(lines, F.lit(5)).count() == 0
+
+
+def test_headers_are_found_by_short_hashes(spark):
+    """What paged_text takes out: lines and words in a row are named by hashes of no more bits than they need."""
+    rows = [("d", 5, page, n, line) for page in range(5) for n, line in enumerate(["LE GRAND PLAN", f"texte de la page {page}", ""])]
+    lines = spark.createDataFrame(rows, "document_id string, n_pages int, page int, n int, line string")
+    found = pages.boilerplate(lines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert str((1 << 40) - 1) in plan and str((1 << 48) - 1) in plan and "three" not in plan
+    assert [tuple(r) for r in found.collect()] == [("d", ["texte de la page", "LE GRAND PLAN"])]

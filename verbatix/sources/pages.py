@@ -145,6 +145,11 @@ def paged_lines(pages: DataFrame) -> DataFrame:
     return materialise(lines, "lines")
 
 
+def _hashed(bits: int, *values: str | Column) -> Column:
+    """A hash of so many bits: the others would be shuffled for nothing, as what meets by chance does no harm."""
+    return F.xxhash64(*values).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
 def common_sequences(lines: DataFrame, least: Column) -> DataFrame:
     """document_id, ngram, n_words and n_pages of the sequences of 3 to 14 words within lines that stand on ``least`` pages
     or more of their document. A sequence is common only where all of its three words in a row are.
@@ -154,10 +159,10 @@ def common_sequences(lines: DataFrame, least: Column) -> DataFrame:
     counted as they are written. Nothing is gathered by document."""
     first, most = NGRAM_WORDS
     # no sequence stands on more pages than there are
-    lines = lines.withColumns({"_least": least, "_line": F.xxhash64("document_id", "page", "n")}).filter(F.col("n_pages") >= F.col("_least"))
+    lines = lines.withColumns({"_least": least, "_line": _hashed(40, "document_id", "page", "n")}).filter(F.col("n_pages") >= F.col("_least"))
     word = lambda i, k: F.element_at("_words", i + k)
     tokens = lines.select("document_id", "page", "_line", "_least", _words(F.col("line")).alias("_words")).filter(F.size("_words") >= first)
-    threes = F.transform(F.sequence(F.lit(1), F.size("_words") - (first - 1)), lambda i: F.xxhash64("document_id", word(i, 0), word(i, 1), word(i, 2)))
+    threes = F.transform(F.sequence(F.lit(1), F.size("_words") - (first - 1)), lambda i: _hashed(48, "document_id", word(i, 0), word(i, 1), word(i, 2)))
     starts = tokens.select("page", "_line", "_least", F.posexplode(threes).alias("_i", "_hash"))
     same = Window.partitionBy("_hash")
     several = starts.withColumns({"_from": F.min("page").over(same), "_to": F.max("page").over(same)}).filter("_from < _to OR _least < 2").drop("_from", "_to")
